@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import line_dedup, mixing, packing, quality, simhash, warc
+from quarrylens.llm import cover_tree, line_dedup, mixing, packing, quality, simhash, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.threshold_links(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.col("ld_kept_sha256").alias("kept_sha256"))
@@ -49,8 +53,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op3_best_fit_packing, op5_quality_classifier, op7_line_dedup, op9_weighted_mix, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc_packages, op3_best_fit_packing, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op9_weighted_mix, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_packages": warc.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_weighted_mix": mixing.ORACLE_SQL}
+    return {"op1_warc_packages": warc.ORACLE_SQL, "op6_cover_tree": cover_tree.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_weighted_mix": mixing.ORACLE_SQL}
