@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import ann, cover_tree, line_dedup, mixing, packing, quality, simhash, warc
+from quarrylens.llm import ann, cover_tree, line_dedup, mixing, packing, pii, quality, simhash, warc
 
 TOKENIZER = "word_bpe_49k.json"
+PSEUDONYM_KEY = "registered query"  # callers with real data pass a secret of their own
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,6 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.col("ld_kept_sha256").alias("kept_sha256"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
 def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op9_weighted_mix, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
