@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import ann, cover_tree, line_dedup, mixing, packing, pii, quality, simhash, warc
+from quarrylens.llm import ann, cover_tree, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, warc
 
 TOKENIZER = "word_bpe_49k.json"
 PSEUDONYM_KEY = "registered query"  # callers with real data pass a secret of their own
@@ -35,6 +35,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings()))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op4_secret_scan, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
