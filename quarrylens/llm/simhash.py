@@ -450,7 +450,7 @@ def link_blocks(left, right, similarity: float, max_bits: int):
     return keys[below], keys[unions.parent[below]]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 16, sketch_size: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 16, sketch_size: int = 128) -> DataFrame:
     """(doc_id, component_id): documents linked by similar sets of word shingles.
 
     Candidates are fingerprints within ``max_bits``; links are those whose sketches show
