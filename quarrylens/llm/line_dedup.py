@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm.store import fresh_path, remove, save
 
 BROADCAST_LINES = 500_000  # frequent lines, 16 bytes each, that may be broadcast
+ADDED = ("ld_n_lines", "ld_n_dropped", "ld_kept_sha256")  # columns added; ones of these names in the input are replaced
 RUN_SCHEMA = "h1 long, h2 long, n long"
 
 
@@ -127,20 +128,30 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batc
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
-    """docs with text replaced by its kept lines, and n_lines, n_dropped, kept_sha256 (prefixed ``ld_``) added."""
+    """docs with text replaced by its kept lines, and the columns ADDED."""
+    docs = docs.drop(*ADDED)
     frequent = save(frequent_lines(docs, min_docs, min_chars, batches).distinct(), "frequent-lines")
     if frequent.count() <= BROADCAST_LINES:
         rows = frequent.toPandas().to_numpy(np.int64).reshape(-1, 2)
         known = docs.sparkSession.sparkContext.broadcast(rows)
         return _filtered(docs, lambda: {r.tobytes() for r in known.value}, min_chars)
     held = _document_lines(docs, min_chars).join(frequent, ["h1", "h2"], "left_semi")
-    own = held.groupBy("_doc").agg(F.collect_set(F.struct("h1", "h2")).alias("_hot"))
-    joined = docs.withColumn("_doc", F.xxhash64("text")).join(own, "_doc", "left").drop("_doc")
-    return _filtered(joined, None, min_chars)
+    own = held.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("hot"))
+    wrapped = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("doc")).join(own, "doc", "left")
+    hot = free_name(docs, "hot")
+    return _filtered(wrapped.select("row.*", F.col("hot").alias(hot)), None, min_chars, hot)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(_doc, h1, h2): each text's line hashes, the text named by its hash."""
+    """(doc, h1, h2): each text's line hashes, the text named by its hash."""
 
     def run(arrow):
         for chunk in arrow:
@@ -151,17 +162,17 @@ def _document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
                 counts.append(len(own))
                 found.extend(own)
             pairs = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), counts)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["_doc", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), counts)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc", "h1", "h2"])
 
-    narrow = docs.select(F.xxhash64("text").alias("_doc"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "_doc long, h1 long, h2 long")
+    narrow = docs.select(F.xxhash64("text").alias("doc"), F.col("text").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "doc long, h1 long, h2 long")
 
 
-def _filtered(docs: DataFrame, load, min_chars: int) -> DataFrame:
-    out = [f for f in docs.schema.fields if f.name != "_hot"]
+def _filtered(docs: DataFrame, load, min_chars: int, hot_name: str | None = None) -> DataFrame:
+    out = [f for f in docs.schema.fields if f.name != hot_name]
     names = [f.name for f in out]
     at = docs.columns.index("text")
-    hot_at = docs.columns.index("_hot") if "_hot" in docs.columns else None
+    hot_at = docs.columns.index(hot_name) if hot_name else None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", ld_n_lines long, ld_n_dropped long, ld_kept_sha256 string"
 
     def run(arrow):

@@ -125,11 +125,11 @@ def times_taken(last, epochs: int) -> Column:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as they were."""
-    plan = mix(docs, **options).where("times > 0").select(F.col("key").alias("_key"), "times").groupBy("_key").agg(F.max("times").alias("_times"))
+    """The documents of the mix, each as often as it is taken; all columns as they were, whatever their names."""
+    plan = mix(docs, **options).where("times > 0").select("key", "times").groupBy("key").agg(F.max("times").alias("times"))
     key = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = docs.withColumn("_key", key).join(plan, "_key")
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_key", "_times", "_time")
+    joined = docs.select(F.struct("*").alias("row"), key.alias("key")).join(plan, "key")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, st
 
 
 def score(docs: DataFrame, model: Network | Constant, at_least: float | None = None) -> DataFrame:
-    """docs with ``qc_score`` added; only rows scored ``at_least``, if given."""
+    """docs with ``qc_score`` added, or replaced; only rows scored ``at_least``, if given."""
+    docs = docs.drop("qc_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", qc_score double"
