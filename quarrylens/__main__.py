@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("-f", "--format", choices=sorted(reports.WRITERS), help="report format; else from the suffix")
     run.add_argument("-s", "--sample", type=int, help="analyze this many rows or images")
     run.add_argument("-t", "--type", help="dataset type or loader to use")
+    run.add_argument("--auto-sample", action="store_true", help="sample data over a gigabyte")
     return top
 
 
@@ -27,7 +28,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     given = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("quarrylens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        report = analyze(spark, given.path, given.sample, given.type, lambda u: print(f"{u.progress:4.0%} {u.stage} {u.message}", file=sys.stderr))
+        report = analyze(spark, given.path, given.sample, given.type, lambda u: print(f"{u.progress:4.0%} {u.stage} {u.message}", file=sys.stderr), given.auto_sample)
     except ProfileError as error:
         print(f"error: {error}", file=sys.stderr)
         return 1

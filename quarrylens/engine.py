@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.health import health_score
-from quarrylens.model import AnalysisMode, Dataset, DatasetReport, Detection, DetectionReport, Modality, ProgressUpdate, ScanResult
+from quarrylens.model import Dataset, DatasetReport, Detection, DetectionReport, Modality, ProgressUpdate, ScanResult
 from quarrylens.operators.base import run_analyzers
 from quarrylens.sources import tabular
 from quarrylens.sources.images import load_images
-from quarrylens.sources.sampling import SEED
+from quarrylens.sources.sampling import AUTO_BYTES, SEED, auto_size
 from quarrylens.sources.scan import detect_format, scan_directory
 
 VERSION = "0.1"
@@ -31,8 +31,11 @@ def register_loader(loader_id: str, loader: Loader) -> None:
     loaders[loader_id] = loader
 
 
-def analyze(spark: SparkSession, path: str, sample_size: int | None = None, force_type: str | None = None, progress: Callable[[ProgressUpdate], None] | None = None) -> DatasetReport:
-    """Scan, detect, load, analyze, score. ``force_type`` names a dataset type or a loader among the hypotheses."""
+def analyze(spark: SparkSession, path: str, sample_size: int | None = None, force_type: str | None = None, progress: Callable[[ProgressUpdate], None] | None = None, auto_sample: bool = False) -> DatasetReport:
+    """Scan, detect, load, analyze, score. ``force_type`` names a dataset type or a loader among the hypotheses.
+
+    All rows are read unless ``sample_size`` is given; ``auto_sample`` takes a sample of data over AUTO_BYTES.
+    """
     began = time.monotonic()
     tell = progress or (lambda update: None)
     tell(ProgressUpdate("scanning", "scan", 0.05))
@@ -46,7 +49,10 @@ def analyze(spark: SparkSession, path: str, sample_size: int | None = None, forc
         tell(ProgressUpdate("detecting", "detect", 0.25, 1.0, selected.dataset_type if selected else "unknown format"))
         if selected and selected.loader_id in loaders:
             tell(ProgressUpdate("loading", "load", 0.3))
-            report.dataset = loaders[selected.loader_id](spark, scan, sample_size)
+            load = loaders[selected.loader_id]
+            report.dataset = load(spark, scan, sample_size)
+            if auto_sample and not sample_size and report.dataset.total_size_bytes > AUTO_BYTES:
+                report.dataset = load(spark, scan, auto_size(report.dataset.num_samples))
             tell(ProgressUpdate("loading", "load", 0.4, 1.0))
             finish(report, tell)
     report.duration_seconds = round(time.monotonic() - began, 2)
@@ -96,6 +102,3 @@ def examples(dataset: Dataset) -> list[dict[str, Any]]:
         return []
     return [{k: v if v is None or isinstance(v, (int, float, str, bool)) else str(v) for k, v in r.asDict().items()} for r in dataset.data.limit(EXAMPLE_ROWS).collect()]
 
-
-def is_sampled(dataset: Dataset) -> bool:
-    return dataset.analysis_mode == AnalysisMode.SAMPLE
