@@ -8,9 +8,11 @@ radii is over the chord are pruned; two whose distance plus both radii is under
 linked whole, without looking at pairs; the rest are opened, and single points are
 compared by cosine in double precision.
 
-Only rows of one label meet.  A label with more than ``BLOCK_ROWS`` vectors is cut into
-blocks by a hash of vec_id, and every two of its blocks are traversed against each other,
-so one task holds two blocks at most.  Tasks return counts and a forest, never pairs.
+Only rows of one label meet.  A label with more than ``BLOCK_ROWS`` vectors starts its
+traversal on the cluster: the top of a cover tree over a bounded sample gives cells, every
+vector goes to the nearest centre, two cells meet only if their exact covering radii let
+them, and cells that lie within the chord are linked whole there and then, so copies and
+near copies of one vector never meet in pairs.  Of the other cells, one with more than ``BLOCK_ROWS`` vectors is cut by a hash of vec_id; one task holds two blocks at most.  Tasks return counts and a forest, never pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null label, link with nothing and are components of their own; vectors of
@@ -35,7 +37,10 @@ BLOCK_ROWS = 8192
 BATCH = 256
 SLACK = 1e-9  # distances this close to a bound are not decided by it
 LEVELS = 12
+CELL_SAMPLE = 16_384  # vectors of large labels that cells are taken from
+LABEL_CELLS = 512  # cells of a label at most, so 512 x 512 flags say which of them meet
 PAIR_CHUNK = 1 << 21
+LINK_SCHEMA = "vec_id long, n long, root long"
 
 
 @dataclass
@@ -216,25 +221,121 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy().reshape(len(vectors), -1)
+    scaled = flat / np.abs(flat).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
+def top_centres(points: np.ndarray, wanted: int) -> np.ndarray:
+    """Centres of the first level of a cover tree with that many nodes, or of its last; LABEL_CELLS at most."""
+    level, radius = [Node(0, 2.0, np.arange(len(points)))], 2.0
+    for _ in range(LEVELS):
+        if len(level) >= wanted:
+            break
+        radius /= 2
+        level = [c for node in level for c in split(points, node, radius)]
+    return points[[n.centre for n in level][:LABEL_CELLS]]
+
+
+def dealt_in_cells(rows: DataFrame, cosine: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """rows (label, dim, rows, vec_id, embedding) -> one row per pair of blocks that a vector takes part in, and links found already."""
+    spark = rows.sparkSession
+    label_type = rows.schema["label"].dataType.simpleString()
+    schema = f"label {label_type}, dim int, first long, second long, block long, vec_id long, embedding array<double>"
+    sample = rows.orderBy(F.xxhash64(F.lit(CELL_SAMPLE), "vec_id"), "vec_id").limit(CELL_SAMPLE).select("label", "dim", "rows", "embedding").toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], LINK_SCHEMA)
+    own: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(sample["label"].to_pylist(), sample["dim"].to_pylist())):
+        own.setdefault(key, []).append(k)
+    centres = {key: top_centres(unit_rows(sample["embedding"].combine_chunks().take(pa.array(at))), 4 * -(-sample["rows"][at[0]].as_py() // block_rows)) for key, at in own.items()}
+    shared = spark.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            cell, apart = np.zeros(len(keys), np.int64), np.full(len(keys), 2.0)
+            for key in set(keys):
+                at = np.array([k for k, own_key in enumerate(keys) if own_key == key])
+                if key in shared.value:  # a label that the sample has missed is one cell
+                    d = distances(unit_rows(batch.column(3).take(pa.array(at))), shared.value[key])
+                    cell[at], apart[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(apart)], [*batch.schema.names, "cell", "apart"])
+
+    celled = save(rows.select("label", "dim", "vec_id", "embedding").mapInArrow(assign, f"label {label_type}, dim int, vec_id long, embedding array<double>, cell long, apart double"), "cells")
+    sizes: dict[tuple, np.ndarray] = {}
+    radii: dict[tuple, np.ndarray] = {}
+    least: dict[tuple, np.ndarray] = {}
+    for r in celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius"), F.min("vec_id").alias("least")).collect():  # LABEL_CELLS rows a large label
+        key = (r["label"], r["dim"])
+        count = len(centres[key]) if key in centres else 1
+        for table, value in ((sizes, r["n"]), (radii, r["radius"]), (least, r["least"])):
+            table.setdefault(key, np.zeros(count, np.float64 if table is radii else np.int64))[r["cell"]] = value
+    salts = {key: -(-n // block_rows) for key, n in sizes.items()}
+    chord = np.sqrt(2 - 2 * cosine)
+    meets: dict[tuple, np.ndarray] = {}
+    added: dict[tuple, np.ndarray] = {}
+    joined: dict[tuple, np.ndarray] = {}
+    bridges: list[tuple[int, int, int]] = []
+    for key, radius in radii.items():
+        apart = distances(centres[key], centres[key]) if key in centres else np.zeros((1, 1))
+        np.fill_diagonal(apart, 0)
+        reach = radius[:, None] + radius[None, :]
+        there = sizes[key] > 0
+        linked = (apart + reach <= chord - SLACK) & there[:, None] & there[None, :]
+        meets[key] = (apart - reach <= chord + SLACK) & ~linked & there[None, :]
+        added[key] = linked @ sizes[key] - linked.diagonal()
+        joined[key] = np.where(linked.any(axis=1), least[key][linked.argmax(axis=1)], -1)
+        for cells in linked:
+            names = least[key][cells].tolist()
+            bridges += [(a, 0, b) for a, b in zip(names, names[1:])]
+    layout = spark.sparkContext.broadcast((salts, meets))
+
+    def deal(batches):
+        salts, meets = layout.value
+        for batch in batches:
+            rows, first, second, block = [], [], [], []
+            for k, (label, dim, vec_id, cell) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)))):
+                n = salts[label, dim]
+                mine = (cell << 24) + ((vec_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % int(n[cell])
+                for other_cell in np.flatnonzero(meets[label, dim][cell]).tolist():
+                    for salt in range(n[other_cell]):
+                        other = (other_cell << 24) + salt
+                        rows.append(k)
+                        first.append(min(mine, other))
+                        second.append(max(mine, other))
+                        block.append(mine)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(x, pa.int64()) for x in (first, second, block)), taken.column(2), taken.column(3)], ["label", "dim", "first", "second", "block", "vec_id", "embedding"])
+
+    whole = spark.sparkContext.broadcast((added, joined))
+
+    def link(batches):
+        added, joined = whole.value
+        for batch in batches:
+            at = [(k, added[label, dim][cell], joined[label, dim][cell]) for k, (label, dim, cell) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))) if added[label, dim][cell]]
+            names = batch.column(3).take(pa.array([k for k, _, _ in at], pa.int64()))
+            yield pa.RecordBatch.from_arrays([names, pa.array([n for _, n, _ in at], pa.int64()), pa.array([r for _, _, r in at], pa.int64())], ["vec_id", "n", "root"])
+
+    found = celled.select("label", "dim", "cell", "vec_id").mapInArrow(link, LINK_SCHEMA)
+    return celled.mapInArrow(deal, schema), found.unionByName(spark.createDataFrame(sorted(set(bridges)), LINK_SCHEMA))
+
+
 def threshold_links(vectors: DataFrame, cosine: float = 0.93, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vectors (vec_id, embedding, label) -> (vec_id, n_links, component_id, kept)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label"))
     able = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
-    blocks = F.ceil(F.count("*") / F.lit(block_rows)).cast("int")
-    sized = able.join(able.groupBy("label", "dim").agg(blocks.alias("blocks")), ["label", "dim"])
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        sized.withColumn("block", block).withColumn("other", other)
-        .select("label", "dim", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vec_id", "embedding")
-    )
+    sized = able.join(able.groupBy("label", "dim").agg(F.count("*").alias("rows")), ["label", "dim"])
+    whole = F.lit(0).cast("long")
+    small = sized.where(F.col("rows") <= block_rows).select("label", "dim", whole.alias("first"), whole.alias("second"), whole.alias("block"), "vec_id", "embedding")
+    large, found_whole = dealt_in_cells(sized.where(F.col("rows") > block_rows), cosine, block_rows)
+    dealt = small.unionByName(large)
 
     def compare(key, batch):
         batch = batch.sort_by("vec_id")
         ids, block = batch.column("vec_id").to_numpy(), batch.column("block").to_numpy()
-        flat = batch.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        scaled = flat / np.abs(flat).max(axis=1, keepdims=True)
-        points = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+        points = unit_rows(batch.column("embedding").combine_chunks())
         first, second = (k.as_py() for k in key[2:4])
         if first == second:
             counts, nodes, roots = links(points, None, cosine)
@@ -251,7 +352,8 @@ def threshold_links(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
         hit = counts > 0
         return pa.table({"vec_id": pa.array(names[hit]), "n": pa.array(counts[hit]), "root": pa.array(names[root[hit]])})
 
-    found = save(dealt.groupBy("label", "dim", "first", "second").applyInArrow(compare, "vec_id long, n long, root long"), "vector-links")
+    compared = dealt.groupBy("label", "dim", "first", "second").applyInArrow(compare, LINK_SCHEMA)
+    found = save(compared.unionByName(found_whole), "vector-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     roots = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
     return (

@@ -206,6 +206,18 @@ def test_threshold_links_defined_cases(spark, block):
     assert cover_tree.threshold_links(vectors(spark, [])).count() == 0
 
 
+def test_copies_are_linked_by_cells_and_far_cells_do_not_meet(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, ([1.0, 0.0, 0.0] if i % 3 == 0 else [0.0, 1.0, 0.0] if i % 3 == 1 else rng.normal(size=3).tolist()), 0) for i in range(300)]
+    rows = [(i, (np.array(v) + (rng.normal(size=3) * 0.003 if i % 3 < 2 else 0)).tolist(), y) for i, v, y in rows]
+    df = vectors(spark, rows)
+    plain = {tuple(r) for r in cover_tree.threshold_links(df, 0.93).collect()}
+    assert {tuple(r) for r in cover_tree.threshold_links(df, 0.93, 10).collect()} == plain
+    cells = df.select("label", F.size("embedding").alias("dim"), F.lit(300).cast("long").alias("rows"), "vec_id", "embedding")
+    dealt, found = cover_tree.dealt_in_cells(cells, 0.93, 10)
+    assert found.where("n >= 99").count() >= 200 and dealt.count() < 300 * 30
+
+
 # ---------------------------------------------------------------- pseudonyms
 
 
