@@ -12,7 +12,7 @@ from quarrylens.functions.exprs import no_nan, pct, pearson, ref
 from quarrylens.functions.types import columns_of
 from quarrylens.model import NUMBERS, Chart, Dataset, FieldType
 from quarrylens.operators.base import Analyzer, graded, info, register, rows_of, warning
-from quarrylens.plans.passes import SPLITS, quartiles
+from quarrylens.plans.passes import SPLITS, bucket_of, quartiles
 
 MAX_COLUMNS = 50
 HEATMAP_COLUMNS = 20
@@ -192,8 +192,7 @@ def intervals(df: DataFrame, column: str) -> DataFrame:
     micros = _micros(df, column)
     counted = df.select(micros.alias("t")).where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n"))
     points = counted.agg(F.percentile_approx("t", [k / SPLITS for k in range(1, SPLITS)], 10_000)).first()[0] or []
-    splits = F.array(*[F.lit(int(p)) for p in sorted(set(points))]).cast("array<long>")
-    bucketed = counted.withColumn("bucket", F.size(F.filter(splits, lambda s: s < F.col("t"))))
+    bucketed = counted.withColumn("bucket", bucket_of(F.col("t"), sorted({int(p) for p in points})))
     before = F.lag("t").over(Window.partitionBy("bucket").orderBy("t"))
     inside = bucketed.select((F.col("t") - before).alias("interval_us"), F.lit(1).cast("long").alias("n"))
     ends = bucketed.groupBy("bucket").agg(F.min("t").alias("first"), F.max("t").alias("last"))

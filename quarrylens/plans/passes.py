@@ -69,6 +69,18 @@ def nearest_rank(n: int, q: float) -> int:
     return floor((n - 1) * q + 0.5)
 
 
+def bucket_of(x: Column, splits: list) -> Column:
+    """How many of the sorted split points lie below a value, by binary search in generated code."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x <= F.lit(splits[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return search(0, len(splits))
+
+
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]], value: "callable" = None) -> dict[str, dict[int, float]]:
     """{column: {rank: value}}: exact values at positions from 0 among the sorted non-null values, as doubles."""
     make = value or (lambda c: ref(c).cast("double"))
@@ -77,14 +89,9 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], value: "callabl
         return {}
     fractions = [k / SPLITS for k in range(1, SPLITS)]
     points = df.agg(*[F.percentile_approx(make(c), fractions, 10_000).alias(f"p{i}") for i, c in enumerate(columns)]).first()
-    splits = [sorted(set(points[i] or [])) for i in range(len(columns))]
-
-    def bucket(c: str, i: int) -> Column:
-        """How many split points lie below the value."""
-        x = make(c)
-        return F.size(F.filter(F.array(*[F.lit(float(s)) for s in splits[i]]).cast("array<double>"), lambda s: s < x))
+    splits = [sorted({float(p) for p in points[i] or []}) for i in range(len(columns))]
 
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), bucket(c, i).alias("bucket"), make(c).alias("value")) for i, c in enumerate(columns)]))).where("value IS NOT NULL")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), bucket_of(make(c), splits[i]).alias("bucket"), make(c).alias("value")) for i, c in enumerate(columns)]))).where("value IS NOT NULL")
     totals: dict[int, dict[int, int]] = {}
     for r in long.groupBy("position", "bucket").count().collect():  # SPLITS rows a column at most
         totals.setdefault(r["position"], {})[r["bucket"]] = r["count"]
