@@ -238,6 +238,8 @@ def test_formats_stay_and_values_link(spark):
     iso, slash, _ = (x.strip() for x in out[3]["text"].removeprefix("born ").split(" or "))
     assert dt.date.fromisoformat(iso) == dt.datetime.strptime(slash, "%d/%m/%Y").date() != dt.date(1984, 2, 29)
     assert out[4]["kinds"] == "ssn,email" and "Bob" not in out[4]["text"] and "123-45" not in out[4]["text"]
+    local = pseudonyms(spark, ["(603) 555-8791 603-555-8791"])[0]
+    assert local["kinds"] == "phone,phone" and local["text"][1:4] + local["text"][6:] == local["text"][1:4] + local["text"][6:14] + " " + local["text"][1:4] + "-" + local["text"][6:14]
     assert pseudonyms(spark, ["4111111111111111;"], "other")[0]["text"] != out[1]["text"]
 
 
