@@ -1,4 +1,4 @@
-"""python -m quarrylens analyze PATH [-r REPORT] [-f json|html|markdown] [-s N] [-t TYPE]"""
+"""python -m quarrylens analyze PATH [-r REPORT] [-f json|html|markdown] [-s N] [-t TYPE]; python -m quarrylens serve [--port N]"""
 
 from __future__ import annotations
 
@@ -14,7 +14,11 @@ from quarrylens.model import ProfileError
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quarrylens", description="Profile a dataset with Spark.")
-    run = top.add_subparsers(dest="command", required=True).add_parser("analyze", help="profile a file or folder")
+    commands = top.add_subparsers(dest="command", required=True)
+    service = commands.add_parser("serve", help="offer the same over HTTP on this machine")
+    service.add_argument("--host", default="127.0.0.1")
+    service.add_argument("--port", type=int, default=8000)
+    run = commands.add_parser("analyze", help="profile a file or folder")
     run.add_argument("path")
     run.add_argument("-r", "--report", help="write a report here")
     run.add_argument("-f", "--format", choices=sorted(reports.WRITERS), help="report format; else from the suffix")
@@ -27,6 +31,13 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("quarrylens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if given.command == "serve":
+        from quarrylens.server import serve
+
+        with serve(spark, given.host, given.port) as server:
+            print(f"http://{given.host}:{server.server_address[1]}")
+            server.serve_forever()
+        return 0
     try:
         report = analyze(spark, given.path, given.sample, given.type, lambda u: print(f"{u.progress:4.0%} {u.stage} {u.message}", file=sys.stderr), given.auto_sample)
     except ProfileError as error:
