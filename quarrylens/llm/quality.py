@@ -87,9 +87,9 @@ class Network:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty(len(texts))
         start = size = 0
-        for k, text in enumerate(texts):  # about 2 MB of text at once, and at least one document
+        for k, text in enumerate(texts):  # about 1 MB of text at once, and at least one document
             size += len(text)
-            if size >= 1 << 21 or k == len(texts) - 1:
+            if size >= 1 << 20 or k == len(texts) - 1:
                 vectors, counts = self.pooled(texts[start : k + 1])
                 first = np.cumsum(counts) - counts
                 mean = np.add.reduceat(vectors, first, axis=0) / counts[:, None]

@@ -33,9 +33,10 @@ from quarrylens.llm.store import save, shuffle_width, without_ids
 
 BITS = 64
 SEED = 42
+NO_HASH = 0xFFFFFFFF  # fills short sketches
 TABLE_BITS = 16  # widest group of bits with a table of counts: 65,536 rows at most
 BUCKET_ROWS = 4096  # fingerprints of a bucket that one task compares at once
-PAIR_CHUNK = 1 << 20
+PAIR_CHUNK = 1 << 19
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -69,8 +70,9 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray, size: int) -> bytes:
-    """The smallest ``size`` distinct shingle hashes, cut to their upper 32 bits."""
-    return (np.unique(hashes >> np.uint64(32))[:size]).astype("<u4").tobytes()
+    """The smallest ``size`` distinct shingle hashes, cut to their upper 32 bits; NO_HASH is left out."""
+    values = np.unique((hashes >> np.uint64(32)).astype("<u4"))
+    return values[values != NO_HASH][:size].tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame:
@@ -331,10 +333,7 @@ def hamming_edges(distinct: DataFrame, rows: int, max_bits: int) -> DataFrame:
             width = (last - first)[group[q]]
             q, width = q[width > 0], width[width > 0]
             u, v = [], []
-            done = 0
-            totals = np.cumsum(width)
-            while done < len(q):
-                upto = max(done + 1, int(np.searchsorted(totals, (totals[done - 1] if done else 0) + PAIR_CHUNK, "right")))
+            for done, upto in runs_of(width, PAIR_CHUNK):
                 w = width[done:upto]
                 left = np.repeat(q[done:upto], w)
                 right = data[np.repeat(first[group[q[done:upto]]], w) + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w)]
@@ -344,7 +343,6 @@ def hamming_edges(distinct: DataFrame, rows: int, max_bits: int) -> DataFrame:
                     nodes, roots = forest(a[near].view(np.int64), b[near].view(np.int64))
                     u.append(nodes)
                     v.append(roots)
-                done = upto
             held_key = (bucket[-1], salt[-1])
             held = fps[data[first[group[-1]] : last[group[-1]]]]
             if u:
@@ -370,7 +368,7 @@ def hamming_components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> Da
 # ---------------------------------------------------------------- similarity 0.8 in blocks
 
 
-BLOCK_ROWS = 32768
+BLOCK_ROWS = 16384
 LENGTH_STEP = 1.25  # 1 / 0.8: texts with fewer shingles by more than this cannot have Jaccard 0.8
 
 
@@ -396,23 +394,34 @@ def block_candidates(a: np.ndarray, b: np.ndarray, max_bits: int, same: bool):
         asked = gather_bits(a, group)
         for mask in ball_masks(len(group), t):
             at = asked ^ mask
-            low = starts[at]
-            width = starts[at + 1] - low
-            i = np.repeat(np.arange(len(a)), width)
-            j = order[np.repeat(low, width) + np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)]
-            near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
-            if same:
-                near &= i < j
-            yield i[near], j[near]
+            width = starts[at + 1] - starts[at]
+            for s, e in runs_of(width, PAIR_CHUNK):
+                w = width[s:e]
+                i = np.repeat(np.arange(s, e), w)
+                j = order[np.repeat(starts[at[s:e]], w) + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)]
+                near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
+                if same:
+                    near &= i < j
+                yield i[near], j[near]
+
+
+def runs_of(width: np.ndarray, most: int):
+    """(start, end) of runs whose widths sum to ``most`` at the most, or of single items wider than that."""
+    totals = np.cumsum(width)
+    start = 0
+    while start < len(width):
+        end = max(start + 1, int(np.searchsorted(totals, (totals[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
 
 
 def sketch_similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Jaccard estimated from rows of bottom-k sketches, padded with 2^32; exact where both sets fit."""
+    """Jaccard estimated from rows of bottom-k sketches, padded with NO_HASH; exact where both sets fit."""
     size = x.shape[1]
     both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < 1 << 32)
-    fresh = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1) & (both < 1 << 32)
-    rank = np.cumsum(fresh, axis=1)
+    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NO_HASH)
+    fresh = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1) & (both != NO_HASH)
+    rank = np.cumsum(fresh, axis=1, dtype=np.int32)
     within = np.minimum(rank[:, -1], size)
     shared = (twice & (rank[:, 1:] <= size)).sum(axis=1)
     return np.where(within > 0, shared / np.maximum(within, 1), 1.0)
@@ -497,7 +506,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
         role = table.column("role").to_numpy()
         fps = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         keys = table.column("key").to_numpy().astype(np.int64)
-        sketches = np.full((len(role), sketch_size), 1 << 32, np.int64)
+        sketches = np.full((len(role), sketch_size), NO_HASH, np.uint32)
         for k, s in enumerate(table.column("sketch").to_pylist()):
             sketches[k, : len(s) // 4] = np.frombuffer(s, "<u4")
         sides = [(fps[role == r], sketches[role == r], keys[role == r]) for r in (0, 1)]
