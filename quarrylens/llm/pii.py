@@ -7,7 +7,7 @@ radix.  A permutation keeps different values different, and the same value has t
 pseudonym in every document, so records stay linked.
 
     card   13 to 19 digits, Luhn valid          all but the check digit, which is recomputed
-    phone  + country code and national number, or ten digits in groups    the national digits
+    phone  + country code and national number, or ten digits in groups    the national digits (all, if nothing parts off a code other than 1)
     ssn    ddd-dd-dddd, assigned ranges          all digits
     ip     four octets                           the 32-bit address
     date   y-m-d, d/m/y or d.m.y, 1900 to 2099   the day number
@@ -31,12 +31,16 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9A-Za-z])",
     "date": rf"{BEFORE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}){BEHIND}",
-    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,3}}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){BEHIND}",
+    "phone": (
+        r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?\([0-9]{3}\)|\+1[ .-]?[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
+        r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![.-][0-9])|\+[0-9]{8,15}"
+        rf"|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){BEHIND}"
+    ),
     "ssn": rf"{BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{BEHIND}",
     "card": rf"{BEFORE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){BEHIND}",
 }
 ANY = "|".join(PATTERNS.values())
-WORTH_A_LOOK = "[0-9]{3}|[0-9][./][0-9]|@"
+WORTH_A_LOOK = r"[0-9]{3}|[0-9][./][0-9]|\+[0-9]|@"
 FIRST_DAY, DAYS, DAY_RADIX = "1900-01-01", 73_049, (17, 4_297)  # 1900 to 2099; 17 x 4,297 days
 
 
@@ -135,7 +139,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     card = F.concat(body, F.pmod(-luhn_sum(body, True), F.lit(10)).cast("string"))
 
-    code = F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[^0-9])", 1)
+    code = F.regexp_extract(m, r"^\+([0-9]{1,3}(?=[^0-9])|1(?=[0-9]{10}$))", 1)
     national = F.substring(digits, F.length(code) + 1, F.length(digits))
     phone = F.concat(code, permuted_digits(national, key, "phone"))
 

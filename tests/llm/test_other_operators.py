@@ -243,6 +243,19 @@ def test_formats_stay_and_values_link(spark):
     assert pseudonyms(spark, ["4111111111111111;"], "other")[0]["text"] != out[1]["text"]
 
 
+def test_values_side_by_side_do_not_swallow_each_other(spark):
+    phone = "+1 (603) 555-8791"
+    behind = {"192.168.10.24": "ip", "2024-01-05": "date", "4111 1111 1111 1111": "card", "123-45-6789": "ssn", "(603) 555-8791": "phone", "16 pages": ""}
+    out = pseudonyms(spark, [phone, *[f"{phone} {x}" for x in behind], "+49 30 12 34 56", "+16035558791", "+491701234567"])
+    alone = out[0]["text"]
+    for i, (value, kind) in enumerate(behind.items(), 1):
+        assert out[i]["kinds"] == ("phone," + kind).strip(",") and out[i]["text"].startswith(alone + " ")
+        assert (value in out[i]["text"]) == (kind == "")
+    n = len(behind)
+    assert all(out[n + k]["kinds"] == "phone" for k in (1, 2, 3)) and out[n + 1]["text"] != "+49 30 12 34 56"
+    assert out[n + 2]["text"] == "+1" + "".join(c for c in alone[3:] if c.isdigit())
+
+
 def test_what_is_not_valid_stays(spark):
     texts = [None, "", "4111111111111112", "2023-02-30 and 1899-12-31", "999.1.1.1 1.2.3.4.5", "000-12-3456", "0000000000000000", "a1234567890123b", "v" * 100_000]
     out = pseudonyms(spark, texts)
