@@ -8,7 +8,7 @@ the chunks go through one logistic unit.  The model is fitted on the driver on a
 
 Defined cases: a null text scores as an empty one (padding only); a null doc_id counts
 as empty text in the fold rule; labels that are null are not used, of repeated labels of
-a document the larger is; with no label of one class every score is the smoothed share
+a document the larger is, and of rows that share a doc_id one is learned from; with no label of one class every score is the smoothed share
 of label 1; repeated rows come again; columns other than doc_id and text are ignored.
 """
 
@@ -183,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = narrow.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(sample, "doc_id long, quality int, chunks array<binary>").toArrow()
-    found = sorted(zip(rows["doc_id"].to_pylist(), rows["quality"].to_pylist(), rows["chunks"].to_pylist()))[: 2 * sample_rows]
+    rows = narrow.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(sample, "doc_id long, quality int, chunks array<binary>")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).toArrow()  # sample_rows at most, however often a doc_id comes
+    found = sorted(zip(rows["doc_id"].to_pylist(), rows["quality"].to_pylist(), rows["chunks"].to_pylist()))
     return fit([c for _, _, c in found], np.array([q for _, q, _ in found], np.float64), steps)
 
 

@@ -339,6 +339,8 @@ def test_classifier_defined_cases(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 8)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs_of(spark), labels).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
+    repeated = quality.classify(docs_of(spark).unionByName(docs_of(spark)).unionByName(docs_of(spark)), labels)  # learns from one row a doc_id
+    assert {(r["doc_id"], r["score"]) for r in repeated.collect()} == {(r["doc_id"], r["score"]) for r in out}
     constant = quality.classify(docs_of(spark), labels.where("quality = 1")).select("score").distinct().collect()
     assert len(constant) == 1
     assert quality.classify(docs_of(spark, []), labels.limit(0)).count() == 0
