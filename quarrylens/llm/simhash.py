@@ -76,7 +76,10 @@ def sketch(hashes: np.ndarray, size: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame:
-    """(doc_id, fp[, n, sketch]) of whole texts, one row per document."""
+    """(doc_id, fp[, n, sketch]) of whole texts, one row per document.
+
+    fp counts a shingle as often as it comes; beside sketches, which stand for sets, it counts each once.
+    """
     schema = "doc_id long, fp long" + (", n long, sketch binary" if sketch_size else "")
 
     def run(batches):
@@ -84,10 +87,11 @@ def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame
             fps, counts, sketches = [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), words)
-                fps.append(simhash(hashes))
                 if sketch_size:
-                    counts.append(len(np.unique(hashes)))
+                    hashes = np.unique(hashes)
+                    counts.append(len(hashes))
                     sketches.append(sketch(hashes, sketch_size))
+                fps.append(simhash(hashes))
             columns = [batch.column(0), pa.array(fps, pa.int64())]
             names = ["doc_id", "fp"]
             if sketch_size:
@@ -462,7 +466,7 @@ def link_blocks(left, right, similarity: float, max_bits: int):
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 16, sketch_size: int = 128) -> DataFrame:
     """(doc_id, component_id): documents linked by similar sets of word shingles.
 
-    Candidates are fingerprints within ``max_bits``; links are those whose sketches show
+    Candidates are fingerprints of distinct shingles within ``max_bits``; links are those whose sketches show
     at least ``similarity`` (exact up to ``sketch_size`` shingles).  Blocks hold
     documents of one length class and meet only blocks of the same or the next class.
     Rows with a null doc_id take no part.  Repeated rows come again.

@@ -158,6 +158,17 @@ def test_near_duplicates_by_brute_force(spark):
                 assert found[a] != found[b]
 
 
+def test_near_duplicates_with_a_passage_that_recurs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(10):
+        words = list(map(str, rng.integers(0, 10_000, 104)))
+        rows += [(k, " ".join(words), "en", "s", 1), (k + 10, " ".join(words + [f"again{k}", "and", f"over{k}"] * 50), "en", "s", 1)]
+    assert all(jaccard(a[1], b[1]) >= 0.9 for a, b in zip(rows[::2], rows[1::2]))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert found == {k: k % 10 for k in range(20)}
+
+
 def test_index_in_blocks_finds_what_a_scan_finds():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
