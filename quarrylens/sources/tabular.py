@@ -84,10 +84,13 @@ def load_csv(spark: SparkSession, scan: ScanResult, sample_size: int | None = No
     df = typed_csv(spark, main.path, "\t" if main.extension == ".tsv" else ",")
     splits: dict[str, int] = {}
     for f in files:
-        name = split_of(os.path.splitext(f.name)[0])
+        stem = os.path.splitext(f.name)[0]
+        name = split_of(stem)
         if name:
-            rows = df.count() if f is main else 0
-            splits[name] = splits.get(name, 0) + rows
+            rows = df if f is main else spark.read.option("header", True).option("sep", "\t" if f.extension == ".tsv" else ",").csv(f.path)
+            splits[name] = splits.get(name, 0) + rows.count()
+        elif len(files) > 1:  # other files stand beside the splits without a count
+            splits.setdefault(stem.lower(), 0)
     out = describe(df, scan, main.extension[1:], [f.path for f in files], sample_size, splits)
     return out
 

@@ -80,6 +80,16 @@ def test_csv_with_a_late_bad_cell(spark, tmp_path):
     assert report.dataset.splits == {"train": 11_001} and report.dataset.fields[0].nullable and report.dataset.classes == {"a": 5501, "b": 5500}
 
 
+def test_csv_counts_every_split_file(spark, tmp_path):
+    for name, sep, n in (("train.csv", ",", 40), ("test.csv", ",", 7), ("val_1.tsv", "\t", 3), ("val_2.tsv", "\t", 2), ("Extra.csv", ",", 5)):
+        put(tmp_path, name, f"n{sep}t\n" + "".join(f"{i}{sep}v{i}\n" for i in range(n)))
+    put(tmp_path, "dev.csv", "")
+    data = analyze(spark, str(tmp_path)).dataset
+    assert data.splits == {"train": 40, "test": 7, "val": 5, "extra": 0, "dev": 0} and data.num_samples == 40 and "splits" in data.capabilities
+    put(tmp_path, "one/Extra.csv", "n\n1\n")
+    assert analyze(spark, str(tmp_path / "one")).dataset.splits == {}
+
+
 @pytest.mark.parametrize(("name", "text"), [("a.json", '[{"z": 1, "a": "x"}, {"z": 2, "a": "y"}]'), ("a.json", ' {"z": 1, "a": "x"}\n{"z": 2, "a": "y"}\n'), ("a.jsonl", '{"z": 1, "a": "x"}\nnot json\n{"z": 2, "a": "y"}\n')])
 def test_json_keeps_column_order_and_skips_bad_lines(spark, tmp_path, name, text):
     put(tmp_path, name, text)
