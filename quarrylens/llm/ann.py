@@ -6,6 +6,9 @@ nearest centroid and, if it lies near a boundary, to those of further centroids
 not shadowed by one already chosen.  A query walks the graph and reads the lists whose
 centroid is within a ratio of the nearest one's distance.  The ratio is fitted on the
 sample so that ``TARGET_RECALL`` of true neighbours lie in lists that would be read.
+Where these lists hold fewer than k rows besides the query's own, the next nearest ones
+are read as well until they hold k; rows count in their nearest list only, so copies of
+a row in several lists are not taken for several rows.
 
 Largest inner products become smallest distances by one more component,
 sqrt(M^2 - |x|^2), with M the largest norm over all rows.
@@ -151,10 +154,18 @@ class Index:
             lists.append(c[good])
         return np.concatenate(rows), np.concatenate(lists)
 
-    def lists_for(self, queries: np.ndarray) -> np.ndarray:
-        """[queries, lists] of those to be read."""
-        apart = self.walk(self.lift_queries(queries), self.ratio)
-        return apart <= apart.min(axis=1, keepdims=True) * (1 + self.ratio)
+    def lists_for(self, queries: np.ndarray, homes: np.ndarray, k: int) -> np.ndarray:
+        """[queries, lists] of those to be read; homes: rows by nearest list, so that k others are there if they exist."""
+        points = self.lift_queries(queries)
+        apart = self.walk(points, self.ratio)
+        wanted = apart <= apart.min(axis=1, keepdims=True) * (1 + self.ratio)
+        few = np.flatnonzero(wanted @ homes < k + 1)
+        if len(few):
+            order = np.argsort(np.where(wanted[few], -1, squared(points[few], self.centroids)), axis=1, kind="stable")
+            held = np.cumsum(homes[order], axis=1) - homes[order]
+            row, place = np.nonzero(held < k + 1)
+            wanted[few[row], order[row, place]] = True
+        return wanted
 
 
 def fit(sample: np.ndarray, rows: int, top_norm: float, k: int) -> Index:
@@ -232,10 +243,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             for s in range(0, len(points), 2048):
                 row, owner = shared.value.lists_of(points[s : s + 2048])
                 taken = batch.slice(s, 2048).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), *taken.columns], ["list", "vec_id", "embedding"])
-
-    postings = save(rows.mapInArrow(post, "list int, vec_id long, embedding array<double>"), "ann-postings")
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows at most
+                home = np.arange(len(row)) < len(points[s : s + 2048])  # lists_of names the nearest lists first
+                yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), pa.array(home), *taken.columns], ["list", "home", "vec_id", "embedding"])
+
+    posted = save(rows.mapInArrow(post, "list int, home boolean, vec_id long, embedding array<double>"), "ann-postings")
+    postings = posted.drop("home")
+    counted = posted.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("home")).collect()  # MAX_LISTS rows at most
+    sizes = {r["list"]: r["n"] for r in counted}
+    homes = np.zeros(len(index.centroids), np.int64)
+    for r in counted:
+        homes[r["list"]] = r["home"]
     blocks, shard, filled = {}, 0, 0
     for name in sorted(sizes):
         parts = -(-sizes[name] // BLOCK_ROWS)
@@ -261,7 +278,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         for batch in batches:
             points, ids = as_matrix(batch.column(1)), batch.column(0).to_numpy()
             for s in range(0, len(points), QUERY_CHUNK):
-                wanted = shared.value.lists_for(points[s : s + QUERY_CHUNK])
+                wanted = shared.value.lists_for(points[s : s + QUERY_CHUNK], homes, k)
                 out: list[tuple[int, int, list[int]]] = []
                 for r, lists in enumerate(wanted):
                     by_shard: dict[int, list[int]] = {}

@@ -147,6 +147,24 @@ def test_recall_on_the_test_table(spark, monkeypatch):
     assert np.mean(recall) >= 0.9
 
 
+def test_outliers_beside_a_hot_group_have_all_k(spark):
+    rng = np.random.default_rng(3)
+    hot, far = rng.normal(size=8), rng.normal(size=8)
+    rows = [(i, [float(x) for x in hot], 0) for i in range(500)] + [(500 + i, [float(x) for x in far + 0.01 * rng.normal(size=8)], 0) for i in range(12)]
+    found = Counter(r["query_id"] for r in ann.search(vectors(spark, rows), (F.col("vec_id") >= 500) | (F.col("vec_id") == 0), k=20).collect())
+    assert found == Counter({i: 20 for i in (0, *range(500, 512))})
+
+
+def test_lists_are_opened_until_k_different_rows_are_there():
+    index = ann.Index(np.array([[0.0, 0.0], [1.0, 0.0], [2.0, 0.0], [9.0, 0.0]]), np.ones((4, 4), np.float32) - np.eye(4, dtype=np.float32), 1.0)
+    index.lift_queries = lambda queries: queries
+    query = np.array([[0.1, 0.0]])
+    assert index.lists_for(query, np.array([0, 6, 3, 99]), 5).tolist() == [[True, True, False, False]]
+    assert index.lists_for(query, np.array([0, 6, 3, 99]), 6).tolist() == [[True, True, True, False]]
+    assert index.lists_for(query, np.array([0, 6, 3, 99]), 9).tolist() == [[True] * 4]
+    assert index.lists_for(query, np.array([0, 1, 0, 1]), 20).tolist() == [[True] * 4]
+
+
 # ---------------------------------------------------------------- cover tree
 
 
