@@ -333,6 +333,19 @@ def test_scan_places_and_defined_cases(spark, trained):
     assert secret_scan.scan(df.limit(0), trained).count() == 0
 
 
+@pytest.mark.parametrize("n", [256, 257, 300, 5_000, 2_000_000])
+def test_long_secrets_are_whole_candidates(spark, trained, n):
+    rng = np.random.default_rng(n)
+    mixed = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    value = "a1" + "".join(rng.choice(mixed, n - 2))
+    other = value[:-1] + ("b" if value[-1] != "b" else "c")
+    texts = [(f"x {value} y", "mixed", 2, value), (f"x {value}== y", "mixed", 2, value + "=="), (f"token = '{value}' y", "assigned", 9, value), (f"token = '{other}' y", "assigned", 9, other), (f"x sk_live_{value} y", "prefixed", 2, f"sk_live_{value}"), (f"x xoxb-12-{value} y", "prefixed", 2, f"xoxb-12-{value}")]
+    for text, rule, start, whole in texts:
+        assert [(c.rule, c.start, c.end, c.value) for c in secret_scan.candidates(text)] == [(rule, start, start + len(whole), whole)]
+    out = secret_scan.scan(spark.createDataFrame([(i, t[0], "p") for i, t in enumerate(texts)], "doc_id long, text string, source string"), trained).collect()
+    assert sorted((r["doc_id"], r["length"], r["value_sha256"]) for r in out) == [(i, len(t[3]), hashlib.sha256(t[3].encode()).hexdigest()) for i, t in enumerate(texts)]
+
+
 def test_findings_from_a_table(spark):
     rows = [("b44e15e09fd311c3cf3163b66d5a9875", "assigned", "token=", "", "", 1), ("changeme", "assigned", "token=", None, None, 0), (None, None, None, None, None, 1), ("x", None, None, None, None, None)]
     table = spark.createDataFrame(rows * 30, "value string, rule string, before string, behind string, path string, label int")
