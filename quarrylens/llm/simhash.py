@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import connected_components, forest
-from quarrylens.llm.store import save, shuffle_width, without_ids
+from quarrylens.llm.store import BROADCAST_ROWS, save, shuffle_width, without_ids
 
 BITS = 64
 SEED = 42
@@ -76,11 +76,11 @@ def sketch(hashes: np.ndarray, size: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame:
-    """(doc_id, fp[, n, sketch]) of whole texts, one row per document.
+    """(doc_id, fp[, text_hash, n, sketch]) of whole texts, one row per document.
 
     fp counts a shingle as often as it comes; beside sketches, which stand for sets, it counts each once.
     """
-    schema = "doc_id long, fp long" + (", n long, sketch binary" if sketch_size else "")
+    schema = "doc_id long, fp long" + (", text_hash long, n long, sketch binary" if sketch_size else "")
 
     def run(batches):
         for batch in batches:
@@ -95,11 +95,13 @@ def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame
             columns = [batch.column(0), pa.array(fps, pa.int64())]
             names = ["doc_id", "fp"]
             if sketch_size:
-                columns += [pa.array(counts, pa.int64()), pa.array(sketches, pa.binary())]
-                names += ["n", "sketch"]
+                columns += [batch.column(2), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary())]
+                names += ["text_hash", "n", "sketch"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    if sketch_size:
+        narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
     return narrow.mapInArrow(run, schema)
 
 
@@ -373,6 +375,7 @@ def hamming_components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> Da
 
 
 BLOCK_ROWS = 16384
+ROW_TEXT = "near_duplicate_text_hash"
 LENGTH_STEP = 1.25  # 1 / 0.8: texts with fewer shingles by more than this cannot have Jaccard 0.8
 
 
@@ -471,6 +474,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     documents of one length class and meet only blocks of the same or the next class.
     Rows with a null doc_id take no part.  Repeated rows come again.
     """
+    return near_duplicate_rows(docs, words, similarity, max_bits, sketch_size).select("doc_id", "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 16, sketch_size: int = 128) -> DataFrame:
+    """(doc_id, text_hash, root, component_id): as ``near_duplicates``, with the XXH64 of the row's text and one of its component."""
     spark = docs.sparkSession
     prints = save(fingerprints(docs.where("doc_id IS NOT NULL"), words, sketch_size), "sketches")
     key = F.xxhash64("fp", "n", "sketch")
@@ -521,18 +529,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     roots = connected_components(edges)
     named = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", key.alias("key")).join(named.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    return prints.select("doc_id", "text_hash", key.alias("key")).join(named.join(smallest, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_hash", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The documents without those near-identical to one with a smaller doc_id; columns as they were.
 
-    A row whose doc_id is null stays; of rows that share a doc_id one stays.
+    A row whose doc_id is null stays.  Of rows that share a doc_id and are linked one stays,
+    the one with the smallest hash of its text; rows that share a doc_id and are not linked
+    are judged each by its own text.
     """
-    found = save(near_duplicates(docs, **options), "near-duplicates")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = without_ids(docs, dropped)
+    found = save(near_duplicate_rows(docs, **options), "near-duplicates")
     total, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    others = found.where("doc_id <> component_id")
     if total == ids:
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+        return without_ids(docs, others.select("doc_id"))
+    first = found.where("doc_id = component_id").select("doc_id", "root", "text_hash").distinct()
+    least = first.groupBy("doc_id", "root").agg(F.min("text_hash").alias("least"))
+    further = first.join(least, ["doc_id", "root"]).where("text_hash <> least")
+    dropped = save(others.select("doc_id", "text_hash").union(further.select("doc_id", "text_hash")).distinct(), "dropped")
+    if dropped.count() <= BROADCAST_ROWS // 2:
+        dropped = F.broadcast(dropped)
+    marked = docs.withColumn(ROW_TEXT, F.xxhash64(F.col("text").cast("binary")))
+    kept = marked.join(dropped, (marked["doc_id"].cast("long") == dropped["doc_id"]) & (marked[ROW_TEXT] == dropped["text_hash"]), "left_anti")
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", ROW_TEXT]).unionByName(kept.where("doc_id IS NULL")).drop(ROW_TEXT)

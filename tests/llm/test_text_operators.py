@@ -189,6 +189,14 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert simhash.deduplicated(docs_of(spark, [])).count() == 0
 
 
+def test_deduplicated_judges_rows_of_one_id_by_their_texts(spark):
+    a, b, c, d = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcd")
+    rows = [(i, t, "en", "s", 1) for i, t in ((3, a), (5, a), (5, b), (5, b), (9, b), (7, c), (7, c + " more"), (8, c), (11, d), (11, None))]
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs_of(spark, rows)).collect())
+    assert sum(n for (_, t), n in kept.items() if t in (c, c + " more")) == 1 and {i for i, t in kept if t in (c, c + " more")} == {7}
+    assert {k: n for k, n in kept.items() if k[0] != 7} == {(3, a): 1, (5, b): 1, (11, d): 1, (11, None): 1}
+
+
 # ---------------------------------------------------------------- lines
 
 
