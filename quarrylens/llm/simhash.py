@@ -11,7 +11,8 @@ are verified on all 64 bits.
 ``hamming_components`` deals probes and fingerprints out by (partition, value), which is
 near-linear for few bits.  ``near_duplicates`` needs many bits (similarity 0.8), where
 balls are too large to be dealt out; it compares blocks of fingerprints of compatible
-lengths, each with an index of this kind in memory, and verifies shingle sketches.
+lengths, all pairs of every two blocks unless blocks are large enough for an index in
+memory to pay, and verifies shingle sketches.
 
 Defined cases: null or blank text has fingerprint 0 and is linked like any other; equal
 fingerprints are always linked; a null doc_id takes no part in the smallest id; repeated
