@@ -7,20 +7,28 @@ radix.  A permutation keeps different values different, and the same value has t
 pseudonym in every document, so records stay linked.
 
     card   13 to 19 digits, Luhn valid          all but the check digit, which is recomputed
-    phone  + country code and national number, or ten digits in groups    the national digits (all, if nothing parts off a code other than 1)
-    ssn    ddd-dd-dddd, assigned ranges          all digits
+    phone  + country code and national number, or ten digits in groups    the national digits; separators and a code before them do not matter
+    ssn    ddd-dd-dddd, assigned ranges          all digits, walked on until the result is an assigned range too
     ip     four octets                           the 32-bit address
     date   y-m-d, d/m/y or d.m.y, 1900 to 2099   the day number
+           m/d/y, if it is no d/m/y              the day number, walked on until the result is no d/m/y either
     email  local@domain                          keyed hashes (names have no fixed format)
 
-What fails validation stays as it is.  Defined cases: a null text stays null and counts
-as no values; empty and very long texts are read whole; rows are independent, so repeated
-rows and null doc_ids pass through; other columns are ignored; an empty table gives an
-empty result.
+What fails validation stays as it is.  Lengths in the patterns are those of the formats: an
+address has at most 64 characters before the @, labels of at most 63 and 127 of them, a last
+one of 2 to 63 letters; a telephone number at most 15 digits.  A match starts only where no
+character of its own kind stands before it and runs are possessive, so that any text is read
+in linear time and without deep recursion.
+
+Defined cases: a null text stays null and counts as no values; empty and very long texts
+are read whole; rows are independent, so repeated rows and null doc_ids pass through; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +36,12 @@ ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BEFORE, BEHIND = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}+(?![A-Za-z])",
     "ip": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9A-Za-z])",
     "date": rf"{BEFORE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}){BEHIND}",
     "phone": (
         r"(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}[ .-]?\([0-9]{3}\)|\+1[ .-]?[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
+        r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{2,5})[ .-]?[0-9]{5,8}(?![ .-][0-9])|\+[0-9]{1,3}[ .-][0-9](?:[ .-][0-9]{2}){4}"
         r"|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![.-][0-9])|\+[0-9]{8,15}"
         rf"|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){BEHIND}"
     ),
@@ -42,6 +51,10 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 WORTH_A_LOOK = r"[0-9]{3}|[0-9][./][0-9]|\+[0-9]|@"
 FIRST_DAY, DAYS, DAY_RADIX = "1900-01-01", 73_049, (17, 4_297)  # 1900 to 2099; 17 x 4,297 days
+WALK = 64  # steps after which a walk ends; over a third of the values are valid, so no walk comes near
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+SSN_UNASSIGNED = r"^(?:000|666|9)|^[0-9]{3}00|0000$"
 
 
 def prf(key: str, form: Column | str, round_: Column, half: Column, modulus: Column) -> Column:
@@ -63,6 +76,16 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
+def walked(start: Column, step: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
+    """The first valid one of step(start), step(step(start)), ...: step, a permutation, made one of the valid values."""
+    return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), step(start), lambda v, _: F.when(valid(v), v).otherwise(step(v)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ten_to(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
@@ -108,30 +131,37 @@ def whole(kind: str) -> str:
 def kind_of(m: Column) -> Column:
     """The first format that a candidate has and is valid in; null if none."""
     digits = digits_of(m)
-    ssn_ok = ~digits.rlike("^(?:000|666|9)") & (F.substring(digits, 4, 2) != "00") & (F.substring(digits, 6, 4) != "0000")
     return (
         F.when(m.rlike(whole("email")), "email")
         .when(m.rlike(whole("ip")), "ip")
         .when(m.rlike(whole("date")) & day_of(m).isNotNull(), "date")
         .when(m.rlike(whole("phone")) & F.length(digits).between(8, 15), "phone")
-        .when(m.rlike(whole("ssn")) & ssn_ok, "ssn")
+        .when(m.rlike(whole("ssn")) & ~digits.rlike(SSN_UNASSIGNED), "ssn")
         .when(m.rlike(whole("card")) & ~digits.rlike("^0+$") & (luhn_sum(digits, False) % 10 == 0), "card")
     )
 
 
-def date_parts(m: Column) -> Column:
-    """(year, month, day) as text for any of the three ways to write a date."""
-    parts = F.split(m, "[-/.]")
-    iso = m.rlike("^[0-9]{4}-")
-    return F.struct(F.when(iso, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(2))).alias("y"), F.get(parts, F.lit(1)).alias("m"), F.when(iso, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(0))).alias("d"))
+def day_number(year: Column, month: Column, day: Column) -> Column:
+    """Days since FIRST_DAY of a calendar date in range; null otherwise."""
+    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    return bound(F.datediff(date, F.lit(FIRST_DAY).cast("date")), lambda n: F.when(n.between(0, DAYS - 1), n))
+
+
+def date_of(m: Column) -> Column:
+    """struct(n, order, mark): the day number, how it is written (ymd, dmy or, with slashes if it is no dmy, mdy) and its separator; n null if no date."""
+
+    def read(parts: Column) -> Column:
+        a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+        found = lambda n, order, mark: F.struct(n.alias("n"), F.lit(order).alias("order"), F.lit(mark).alias("mark"))
+        slashed = bound(day_number(c, b, a), lambda n: F.when(n.isNotNull(), found(n, "dmy", "/")).otherwise(found(day_number(c, a, b), "mdy", "/")))
+        return F.when(m.contains("-"), found(day_number(a, b, c), "ymd", "-")).when(m.contains("/"), slashed).otherwise(found(day_number(c, b, a), "dmy", "."))
+
+    return F.when(m.rlike(whole("date")), bound(F.split(m, "[-/.]"), read))
 
 
 def day_of(m: Column) -> Column:
-    """Days since FIRST_DAY of a calendar date in range; null otherwise."""
-    p = date_parts(m)
-    day = F.try_to_date(F.concat_ws("-", p["y"], F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd")
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    return F.when(m.rlike(whole("date")) & number.between(0, DAYS - 1), number)
+    """Days since FIRST_DAY of a calendar date in range, in any of the ways to write it; null otherwise."""
+    return date_of(m)["n"]
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -139,21 +169,28 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     card = F.concat(body, F.pmod(-luhn_sum(body, True), F.lit(10)).cast("string"))
 
-    code = F.regexp_extract(m, r"^\+([0-9]{1,3}(?=[^0-9])|1(?=[0-9]{10}$))", 1)
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 1)).otherwise("")
     national = F.substring(digits, F.length(code) + 1, F.length(digits))
     phone = F.concat(code, permuted_digits(national, key, "phone"))
+    ssn = walked(digits, lambda d: permuted_digits(d, key, "ssn"), lambda d: ~d.rlike(SSN_UNASSIGNED))
 
     octets = F.split(m, r"\.")
     octet = lambda i: F.get(octets, F.lit(i)).cast("long")
     address = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65_536), F.lit(65_536), key, "ip")
     ip = F.concat_ws(".", *[x.cast("int").cast("string") for half in ("l", "r") for x in (F.floor(address[half] / 256), address[half] % 256)])
 
-    number = day_of(m)
-    moved = feistel(F.floor(number / DAY_RADIX[1]), number % DAY_RADIX[1], F.lit(DAY_RADIX[0]), F.lit(DAY_RADIX[1]), key, "date")
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (moved["l"] * DAY_RADIX[1] + moved["r"]).cast("int"))
-    parts = F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "ddMMyyyy"))
-    separator = F.regexp_extract(m, "[^0-9]", 0)
-    date = F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.substring(parts, 1, 2), separator, F.substring(parts, 3, 2), separator, F.substring(parts, 5, 4)))
+    calendar = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+    def moved(n: Column) -> Column:
+        return bound(feistel(F.floor(n / DAY_RADIX[1]), n % DAY_RADIX[1], F.lit(DAY_RADIX[0]), F.lit(DAY_RADIX[1]), key, "date"), lambda p: p["l"] * DAY_RADIX[1] + p["r"])
+
+    def rewritten(w: Column) -> Column:
+        day = walked(w["n"].cast("long"), moved, lambda v: (w["order"] != "mdy") | (F.dayofmonth(calendar(v)) > 12))
+        parts = F.split(F.date_format(calendar(day), "yyyy-MM-dd"), "-")
+        put = lambda p, *places: F.concat(F.get(p, F.lit(places[0])), w["mark"], F.get(p, F.lit(places[1])), w["mark"], F.get(p, F.lit(places[2])))
+        return bound(parts, lambda p: F.when(w["order"] == "ymd", put(p, 0, 1, 2)).when(w["order"] == "mdy", put(p, 1, 2, 0)).otherwise(put(p, 2, 1, 0)))
+
+    date = bound(date_of(m), rewritten)
 
     at = F.split(F.lower(m), "@")
     hashed = lambda part, n: F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), part), 256), 1, n)
@@ -161,7 +198,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "date", date)
-        .when(kind == "phone", in_format(m, phone)).when(kind == "ssn", in_format(m, permuted_digits(digits, key, "ssn")))
+        .when(kind == "phone", in_format(m, phone)).when(kind == "ssn", in_format(m, ssn))
         .when(kind == "card", in_format(m, card)).otherwise(m)
     )
 
