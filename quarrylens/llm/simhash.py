@@ -21,7 +21,8 @@ rows stay; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations, repeat
+from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ NO_HASH = 0xFFFFFFFF  # fills short sketches
 TABLE_BITS = 16  # widest group of bits with a table of counts: 65,536 rows at most
 BUCKET_ROWS = 4096  # fingerprints of a bucket that one task compares at once
 PAIR_CHUNK = 1 << 19
+TEXT_STEP = 65536
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -53,12 +55,15 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        pieces = [joined]
-    else:
-        ends = list(accumulate(len(t) + 1 for t in tokens))
-        starts = [0, *ends]
-        pieces = [joined[a : b - 1] for a, b in zip(starts, ends[words - 1 :])]
-    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    del tokens
+    out = np.empty(len(ends) - words + 1, np.uint64)
+    for s in range(0, len(out), TEXT_STEP):  # the pieces of a very long text are not held all at once
+        last = ends[s + words - 1 : s + words - 1 + TEXT_STEP].tolist()
+        first = [0 if s == 0 else int(ends[s - 1]), *ends[s : s + len(last) - 1].tolist()]
+        out[s : s + len(last)] = np.fromiter(map(xxhash.xxh64_intdigest, [joined[a : b - 1] for a, b in zip(first, last)], repeat(SEED)), np.uint64, len(last))
+    return out
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -111,27 +116,29 @@ def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame
 
 def group_bits(correlation: np.ndarray, parts: int) -> list[list[int]]:
     """Partitions of near-equal width; each is seeded and then filled with the bits most correlated with it."""
-    free = list(range(BITS))
     strength = np.abs(np.nan_to_num(correlation))
+    free = np.ones(len(strength), bool)
     groups = []
     for k in range(parts):
-        width = len(free) // (parts - k)
-        seed = max(free, key=lambda b: (strength[b, free].sum(), -b))
-        group = [seed]
-        free.remove(seed)
-        while len(group) < width:
-            best = max(free, key=lambda b: (strength[b, group].sum(), -b))
+        width = int(free.sum()) // (parts - k)
+        drawn = np.where(free, strength[:, free].sum(axis=1), -1)
+        group: list[int] = []
+        for _ in range(width):
+            best = int(drawn.argmax())
+            drawn = np.where(free, (0 if not group else drawn) + strength[best], -1)
             group.append(best)
-            free.remove(best)
+            free[best] = False
+            drawn[best] = -1
         groups.append(sorted(group))
     return groups
 
 
 def gather_bits(fps: np.ndarray, bits: list[int]) -> np.ndarray:
-    """The named bits of each fingerprint, packed to an integer."""
+    """The named bits of each fingerprint, packed to an integer; wide fingerprints are rows of 64-bit words."""
+    words = fps.reshape(len(fps), -1)
     out = np.zeros(len(fps), np.int64)
     for k, b in enumerate(bits):
-        out |= ((fps >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+        out |= ((words[:, b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)).astype(np.int64) << k
     return out
 
 
@@ -153,19 +160,15 @@ def ball_counts(histogram: np.ndarray, width: int, radius: int) -> np.ndarray:
 class Plan:
     """Partitions, their tables of counts, and thresholds by dynamic programming.
 
-    A partition of over TABLE_BITS bits holds several tables, multiplied as if independent.
+    Thresholds sum to ``budget`` and are ``radius`` at most.  A partition of over
+    ``table_bits`` bits holds several tables, multiplied as if independent.  A probe
+    costs as much as ``probe_cost`` candidates, that of the own value ``own_cost``.
     """
 
-    def __init__(self, groups: list[list[int]], histograms: dict[tuple[int, ...], np.ndarray], rows: int, max_bits: int):
-        self.groups, self.rows, self.max_bits = groups, rows, max_bits
-        self.budget = max_bits - len(groups) + 1
-        self.radius = min(max_bits, max(self.budget + len(groups) - 1, 0))
-        self.tables = [[(block, ball_counts(histograms[tuple(block)], len(block), self.radius)) for block in self.blocks(g)] for g in groups]
-
-    @staticmethod
-    def blocks(group: list[int]) -> list[list[int]]:
-        n = -(-len(group) // TABLE_BITS)
-        return [group[len(group) * k // n : len(group) * (k + 1) // n] for k in range(n)]
+    def __init__(self, groups: list[list[int]], histograms: dict[tuple[int, ...], np.ndarray], rows: int, budget: int, radius: int, table_bits: int = TABLE_BITS, probe_cost: float = 1.0, own_cost: float = 1.0):
+        self.groups, self.rows, self.budget, self.radius = groups, rows, budget, radius
+        self.probe_cost, self.own_cost = probe_cost, own_cost
+        self.tables = [[(block, ball_counts(histograms[tuple(block)], len(block), radius)) for block in blocks_of(g, table_bits)] for g in groups]
 
     def estimates(self, fps: np.ndarray, part: int) -> np.ndarray:
         """[t, i]: rows expected within t of fingerprint i in the partition."""
@@ -181,35 +184,38 @@ class Plan:
     def thresholds(self, fps: np.ndarray) -> np.ndarray:
         """[part, i]: the cheapest thresholds that sum to the budget, for each fingerprint."""
         parts, low = len(self.groups), -len(self.groups)
-        span = self.budget - low + 1
+        span = max(self.budget, 0) + self.radius - low + 1  # sums from low up; one over the budget can come down again
         best = np.full((span, len(fps)), np.inf)
         best[-low] = 0.0
         choice = np.zeros((parts, span, len(fps)), np.int8)
         for p in range(parts):
             cost = np.vstack([np.zeros((1, len(fps))), self.estimates(fps, p)])
-            balls = np.cumsum([0] + [1.0] + [np.prod([len(self.groups[p]) - k for k in range(r)]) / np.prod(range(1, r + 1)) for r in range(1, self.radius + 1)])
-            cost += balls[:, None]
+            probes = [0.0, self.own_cost] + [self.probe_cost * comb(len(self.groups[p]), r) for r in range(1, self.radius + 1)]
+            cost += np.cumsum(probes)[:, None]
             new = np.full_like(best, np.inf)
             for t in range(-1, self.radius + 1):
-                for s in range(span):
-                    if 0 <= s + t < span:
-                        total = best[s] + cost[t + 1]
-                        better = total < new[s + t]
-                        new[s + t][better] = total[better]
-                        choice[p, s + t][better] = t
+                low_s, high_s = max(0, -t), min(span, span - t)  # sums so far to which t can be added
+                if low_s < high_s:
+                    total, now = best[low_s:high_s] + cost[t + 1], slice(low_s + t, high_s + t)
+                    better = total < new[now]
+                    np.copyto(new[now], total, where=better)
+                    choice[p, now][better] = t
             best = new
         out = np.zeros((parts, len(fps)), np.int8)
-        at = np.full(len(fps), span - 1)
+        at = np.full(len(fps), self.budget - low)
         for p in reversed(range(parts)):
             out[p] = choice[p, at, np.arange(len(fps))]
             at = at - out[p]
         return out
 
 
+def blocks_of(group: list[int], table_bits: int) -> list[list[int]]:
+    n = -(-len(group) // table_bits)
+    return [group[len(group) * k // n : len(group) * (k + 1) // n] for k in range(n)]
+
+
 def choose_parts(rows: int, max_bits: int) -> int:
     """Partitions with the least work if values were uniform: probes plus candidates a fingerprint."""
-    from math import comb
-
     def cost(parts: int) -> float:
         budget, total = max_bits - parts + 1, 0.0
         for p in range(parts):
@@ -221,47 +227,63 @@ def choose_parts(rows: int, max_bits: int) -> int:
     return min(range(2, max(2, min(8, max_bits + 1)) + 1), key=cost)
 
 
-def plan_for(distinct: DataFrame, rows: int, max_bits: int) -> Plan:
-    """Statistics over all distinct fingerprints: 64 x 64 bit counts, then a table of at most 65,536 counts per block."""
+def bit_correlation(prints: DataFrame, words: int, rows: int) -> np.ndarray:
+    """[word, bit, bit]: correlation of the bits of each 64-bit word, over all rows of (word0, word1, ...)."""
 
-    def bit_counts(batches):
-        total = np.zeros((BITS, BITS))
+    def count(batches):
+        total = np.zeros((words, BITS, BITS))
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint8).reshape(-1, 8)
-            bits = np.unpackbits(values, axis=1, bitorder="little").astype(np.float32)
-            total += bits.T @ bits
-        yield pa.RecordBatch.from_arrays([pa.array(range(BITS * BITS), pa.int32()), pa.array(total.ravel().astype(np.int64), pa.int64())], ["cell", "n"])
-
-    cells = distinct.select("fp").mapInArrow(bit_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros(BITS * BITS)
-    for r in cells:
-        both[r["cell"]] = r["n"]
-    both = both.reshape(BITS, BITS) / max(rows, 1)
-    p = both.diagonal()
-    sd = np.sqrt(p * (1 - p))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        correlation = (both - np.outer(p, p)) / np.outer(sd, sd)
-    groups = group_bits(correlation, choose_parts(rows, max_bits))
-    blocks = [b for g in groups for b in Plan.blocks(g)]
-
-    def value_counts(batches):
+            for w in range(words):
+                values = batch.column(w).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint8).reshape(-1, 8)
+                bits = np.unpackbits(values, axis=1, bitorder="little").astype(np.float32)
+                total[w] += bits.T @ bits
+        cells = total.reshape(words * BITS, BITS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in cells.T)], ["row", *(f"c{k}" for k in range(BITS))])
+
+    names = [f"c{k}" for k in range(BITS)]
+    sums = prints.mapInArrow(count, "row int, " + ", ".join(f"{c} long" for c in names)).groupBy("row").agg(*(F.sum(c).alias(c) for c in names))
+    both = np.zeros((words * BITS, BITS))
+    for r in sums.collect():  # 64 rows a word
+        both[r["row"]] = r[1:]
+    both = both.reshape(words, BITS, BITS) / max(rows, 1)
+    out = []
+    for word in both:
+        p = word.diagonal()
+        sd = np.sqrt(p * (1 - p))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append((word - np.outer(p, p)) / np.outer(sd, sd))
+    return np.array(out)
+
+
+def value_tables(prints: DataFrame, blocks: list[list[int]]) -> dict[tuple[int, ...], np.ndarray]:
+    """Rows for each value of each block of bits, over all rows of (word0, word1, ...); as many counts as values at most."""
+
+    def count(batches):
         tables = [np.zeros(1 << len(b), np.int64) for b in blocks]
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            fps = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in batch.columns])
             for table, b in zip(tables, blocks):
                 table += np.bincount(gather_bits(fps, b), minlength=len(table))
         for k, table in enumerate(tables):
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], ["block", "value", "n"])
 
-    counts = distinct.select("fp").mapInArrow(value_counts, "block int, value long, n long").groupBy("block", "value").agg(F.sum("n").alias("n")).toPandas()
+    counts = prints.mapInArrow(count, "block int, value long, n long").groupBy("block", "value").agg(F.sum("n").alias("n")).toArrow()
+    of, value, n = (counts[c].to_numpy() for c in ("block", "value", "n"))
     histograms = {}
     for k, b in enumerate(blocks):
         table = np.zeros(1 << len(b))
-        own = counts[counts["block"] == k]
-        table[own["value"].to_numpy(np.int64)] = own["n"].to_numpy(float)
+        table[value[of == k]] = n[of == k]
         histograms[tuple(b)] = table
-    return Plan(groups, histograms, rows, max_bits)
+    return histograms
+
+
+def plan_for(distinct: DataFrame, rows: int, max_bits: int) -> Plan:
+    """Statistics over all distinct fingerprints: 64 x 64 bit counts, then a table of at most 65,536 counts per block."""
+    groups = group_bits(bit_correlation(distinct.select("fp"), 1, rows)[0], choose_parts(rows, max_bits))
+    budget = max_bits - len(groups) + 1
+    tables = value_tables(distinct.select("fp"), [b for g in groups for b in blocks_of(g, TABLE_BITS)])
+    return Plan(groups, tables, rows, budget, min(max_bits, max(budget + len(groups) - 1, 0)))
 
 
 # ---------------------------------------------------------------- search by (partition, value)

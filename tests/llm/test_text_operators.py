@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrylens.llm import line_dedup, mixing, packing, quality, simhash
+from quarrylens.llm import line_dedup, mixing, near_dedup, packing, quality, simhash
 from quarrylens.llm.components import connected_components, forest
 from quarrylens.llm.entries import tokenizer_path
 
@@ -149,7 +149,7 @@ def test_near_duplicates_by_brute_force(spark):
             words[int(rng.integers(150))] = "changed"
         rows.append((k, " ".join(words), "en", "s", 1))
     texts = {r[0]: r[1] for r in rows}
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
     for a in texts:
         for b in texts:
             if jaccard(texts[a], texts[b]) >= 0.85:
@@ -165,34 +165,85 @@ def test_near_duplicates_with_a_passage_that_recurs(spark):
         words = list(map(str, rng.integers(0, 10_000, 104)))
         rows += [(k, " ".join(words), "en", "s", 1), (k + 10, " ".join(words + [f"again{k}", "and", f"over{k}"] * 50), "en", "s", 1)]
     assert all(jaccard(a[1], b[1]) >= 0.9 for a, b in zip(rows[::2], rows[1::2]))
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
     assert found == {k: k % 10 for k in range(20)}
 
 
-def test_index_in_blocks_finds_what_a_scan_finds():
-    rng = np.random.default_rng(6)
-    a = rng.integers(0, 2**63, 300).astype(np.uint64)
-    b = a.copy()
-    for _ in range(7):
-        b ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
-    big = np.concatenate([b, rng.integers(0, 2**63, 15_000).astype(np.uint64)])
-    found = {(int(i), int(j)) for x, y in simhash.block_candidates(a, big, 10, False) for i, j in zip(x, y)}
-    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(a[:, None] ^ big[None]) <= 10))}
-    assert want == found
+def near_texts(rng, bases, copies, length, edits):
+    """Texts with up to ``edits`` words changed, ``copies`` of each base."""
+    texts = []
+    for _ in range(bases):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, length)]
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.integers(0, length, int(rng.integers(0, edits + 1))):
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def near_components(texts, similarity=0.8):
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (x.split() for x in texts)]
+    root, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                links += 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root, links
+
+
+@pytest.mark.parametrize(("bases", "copies", "length", "edits"), [(40, 8, 120, 6), (60, 4, 50, 1), (25, 6, 400, 18)])
+def test_near_duplicates_equal_exact_similarity(spark, bases, copies, length, edits):
+    texts = near_texts(np.random.default_rng(length), bases, copies, length, edits)
+    want, links = near_components(texts)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)], False)).collect()}
+    lost = sum(found[k] != r for k, r in enumerate(want))
+    assert links > bases and lost <= 0.02 * len(texts) and all(want[k] == want[found[k]] for k in found)  # no link too many, few too few
+
+
+def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 12)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    texts = near_texts(rng, 1, 150, 90, 3) + near_texts(rng, 20, 2, 90, 2) + near_texts(rng, 2, 40, 90, 14)
+    want, links = near_components(texts)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)], False)).collect()}
+    assert links > 2000 and sum(found[k] != r for k, r in enumerate(want)) <= 3 and all(want[k] == want[found[k]] for k in found)
+
+
+def test_blocks_of_a_component_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    texts = near_texts(np.random.default_rng(4), 3, 30, 60, 5)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = near_dedup.shingle_sets(rows, 5).cache()
+    keys = {r["key"]: r["doc_id"] for r in sets.orderBy(F.desc("doc_id")).collect()}
+    least = min(keys)
+    monkeypatch.setattr(near_dedup, "compared_limit", lambda similarity: 256)
+    loose = spark.createDataFrame([(k, least) for k in keys], "node long, root long")
+    edges = near_dedup.strict_edges(sets, loose, 0.8)
+    roots = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    want, _ = near_components(texts)
+    groups = {}
+    for key, doc in keys.items():
+        groups.setdefault(roots.get(key, key), set()).add(want[doc])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
 def test_deduplicated_keeps_one_of_each_group(spark):
     rows = ODD + [(20, "same text " * 30, "en", "a", 1), (21, "same  text " * 30, "en", "b", 2), (21, "same  text " * 30, "en", "b", 2)]
-    kept = [r["doc_id"] for r in simhash.deduplicated(docs_of(spark, rows)).collect()]
+    kept = [r["doc_id"] for r in near_dedup.deduplicated(docs_of(spark, rows)).collect()]
     assert Counter(kept)[20] == 1 and 21 not in kept and Counter(kept)[4] == 1 and None in kept
     assert kept.count(1) == 1 and 2 not in kept and 3 not in kept
-    assert simhash.deduplicated(docs_of(spark, [])).count() == 0
+    assert near_dedup.deduplicated(docs_of(spark, [])).count() == 0
 
 
 def test_deduplicated_judges_rows_of_one_id_by_their_texts(spark):
     a, b, c, d = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcd")
     rows = [(i, t, "en", "s", 1) for i, t in ((3, a), (5, a), (5, b), (5, b), (9, b), (7, c), (7, c + " more"), (8, c), (11, d), (11, None))]
-    kept = Counter((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs_of(spark, rows)).collect())
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.deduplicated(docs_of(spark, rows)).collect())
     assert sum(n for (_, t), n in kept.items() if t in (c, c + " more")) == 1 and {i for i, t in kept if t in (c, c + " more")} == {7}
     assert {k: n for k, n in kept.items() if k[0] != 7} == {(3, a): 1, (5, b): 1, (11, d): 1, (11, None): 1}
 
