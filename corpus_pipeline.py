@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import line_dedup, mixing, packing, quality, simhash
+from quarrylens.llm import line_dedup, mixing, near_dedup, packing, quality
 from quarrylens.llm.entries import tokenizer_path
 from quarrylens.llm.store import save
 
@@ -28,7 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with similar five-word shingles stays, the one with the smallest doc_id."""
-    return simhash.deduplicated(docs.select(*DOCUMENT_COLUMNS), words=5, similarity=0.8)
+    return near_dedup.deduplicated(docs.select(*DOCUMENT_COLUMNS), words=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
