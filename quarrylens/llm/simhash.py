@@ -9,10 +9,8 @@ candidates; the ball of values around the fingerprint's own is probed and candid
 are verified on all 64 bits.
 
 ``hamming_components`` deals probes and fingerprints out by (partition, value), which is
-near-linear for few bits.  ``near_duplicates`` needs many bits (similarity 0.8), where
-balls are too large to be dealt out; it compares blocks of fingerprints of compatible
-lengths, all pairs of every two blocks unless blocks are large enough for an index in
-memory to pay, and verifies shingle sketches.
+near-linear for few bits.  ``near_dedup`` searches for similar shingle sets, which differ in
+more bits, with wider fingerprints and the same planning.
 
 Defined cases: null or blank text has fingerprint 0 and is linked like any other; equal
 fingerprints are always linked; a null doc_id takes no part in the smallest id; repeated
@@ -31,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import connected_components, forest
-from quarrylens.llm.store import BROADCAST_ROWS, save, shuffle_width, without_ids
+from quarrylens.llm.store import save, shuffle_width
 
 BITS = 64
 SEED = 42
-NO_HASH = 0xFFFFFFFF  # fills short sketches
 TABLE_BITS = 16  # widest group of bits with a table of counts: 65,536 rows at most
 BUCKET_ROWS = 4096  # fingerprints of a bucket that one task compares at once
 PAIR_CHUNK = 1 << 19
@@ -75,40 +72,15 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def sketch(hashes: np.ndarray, size: int) -> bytes:
-    """The smallest ``size`` distinct shingle hashes, cut to their upper 32 bits; NO_HASH is left out."""
-    values = np.unique((hashes >> np.uint64(32)).astype("<u4"))
-    return values[values != NO_HASH][:size].tobytes()
-
-
-def fingerprints(docs: DataFrame, words: int, sketch_size: int = 0) -> DataFrame:
-    """(doc_id, fp[, text_hash, n, sketch]) of whole texts, one row per document.
-
-    fp counts a shingle as often as it comes; beside sketches, which stand for sets, it counts each once.
-    """
-    schema = "doc_id long, fp long" + (", text_hash long, n long, sketch binary" if sketch_size else "")
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp) of whole texts, one row per document; a shingle counts as often as it comes."""
 
     def run(batches):
         for batch in batches:
-            fps, counts, sketches = [], [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), words)
-                if sketch_size:
-                    hashes = np.unique(hashes)
-                    counts.append(len(hashes))
-                    sketches.append(sketch(hashes, sketch_size))
-                fps.append(simhash(hashes))
-            columns = [batch.column(0), pa.array(fps, pa.int64())]
-            names = ["doc_id", "fp"]
-            if sketch_size:
-                columns += [batch.column(2), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary())]
-                names += ["text_hash", "n", "sketch"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    if sketch_size:
-        narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
-    return narrow.mapInArrow(run, schema)
+            fps = [simhash(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- planning
@@ -289,6 +261,16 @@ def plan_for(distinct: DataFrame, rows: int, max_bits: int) -> Plan:
 # ---------------------------------------------------------------- search by (partition, value)
 
 
+def runs_of(width: np.ndarray, most: int):
+    """(start, end) of runs whose widths sum to ``most`` at the most, or of single items wider than that."""
+    totals = np.cumsum(width)
+    start = 0
+    while start < len(width):
+        end = max(start + 1, int(np.searchsorted(totals, (totals[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
+
+
 def salt_of(fps: np.ndarray, salts: np.ndarray) -> np.ndarray:
     mixed = (fps ^ (fps >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(33)) % salts.astype(np.uint64)).astype(np.int64)
@@ -392,187 +374,3 @@ def hamming_components(docs: DataFrame, words: int = 3, max_bits: int = 3) -> Da
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-# ---------------------------------------------------------------- similarity 0.8 in blocks
-
-
-BLOCK_ROWS = 16384
-ROW_TEXT = "near_duplicate_text_hash"
-LENGTH_STEP = 1.25  # 1 / 0.8: texts with fewer shingles by more than this cannot have Jaccard 0.8
-
-
-def block_candidates(a: np.ndarray, b: np.ndarray, max_bits: int, same: bool):
-    """Yield (i, j) with a[i], b[j] within max_bits, from an in-memory index of b probed by a; a pair can come again."""
-    parts = 4
-    groups = [list(range(k, BITS, parts)) for k in range(parts)]
-    budget = max_bits - parts + 1
-    limits = [budget // parts + (k < budget % parts) for k in range(parts)]
-    probes = sum(len(ball_masks(16, t)) for t in limits)
-    if 4 * probes > len(b):  # the index costs more than looking at every row of the block
-        step = max(1, PAIR_CHUNK // max(len(b), 1))
-        for s in range(0, len(a), step):
-            i, j = np.nonzero(np.bitwise_count(a[s : s + step, None] ^ b[None, :]) <= max_bits)
-            i += s
-            keep = i < j if same else slice(None)
-            yield i[keep], j[keep]
-        return
-    for group, t in zip(groups, limits):
-        values = gather_bits(b, group)
-        order = np.argsort(values, kind="stable")
-        starts = np.searchsorted(values[order], np.arange((1 << len(group)) + 1))
-        asked = gather_bits(a, group)
-        for mask in ball_masks(len(group), t):
-            at = asked ^ mask
-            width = starts[at + 1] - starts[at]
-            for s, e in runs_of(width, PAIR_CHUNK):
-                w = width[s:e]
-                i = np.repeat(np.arange(s, e), w)
-                j = order[np.repeat(starts[at[s:e]], w) + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)]
-                near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
-                if same:
-                    near &= i < j
-                yield i[near], j[near]
-
-
-def runs_of(width: np.ndarray, most: int):
-    """(start, end) of runs whose widths sum to ``most`` at the most, or of single items wider than that."""
-    totals = np.cumsum(width)
-    start = 0
-    while start < len(width):
-        end = max(start + 1, int(np.searchsorted(totals, (totals[start - 1] if start else 0) + most, "right")))
-        yield start, end
-        start = end
-
-
-def sketch_similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Jaccard estimated from rows of bottom-k sketches, padded with NO_HASH; exact where both sets fit."""
-    size = x.shape[1]
-    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NO_HASH)
-    fresh = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1) & (both != NO_HASH)
-    rank = np.cumsum(fresh, axis=1, dtype=np.int32)
-    within = np.minimum(rank[:, -1], size)
-    shared = (twice & (rank[:, 1:] <= size)).sum(axis=1)
-    return np.where(within > 0, shared / np.maximum(within, 1), 1.0)
-
-
-class Unions:
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        nodes, roots = forest(np.concatenate([np.arange(len(self.parent)), i]), np.concatenate([self.parent, j]))
-        self.parent[nodes] = roots
-
-
-def link_blocks(left, right, similarity: float, max_bits: int):
-    """(key, key) forest of the links between two blocks (fp, sketches, key), or inside one if right is None."""
-    same = right is None
-    other = left if same else right
-    n = len(left[0])
-    unions = Unions(n + (0 if same else len(other[0])))
-    base = 0 if same else n
-    found = False
-    for i, j in block_candidates(left[0], other[0], max_bits, same):
-        while len(i):
-            open_ = unions.parent[i] != unions.parent[j + base]
-            i, j = i[open_], j[open_]
-            now, more = slice(0, 4096), slice(4096, None)
-            ok = sketch_similarity(left[1][i[now]], other[1][j[now]]) >= similarity if len(i) else np.empty(0, bool)
-            if ok.any():
-                unions.add(i[now][ok], j[now][ok] + base)
-                found = True
-            i, j = i[more], j[more]
-    keys = left[2] if same else np.concatenate([left[2], other[2]])
-    below = np.flatnonzero(unions.parent != np.arange(len(unions.parent))) if found else np.empty(0, np.int64)
-    return keys[below], keys[unions.parent[below]]
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 16, sketch_size: int = 128) -> DataFrame:
-    """(doc_id, component_id): documents linked by similar sets of word shingles.
-
-    Candidates are fingerprints of distinct shingles within ``max_bits``; links are those whose sketches show
-    at least ``similarity`` (exact up to ``sketch_size`` shingles).  Blocks hold
-    documents of one length class and meet only blocks of the same or the next class.
-    Rows with a null doc_id take no part.  Repeated rows come again.
-    """
-    return near_duplicate_rows(docs, words, similarity, max_bits, sketch_size).select("doc_id", "component_id")
-
-
-def near_duplicate_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 16, sketch_size: int = 128) -> DataFrame:
-    """(doc_id, text_hash, root, component_id): as ``near_duplicates``, with the XXH64 of the row's text and one of its component."""
-    spark = docs.sparkSession
-    prints = save(fingerprints(docs.where("doc_id IS NOT NULL"), words, sketch_size), "sketches")
-    key = F.xxhash64("fp", "n", "sketch")
-    step = np.log(LENGTH_STEP)
-    bin_of = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(float(step))).cast("int")
-    distinct = save(prints.select(key.alias("key"), "*", bin_of.alias("bin")).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bin").alias("bin")), "sketches-distinct")
-    sizes = {r["bin"]: r["n"] for r in distinct.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # under 200 classes
-    salts = {b: -(-n // BLOCK_ROWS) for b, n in sizes.items()}
-    members: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    pair = 0
-    for b, n in salts.items():
-        for i in range(n):
-            others = [(b, j) for j in range(i, n)] + [(b + 1, j) for j in range(salts.get(b + 1, 0))]
-            for o in others:
-                members.setdefault((b, i), []).append((pair, 0))
-                if o != (b, i):
-                    members.setdefault(o, []).append((pair, 1))
-                pair += 1
-    shared = spark.sparkContext.broadcast((salts, members))
-
-    def deal(batches):
-        salts, members = shared.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            bins = batch.column(3).to_numpy(zero_copy_only=False)
-            salt = (keys.view(np.uint64) >> np.uint64(17)) % np.array([salts[b] for b in bins], np.uint64)
-            rows, pairs, roles = [], [], []
-            for r, place in enumerate(zip(bins.tolist(), salt.tolist())):
-                for p, role in members[place]:
-                    rows.append(r)
-                    pairs.append(p)
-                    roles.append(role)
-            out = pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(roles, pa.int8())] + [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:3]], ["pair", "role", "key", "fp", "sketch"])
-            yield out
-
-    def compare(table: pa.Table) -> pa.Table:
-        role = table.column("role").to_numpy()
-        fps = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        keys = table.column("key").to_numpy().astype(np.int64)
-        sketches = np.full((len(role), sketch_size), NO_HASH, np.uint32)
-        for k, s in enumerate(table.column("sketch").to_pylist()):
-            sketches[k, : len(s) // 4] = np.frombuffer(s, "<u4")
-        sides = [(fps[role == r], sketches[role == r], keys[role == r]) for r in (0, 1)]
-        u, v = link_blocks(sides[0], sides[1] if (role == 1).any() else None, similarity, max_bits)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    edges = distinct.select("key", "fp", "sketch", "bin").mapInArrow(deal, "pair long, role byte, key long, fp long, sketch binary").groupBy("pair").applyInArrow(compare, "u long, v long")
-    roots = connected_components(edges)
-    named = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "text_hash", key.alias("key")).join(named.join(smallest, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_hash", "root", "component_id")
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those near-identical to one with a smaller doc_id; columns as they were.
-
-    A row whose doc_id is null stays.  Of rows that share a doc_id and are linked one stays,
-    the one with the smallest hash of its text; rows that share a doc_id and are not linked
-    are judged each by its own text.
-    """
-    found = save(near_duplicate_rows(docs, **options), "near-duplicates")
-    total, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    others = found.where("doc_id <> component_id")
-    if total == ids:
-        return without_ids(docs, others.select("doc_id"))
-    first = found.where("doc_id = component_id").select("doc_id", "root", "text_hash").distinct()
-    least = first.groupBy("doc_id", "root").agg(F.min("text_hash").alias("least"))
-    further = first.join(least, ["doc_id", "root"]).where("text_hash <> least")
-    dropped = save(others.select("doc_id", "text_hash").union(further.select("doc_id", "text_hash")).distinct(), "dropped")
-    if dropped.count() <= BROADCAST_ROWS // 2:
-        dropped = F.broadcast(dropped)
-    marked = docs.withColumn(ROW_TEXT, F.xxhash64(F.col("text").cast("binary")))
-    kept = marked.join(dropped, (marked["doc_id"].cast("long") == dropped["doc_id"]) & (marked[ROW_TEXT] == dropped["text_hash"]), "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", ROW_TEXT]).unionByName(kept.where("doc_id IS NULL")).drop(ROW_TEXT)
