@@ -1,9 +1,11 @@
 """Operator 7: lines found in many documents, by levelled sorted runs of line hashes.
 
-Documents come in batches.  A batch's line hashes are merge-anti-joined with the lines
-already known to be frequent, and what is left is added as a sorted run of level 0.
-When a level holds ``fanout`` runs they are compacted into one run of the next level;
-compaction adds up counts and moves lines that reach ``min_docs`` to the frequent lines.
+Documents come in batches.  A batch's line hashes lose those already known as frequent and
+are merge-joined with all runs: lines that a run holds become increments of its counts,
+and only the anti-joined rest is added as new lines; both make a sorted run of level 0.
+When a level holds ``fanout`` runs they are compacted into one run of the next level.
+Adding and compacting move lines that reach ``min_docs`` out of the run to the frequent
+lines.  Every run holds lines of its own, so a line is new once.
 
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z lower-cased;
 its hash has 128 bits.  Defined cases: a null or empty text is one empty line; keys of
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.store import fresh_path, remove, save
+from quarrylens.llm.store import exists, fresh_path, remove, save
 
 BROADCAST_LINES = 500_000  # frequent lines, 16 bytes each, that may be broadcast
 ADDED = ("ld_n_lines", "ld_n_dropped", "ld_kept_sha256")  # columns added; ones of these names in the input are replaced
 RUN_SCHEMA = "h1 long, h2 long, n long"
+INCREMENTS, OWN, MOVED = 0, 1, 2  # states of a run's rows, each in a folder of its own
+BATCH_DOCS, FEWEST_BATCHES, MOST_BATCHES, FANOUT = 50_000_000, 6, 32, 2
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -43,35 +47,37 @@ def key_hash(key: bytes) -> bytes:
 
 
 class LineRuns:
-    """Sorted runs of (h1, h2, n) in the shared folder, with the frequent lines found so far."""
+    """Sorted runs of (h1, h2, n) in the shared folder: lines of a run's own, increments of other runs' lines, and frequent lines apart."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[str]] = [[]]
         self.frequent: list[str] = []
+        self.deepest = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+    def _read(self, paths: list[str], *states: int) -> DataFrame:
+        folders = [f"{p}/state={s}" for p in paths for s in states if exists(self.spark, f"{p}/state={s}")]
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], RUN_SCHEMA)
 
-    def _write(self, counted: DataFrame) -> str:
+    def _write(self, counted: DataFrame, level: int) -> None:
+        """counted (h1, h2, n, own) becomes a run of the level, its frequent lines go to the frequent ones."""
         path = fresh_path(self.spark, "line-run")
-        counted.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
-        return path
-
-    def _settle(self, path: str, level: int) -> None:
-        """Move lines that are frequent from a new run's count to the frequent lines."""
+        state = F.when(F.col("n") >= self.min_docs, MOVED).when(F.col("own"), OWN).otherwise(INCREMENTS)
+        counted.select("h1", "h2", "n", state.alias("state")).sortWithinPartitions("state", "h1", "h2").write.option("compression", "zstd").partitionBy("state").parquet(path)
         self.frequent.append(path)
+        if len(self.levels) == level:
+            self.levels.append([])
         self.levels[level].append(path)
+        self.deepest = max(self.deepest, level)
 
     def frequent_lines(self) -> DataFrame:
-        return self._read(self.frequent).where(F.col("n") >= self.min_docs).select("h1", "h2")
+        return self._read(self.frequent, MOVED).select("h1", "h2")
 
     def add(self, batch: DataFrame) -> None:
         """batch (h1, h2, n): hashes and the number of the batch's documents that hold them."""
-        counted = batch.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        if self.frequent:
-            counted = counted.join(self.frequent_lines(), ["h1", "h2"], "left_anti")
-        self._settle(self._write(counted), 0)
+        held = self._read([p for runs in self.levels for p in runs], OWN).select("h1", "h2", F.lit(True).alias("held"))
+        counted = batch.groupBy("h1", "h2").agg(F.sum("n").alias("n")).join(self.frequent_lines(), ["h1", "h2"], "left_anti")
+        self._write(counted.join(held, ["h1", "h2"], "left").withColumn("own", F.col("held").isNull()), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -79,21 +85,22 @@ class LineRuns:
 
     def compact(self, level: int) -> None:
         runs = self.levels[level]
-        if len(self.levels) == level + 1:
-            self.levels.append([])
-        merged = self._write(self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")))
         self.levels[level] = []
-        self._settle(merged, level + 1)
-        self.frequent = [p for p in self.frequent if p not in runs]
+        both = self._read(runs, OWN).withColumn("own", F.lit(True)).unionByName(self._read(runs, INCREMENTS).withColumn("own", F.lit(False)))
+        self._write(both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own")), level + 1)
         for path in runs:
-            remove(self.spark, path)
+            for state in (OWN, INCREMENTS):
+                remove(self.spark, f"{path}/state={state}")
 
     def finish(self) -> DataFrame:
         """(h1, h2) of every line in at least min_docs documents."""
-        if sum(len(runs) for runs in self.levels) > 1:
-            self.levels = [[p for runs in self.levels for p in runs]]
-            self.compact(0)
-        return self.frequent_lines()
+        runs = [p for runs in self.levels for p in runs]
+        rest = self._read(runs, OWN, INCREMENTS).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs)
+        return rest.select("h1", "h2").unionByName(self.frequent_lines()).distinct()
+
+    def clear(self) -> None:
+        for path in self.frequent:
+            remove(self.spark, path)
 
 
 def batch_hashes(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
@@ -114,9 +121,15 @@ def batch_hashes(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "batch int, h1 long, h2 long, n long")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(h1, h2) of the keys found in at least ``min_docs`` documents."""
+def batches_for(rows: int) -> int:
+    """Batches of about BATCH_DOCS documents, FEWEST to MOST of them: every batch reads all runs."""
+    return min(MOST_BATCHES, max(FEWEST_BATCHES, -(-rows // BATCH_DOCS)))
+
+
+def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
+    """(h1, h2) of the keys found in at least ``min_docs`` documents, as a saved table."""
     spark = docs.sparkSession
+    batches = batches or batches_for(docs.count())
     staged = fresh_path(spark, "line-batches")
     batch_hashes(docs, batches, min_chars).write.option("compression", "zstd").partitionBy("batch").parquet(staged)
     runs = LineRuns(spark, min_docs, fanout)
@@ -124,13 +137,15 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batc
     for b in range(batches):
         runs.add(staged_rows.where(F.col("batch") == b).select("h1", "h2", "n"))
     remove(spark, staged)
-    return runs.finish()
+    found = save(runs.finish(), "frequent-lines")
+    runs.clear()
+    return found
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None) -> DataFrame:
     """docs with text replaced by its kept lines, and the columns ADDED."""
     docs = docs.drop(*ADDED)
-    frequent = save(frequent_lines(docs, min_docs, min_chars, batches).distinct(), "frequent-lines")
+    frequent = frequent_lines(docs, min_docs, min_chars, batches)
     if frequent.count() <= BROADCAST_LINES:
         rows = frequent.toPandas().to_numpy(np.int64).reshape(-1, 2)
         known = docs.sparkSession.sparkContext.broadcast(rows)

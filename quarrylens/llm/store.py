@@ -1,7 +1,9 @@
 """Shared storage for intermediate tables.
 
 Lineage is cut by writing Parquet to the folder named in ``spark.checkpoint.dir``.
-A lost executor then costs a re-read, never a recomputation of what came before.
+A lost executor then costs a re-read, never a recomputation of what came before.  Tables
+that results are still read from stay until the application ends; ``clear`` removes all of
+an application's tables.
 """
 
 from __future__ import annotations
@@ -15,12 +17,18 @@ DEFAULT_DIR = "file:///tmp/checkpoints/quarrylens"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a default of our own only where none is set."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_DIR).rstrip("/")
+    """The cluster's checkpoint folder, with its scheme; a default of our own only in local mode."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = DEFAULT_DIR
+    files, place = _file_system(spark, folder)
+    return files.makeQualified(place).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarrylens/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quarrylens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -34,10 +42,26 @@ def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in it; what Spark itself uses."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`fresh_path`, through Hadoop's file system."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    """Delete a folder written by :func:`fresh_path`; it may be gone already."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results not yet written can no longer be read."""
+    remove(spark, f"{shared_dir(spark)}/quarrylens/{spark.sparkContext.applicationId}")
 
 
 def shuffle_width(spark: SparkSession) -> int:

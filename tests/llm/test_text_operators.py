@@ -287,6 +287,31 @@ def test_line_runs_compact_and_count_across_batches(spark):
     assert {r["h1"] for r in runs.finish().collect()} == {h for h, n in counts.items() if n >= 5}
 
 
+def test_the_registered_path_makes_two_levels(spark, monkeypatch):
+    made = []
+
+    class Watched(line_dedup.LineRuns):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+        def add(self, batch):
+            super().add(batch)
+            own = [line_dedup.LineRuns._read(self, [p], line_dedup.OWN).select("h1", "h2") for runs in self.levels for p in runs]
+            every = own[0]
+            for part in own[1:]:
+                every = every.unionByName(part)
+            assert every.count() == every.distinct().count()  # a line is new once
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Watched)
+    rng = np.random.default_rng(11)
+    rows = [(k, "\n".join([f"own {k}", *(f"line {x}" for x in rng.integers(0, 60, 5))]), "en", "s", 1) for k in range(120)]
+    out = line_dedup.drop_frequent_lines(docs_of(spark, rows, False), 10, 1)
+    want = brute_lines([r[1] for r in rows], 10, 1)
+    assert Counter((r["doc_id"], r["ld_n_lines"], r["ld_n_dropped"], r["ld_kept_sha256"]) for r in out.collect()) == Counter((row[0], *w) for row, w in zip(rows, want))
+    assert made[0].deepest >= 2
+
+
 def test_no_lines_in_an_empty_table(spark):
     assert line_dedup.drop_frequent_lines(docs_of(spark, [])).count() == 0
 
