@@ -36,7 +36,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(), secret_scan.language_of(docs)))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

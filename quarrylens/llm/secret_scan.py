@@ -1,12 +1,14 @@
 """Operator 4: secret scan, with a random forest against false positives.
 
 Patterns propose candidates in whole texts: values assigned to names like password or
-token, keys with known prefixes, private key blocks, and long mixed strings.  A random
-forest in numpy then scores each candidate from its length, the transitions between
-characters, the share covered by dictionary words, the path it was found under, and the
-words beside it.  The forest is trained from labelled findings: the caller's table, or
-``labelled_findings``, which makes them from the rules below; at most ``SAMPLE_ROWS``
-findings are used, in the order of a hash.
+token, keys with known prefixes, private key blocks to their END line, and long mixed
+strings.  A random forest in numpy then scores each candidate from its length, the
+transitions between characters, the share covered by dictionary words, the path it was
+found under, and the words beside it.  The dictionary is the list below and the
+``LANGUAGE_WORDS`` most frequent words of the scanned texts, counted over all of them; the
+likelihood of letters following each other is that in its words.  The forest is trained
+from labelled findings: the caller's table, or ``labelled_findings``, which makes them from
+the rules below; at most ``SAMPLE_ROWS`` findings are used, in the order of a hash.
 
 A finding carries the rule, its place in code points, the score, and a SHA-256 of the
 value, never the value.  Defined cases: a null or empty text has no findings; rows are
@@ -40,7 +42,7 @@ SEED = 5
 NAMES = r"pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?"
 CANDIDATE = re.compile(
     rf"(?P<assigned>(?<![A-Za-z])(?i:{NAMES})[A-Za-z0-9_]{{0,24}}[\"']?[ \t]{{0,3}}(?:=>|:=|=|:)[ \t]{{0,3}}[\"']?(?P<value>[^\s\"'`,;<>]{{6,}}+))"
-    r"|(?P<block>-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----)"
+    r"|(?P<block>-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,24}PRIVATE KEY-----)?+)"
     r"|(?P<prefixed>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_](?:live[-_]|test[-_])?[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9]))"
     r"|(?P<mixed>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-]))"
 )
@@ -58,27 +60,71 @@ DICTIONARY = (
     "sample schema search secret server service session setting simple source string style system table target template temp test text "
     "thread ticket time title token true type undefined update upload user username value variable version video view welcome width window world your"
 ).split()
-WORD = re.compile("|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), re.IGNORECASE)
+LANGUAGE_WORDS = 20_000  # words of the corpus in the dictionary
+WORD_LETTERS = (3, 24)
 SECRET_WORDS = re.compile(NAMES + "|bearer|login|signin|aws|github|stripe", re.IGNORECASE)
 HARMLESS_WORDS = re.compile(r"example|sample|dummy|placeholder|checksum|sha-?(?:1|256|512)|md5|digest|etag|commit|revision|integrity|uuid|guid|build|nonce|base64|image|font|chunk|asset|test", re.IGNORECASE)
 HARMLESS_PATHS = re.compile(r"test|spec|example|sample|fixture|mock|docs?/|readme|vendor|node_modules|\.lock|\.min\.", re.IGNORECASE)
 SECRET_PATHS = re.compile(r"\.env|config|settings|credential|secret|deploy|prod|\.ya?ml|\.tf|\.pem", re.IGNORECASE)
 FEATURES = (
     "length", "entropy", "distinct share", "digit share", "upper share", "symbol share", "class changes", "repeats", "steps by one", "vowel after consonant",
-    "hex only", "dictionary share", "longest word share", "quoted", "assigned", "prefixed", "block", "secret word before", "harmless word before",
+    "hex only", "likelihood of transitions", "dictionary share", "longest word share", "quoted", "assigned", "prefixed", "block", "secret word before", "harmless word before",
     "harmless word behind", "secret path", "harmless path", "placeholder marks", "uuid form",
 )
 
 
+class Language:
+    """A set of lower-case words, and the log probability of each letter after another in them; 26 is any other character."""
+
+    def __init__(self, words):
+        self.words = frozenset(words)
+        counts = np.ones((27, 27))
+        for w in self.words:
+            codes = letter_codes(w)
+            np.add.at(counts, (codes[:-1], codes[1:]), 1)
+        self.transitions = np.log(counts / counts.sum(axis=1, keepdims=True))
+
+    def likelihood(self, value: str) -> float:
+        """Mean log probability of the transitions between letters; that of an even choice if there are none."""
+        codes = letter_codes(value.lower())
+        both = (codes[:-1] < 26) & (codes[1:] < 26)
+        return float(self.transitions[codes[:-1][both], codes[1:][both]].mean()) if both.any() else -math.log(27)
+
+    def covered(self, value: str) -> list[int]:
+        """Lengths of the words found from left to right, the longest at each place."""
+        value, at, found = value.lower(), 0, []
+        while at < len(value):
+            length = next((k for k in range(min(WORD_LETTERS[1], len(value) - at), WORD_LETTERS[0] - 1, -1) if value[at : at + k] in self.words), 0)
+            if length:
+                found.append(length)
+            at += max(length, 1)
+        return found
+
+
+def letter_codes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) - ord("a")
+    return np.where((codes >= 0) & (codes < 26), codes, 26)
+
+
+KNOWN_WORDS = Language(DICTIONARY)
+
+
+def language_of(docs: DataFrame) -> Language:
+    """DICTIONARY and the LANGUAGE_WORDS most frequent words of 4 to 24 letters of all texts; ties go to the smaller word."""
+    words = docs.select(F.explode(F.split(F.lower(F.col("text")), "[^a-z]+")).alias("word")).where(F.length("word").between(4, WORD_LETTERS[1]))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "word").limit(LANGUAGE_WORDS)
+    return Language([*DICTIONARY, *(r["word"] for r in counted.collect())])
+
+
 def char_class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(value: str, rule: str, before: str, behind: str, path: str) -> list[float]:
+def features(value: str, rule: str, before: str, behind: str, path: str, language: Language = KNOWN_WORDS) -> list[float]:
     n = max(len(value), 1)
     counts = Counter(value)
     classes = bytes(map(char_class, value))
-    words = [len(w) for w in WORD.findall(value)]
+    words = language.covered(value)
     vowels = "aeiouAEIOU"
     return [
         n,
@@ -92,6 +138,7 @@ def features(value: str, rule: str, before: str, behind: str, path: str) -> list
         sum(abs(ord(a) - ord(b)) == 1 for a, b in zip(value, value[1:])) / n,
         sum(a.isalpha() and a not in vowels and b in vowels for a, b in zip(value, value[1:])) / n,
         float(all(c in string.hexdigits for c in value)),
+        language.likelihood(value),
         sum(words) / n,
         max(words, default=0) / n,
         float(before[-1:] in "\"'`" and before != ""),
@@ -152,7 +199,7 @@ def labelled_findings(count: int = 4000, seed: int = SEED) -> list[tuple[Candida
             lambda: f"gh{pick('pousr')}_" + chars(mixed, 36),
             lambda: "sk_live_" + chars(mixed, int(rng.integers(24, 40))),
             lambda: f"xox{pick('abp')}-" + chars(string.digits, 12) + "-" + chars(mixed, 24),
-            lambda: "-----BEGIN RSA PRIVATE KEY-----",
+            lambda: "-----BEGIN RSA PRIVATE KEY-----" + pick(["", "\n" + "\n".join(chars(mixed + "+/", 64) for _ in range(int(rng.integers(3, 12)))) + "\n-----END RSA PRIVATE KEY-----"]),
             lambda: f"{pick(['bearer', 'Authorization Bearer', 'login with', 'aws key'])} {chars(mixed, int(rng.integers(24, 48)))}",
         ])()
 
@@ -193,8 +240,8 @@ def labelled_findings(count: int = 4000, seed: int = SEED) -> list[tuple[Candida
 class Forest:
     """Trees as flat arrays: feature (-1: leaf), threshold, left child (right is next to it), share of label 1."""
 
-    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.trees = trees
+    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], language: Language = KNOWN_WORDS):
+        self.trees, self.language = trees, language
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         total = np.zeros(len(rows))
@@ -242,18 +289,18 @@ def grow(rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator):
     return np.array(feature), np.array(threshold), np.array(left), np.array(share)
 
 
-def train(findings: list[tuple[Candidate, str, int]], seed: int = SEED) -> Forest:
+def train(findings: list[tuple[Candidate, str, int]], language: Language = KNOWN_WORDS, seed: int = SEED) -> Forest:
     """Bootstrap samples, random features and thresholds; at most SAMPLE_ROWS findings."""
     if len(findings) > SAMPLE_ROWS:
         findings = sorted(findings, key=lambda f: hashlib.sha256(f"{seed}{f[0].value}{f[0].before}".encode()).digest())[:SAMPLE_ROWS]
-    rows = np.array([features(c.value, c.rule, c.before, c.behind, path) for c, path, _ in findings])
+    rows = np.array([features(c.value, c.rule, c.before, c.behind, path, language) for c, path, _ in findings])
     labels = np.array([label for _, _, label in findings], float)
     rng = np.random.default_rng(seed)
     trees = []
     for _ in range(TREES):
         own = rng.integers(0, len(rows), len(rows))
         trees.append(grow(rows[own], labels[own], rng))
-    return Forest(trees)
+    return Forest(trees, language)
 
 
 def findings_of(table: DataFrame) -> list[tuple[Candidate, str, int]]:
@@ -274,7 +321,7 @@ def scan(docs: DataFrame, forest: Forest, path_col: str = "source") -> DataFrame
                 for c in candidates(text or ""):
                     names.append(name)
                     found.append(c)
-                    rows.append(features(c.value, c.rule, c.before, c.behind, path or ""))
+                    rows.append(features(c.value, c.rule, c.before, c.behind, path or "", shared.value.language))
             scores = shared.value.scores(np.array(rows)) if rows else np.empty(0)
             yield pa.RecordBatch.from_arrays(
                 [
