@@ -30,7 +30,8 @@ from quarrylens.llm.store import save
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER_FILE = "word_bpe_49k.json"
-WORDS_HELD = 300_000
+HELD_BYTES, HELD_CHUNK = 64 << 20, 256  # of chunks and ids that a worker holds, and the longest chunk that it holds
+ENTRY_BYTES = 200  # of objects and table places an entry
 #: Latin letters that neither NFC nor lower-casing can join to what follows, then ASCII punctuation but the apostrophe.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -45,12 +46,20 @@ class WordIds(dict):
     def __init__(self, encode: Callable[[str], list[int]]):
         self.encode = encode
         self.parts: dict[str, bytes] = {}
+        self.room = HELD_BYTES
+
+    def _fits(self, chunk: str, ids: bytes) -> bool:
+        size = 4 * len(chunk) + len(ids) + ENTRY_BYTES
+        if len(chunk) > HELD_CHUNK or size > self.room:
+            return False
+        self.room -= size
+        return True
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             ids = np.array(self.encode(part), "<u4").tobytes()
-            if len(self.parts) < WORDS_HELD:
+            if self._fits(part, ids):
                 self.parts[part] = ids
         return ids
 
@@ -60,7 +69,7 @@ class WordIds(dict):
             ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
         else:
             ids = np.array(self.encode(chunk), "<u4").tobytes()
-        if len(self) < WORDS_HELD:
+        if self._fits(chunk, ids):
             self[chunk] = ids
         return ids
 
@@ -105,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
 
 class SumIndex:
-    """Available lengths with counts, and for every sum the number of available pairs that give it."""
+    """Available lengths with counts, and for every sum the number of available pairs and triples, in any order, that give it."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts.copy()
@@ -113,6 +122,7 @@ class SumIndex:
         self.available = self.counts > 0
         ones = self.available.astype(np.int64)
         self.pairs = np.convolve(ones, ones)[: self.capacity + 1]
+        self.triples = np.convolve(self.pairs, ones)[: self.capacity + 1]
 
     def take(self, lengths: list[int], times: int) -> None:
         for length in lengths:
@@ -124,6 +134,12 @@ class SumIndex:
                 self.pairs[others + length] -= 2
                 if 2 * length <= self.capacity:
                     self.pairs[2 * length] -= 1
+                # Triples that held the length once, twice and three times.
+                self.triples[length:] -= 3 * self.pairs[: self.capacity + 1 - length]
+                if 2 * length <= self.capacity:
+                    self.triples[2 * length :] -= 3 * self.available[: self.capacity + 1 - 2 * length]
+                if 3 * length <= self.capacity:
+                    self.triples[3 * length] -= 1
 
     def uses(self, lengths: list[int]) -> int:
         """How often these lengths are all there."""
@@ -144,7 +160,7 @@ class SumIndex:
         if self.available[gap] and self.uses(beside + [gap]):
             return [gap]
         found = self.pair(gap, beside)
-        if found:
+        if found or not self.triples[gap]:
             return found
         high = np.flatnonzero(self.available[: max(gap - 1, 0)])[::-1]
         for z in high[self.pairs[gap - high] > 0]:

@@ -3,8 +3,10 @@
 UTF-8 bytes are embedded; learned filters slide over overlapping chunks that cover the
 whole document; each filter is max-pooled within a chunk; the mean and the maximum over
 the chunks go through one logistic unit.  The model is fitted on the driver on at most
-``SAMPLE_ROWS`` labelled documents (in the order of a hash of doc_id) and at most
-``SAMPLE_CHUNKS`` chunks of each; scoring reads every byte of every document.
+``SAMPLE_ROWS`` labelled documents in the order of a hash of doc_id, whole texts, as long as
+they fit ``SAMPLE_BYTES`` together (a document that no longer fits is left out whole);
+scoring reads every byte of every document.  Filters of eight bytes are applied every
+``STRIDE`` bytes.  Memory for a text's responses is that of a few chunks at a time.
 
 Defined cases: a null text scores as an empty one (padding only); a null doc_id counts
 as empty text in the fold rule; labels that are null are not used, of repeated labels of
@@ -19,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.store import save
+
 CHUNK = 1024
 HOP = 768
 WIDTH = 8
 STRIDE = 4
 EMBED = 8
 FILTERS = 32
-SLAB = 16384
+GROUP = 64  # chunks whose responses are held at once
 SAMPLE_ROWS = 4000
-SAMPLE_CHUNKS = 6
+SAMPLE_BYTES = 32 << 20
 STEPS = 900
 BATCH = 32
 THRESHOLD = 0.3
@@ -75,13 +79,13 @@ class Network:
             buffer.append(padded)
             at += len(padded)
         data = np.frombuffer(b"".join(buffer) + bytes(WIDTH), np.uint8)
-        positions = (len(data) - WIDTH) // STRIDE + 1
-        response = np.empty((positions, FILTERS), np.float32)
-        for s in range(0, positions, SLAB):
-            e = min(s + SLAB, positions)
-            np.matmul(self.windows(data[s * STRIDE : (e - 1) * STRIDE + WIDTH]), self.filters, out=response[s:e])
-        ends = np.column_stack([low, np.minimum(high, positions - 1)]).ravel()
-        best = np.maximum.reduceat(response, ends, axis=0)[::2]
+        low, high = np.array(low), np.minimum(high, (len(data) - WIDTH) // STRIDE)
+        best = np.empty((len(low), FILTERS), np.float32)
+        for g in range(0, len(low), GROUP):
+            begin, end = low[g : g + GROUP], high[g : g + GROUP]
+            s, e = int(begin[0]), int(end.max()) + 1
+            response = self.windows(data[s * STRIDE : (e - 1) * STRIDE + WIDTH]) @ self.filters
+            best[g : g + GROUP] = np.maximum.reduceat(response, np.column_stack([begin, end]).ravel() - s, axis=0)[::2]
         return np.maximum(best + self.bias, 0), np.array(counts)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -111,8 +115,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x.astype(np.float64), -40, 40)))
 
 
+def gradients(net: Network, chunks: list[list[bytes]], labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss, in the order of ``parameters``. Only a filter's best window in a chunk has one, so the backward pass is short."""
+    owner = np.concatenate([np.full(len(own), k) for k, own in enumerate(chunks)])
+    flat = [c for own in chunks for c in own]
+    data = np.zeros((len(owner), CHUNK + WIDTH), np.uint8)
+    best = np.empty((len(owner), FILTERS), np.int64)
+    most_of = np.empty((len(owner), FILTERS), np.float32)
+    for row, chunk in enumerate(flat):
+        data[row, : len(chunk)] = np.frombuffer(chunk, np.uint8)
+        response = net.windows(data[row]) @ net.filters
+        response = response[: max(1, -(-len(chunk) // STRIDE))]
+        best[row] = response.argmax(axis=0)
+        most_of[row] = response.max(axis=0)
+    hidden = np.maximum(most_of + net.bias, 0)
+    counts = np.bincount(owner, minlength=len(chunks))
+    first = np.cumsum(counts) - counts
+    mean = np.add.reduceat(hidden, first, axis=0) / counts[:, None]
+    most = np.maximum.reduceat(hidden, first, axis=0)
+    both = np.concatenate([mean, most], axis=1)
+    error = (sigmoid(both @ net.out + net.offset[0]) - labels).astype(np.float32) / len(labels)
+    back = error[:, None] * net.out[None, :]
+    top = hidden == most[owner]
+    ties = np.add.reduceat(top.astype(np.float32), first, axis=0)
+    down = back[owner, :FILTERS] / counts[owner, None] + np.where(top, back[owner, FILTERS:] / ties[owner], 0)
+    down *= hidden > 0
+    at = best * STRIDE
+    under = data[np.arange(len(owner))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # [chunk, filter, WIDTH]
+    windows = net.embed[under].reshape(len(owner), FILTERS, WIDTH * EMBED)
+    g_filters = np.einsum("cf,cfw->wf", down, windows)
+    g_windows = (down[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+    g_embed = np.stack([np.bincount(under.ravel(), weights=g_windows[:, d], minlength=256) for d in range(EMBED)], axis=1)
+    return [g_embed, g_filters, down.sum(axis=0), both.T @ error, error.sum(keepdims=True)]
+
+
 def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed: int = 0) -> Network | Constant:
-    """Adam on log loss. Only a filter's best window in a chunk has a gradient, so the backward pass is short."""
+    """Adam on log loss; ``chunks`` are those of each whole text."""
     positive = int(labels.sum())
     if positive in (0, len(labels)):
         return Constant((positive + 1) / (len(labels) + 2))
@@ -124,36 +162,9 @@ def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed:
         if len(order) < BATCH:
             order = np.concatenate([order, rng.permutation(len(labels))])
         picked, order = order[:BATCH], order[BATCH:]
-        owner = np.concatenate([np.full(len(chunks[i]), k) for k, i in enumerate(picked)])
-        data = np.zeros((len(owner), CHUNK + WIDTH), np.uint8)
-        for row, chunk in enumerate(c for i in picked for c in chunks[i]):
-            data[row, : len(chunk)] = np.frombuffer(chunk, np.uint8)
-        per = (data.shape[1] - WIDTH) // STRIDE + 1
-        response = np.stack([net.windows(row) @ net.filters for row in data])
-        valid = np.maximum(1, -(-np.array([len(c) for i in picked for c in chunks[i]]) // STRIDE))
-        response[np.arange(per)[None, :] >= valid[:, None]] = -1e9
-        best = response.argmax(axis=1)
-        hidden = np.maximum(np.take_along_axis(response, best[:, None, :], 1)[:, 0] + net.bias, 0)
-        counts = np.bincount(owner, minlength=len(picked))
-        first = np.cumsum(counts) - counts
-        mean = np.add.reduceat(hidden, first, axis=0) / counts[:, None]
-        most = np.maximum.reduceat(hidden, first, axis=0)
-        both = np.concatenate([mean, most], axis=1)
-        error = (sigmoid(both @ net.out + net.offset[0]) - labels[picked]).astype(np.float32) / len(picked)
-        back = error[:, None] * net.out[None, :]
-        top = hidden == most[owner]
-        ties = np.add.reduceat(top.astype(np.float32), first, axis=0)
-        down = back[owner, :FILTERS] / counts[owner, None] + np.where(top, back[owner, FILTERS:] / ties[owner], 0)
-        down *= hidden > 0
-        at = best * STRIDE
-        under = data[np.arange(len(owner))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # [chunk, filter, WIDTH]
-        windows = net.embed[under].reshape(len(owner), FILTERS, WIDTH * EMBED)
-        g_filters = np.einsum("cf,cfw->wf", down, windows)
-        g_windows = (down[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-        g_embed = np.stack([np.bincount(under.ravel(), weights=g_windows[:, d], minlength=256) for d in range(EMBED)], axis=1)
-        gradients = [g_embed, g_filters, down.sum(axis=0), both.T @ error, error.sum(keepdims=True)]
+        found = gradients(net, [chunks[i] for i in picked], labels[picked])
         rate = 0.01 * (1 - (step - 1) / steps) + 0.0005
-        for p, g, (m, v) in zip(net.parameters(), gradients, moments):
+        for p, g, (m, v) in zip(net.parameters(), found, moments):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -165,28 +176,28 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Network | Constant:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> Network | Constant:
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64(F.lit(HASH_SEED), "doc_id"), "doc_id").limit(sample_rows)
     )
 
-    def sample(batches):
-        for batch in batches:
-            parts = []
-            for text in batch.column(2).to_pylist():
-                text = text or b""
-                bounds = chunk_bounds(len(text))
-                at = sorted({len(bounds) * k // SAMPLE_CHUNKS for k in range(SAMPLE_CHUNKS)})
-                parts.append([text[slice(*bounds[i])] for i in at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = narrow.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(sample, "doc_id long, quality int, chunks array<binary>")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).toArrow()  # sample_rows at most, however often a doc_id comes
-    found = sorted(zip(rows["doc_id"].to_pylist(), rows["quality"].to_pylist(), rows["chunks"].to_pylist()))
-    return fit([c for _, _, c in found], np.array([q for _, q, _ in found], np.float64), steps)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = narrow.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row of a doc_id, however often it comes
+    rows = save(rows, "quality-sample")
+    sizes = rows.select("doc_id", F.length("text").alias("size")).orderBy(F.xxhash64(F.lit(HASH_SEED), "doc_id"), "doc_id").collect()  # sample_rows at most
+    room, kept = sample_bytes, []
+    for r in sizes:
+        if r["size"] <= room:
+            room -= r["size"]
+            kept.append((r["doc_id"],))
+    if not kept:
+        return fit([], np.empty(0), steps)
+    fitting = docs.sparkSession.createDataFrame(kept, "doc_id long")
+    found = rows.join(F.broadcast(fitting), "doc_id").orderBy("doc_id").toArrow()
+    texts = found["text"].to_pylist()
+    return fit([[t[slice(*b)] for b in chunk_bounds(len(t))] for t in texts], found["quality"].to_numpy().astype(np.float64), steps)
 
 
 def score(docs: DataFrame, model: Network | Constant, at_least: float | None = None) -> DataFrame:

@@ -449,3 +449,85 @@ def test_chunks_cover_and_pooling_ignores_neighbours():
     texts = [b"", b"a", b"hello world" * 300, b"x" * 5000, bytes(range(256)) * 9]
     together = net.scores(texts)
     assert np.allclose(together, [net.scores([t])[0] for t in texts], atol=1e-6)
+
+
+def slow_score(net, text):
+    """The network by its definition: a loop over chunks and windows."""
+    vectors = []
+    for a, b in quality.chunk_bounds(len(text)):
+        padded = np.frombuffer(text[:] + bytes(2 * quality.WIDTH), np.uint8)
+        responses = []
+        for at in range(a, max(b, a + 1), quality.STRIDE):
+            at -= at % quality.STRIDE
+            window = net.embed[padded[at : at + quality.WIDTH]].ravel()
+            responses.append(window @ net.filters)
+        vectors.append(np.maximum(np.max(responses, axis=0) + net.bias, 0))
+    both = np.concatenate([np.mean(vectors, axis=0), np.max(vectors, axis=0)])
+    return 1 / (1 + np.exp(-(both @ net.out + net.offset[0])))
+
+
+def test_scores_equal_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    net = quality.Network(4)
+    texts = [b"", b"a", b"abcdefgh" * 3, *(bytes(rng.integers(32, 120, n, dtype=np.uint8)) for n in (1000, 1024, 1025, 2000, 5000, 120_000))]
+    assert np.allclose(net.scores(texts), [slow_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_are_the_numerical_ones():
+    rng = np.random.default_rng(6)
+    net = quality.Network(2)
+    for name in ("embed", "filters", "bias", "out", "offset"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    chunks = [[bytes(rng.integers(40, 90, n, dtype=np.uint8)) for n in sizes] for sizes in ([300], [64, 500], [9])]
+    labels = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        out = []
+        for own in chunks:
+            hidden = []
+            for c in own:
+                data = np.frombuffer(c + bytes(quality.CHUNK + quality.WIDTH - len(c)), np.uint8)
+                hidden.append(np.maximum((net.windows(data) @ net.filters)[: max(1, -(-len(c) // quality.STRIDE))].max(axis=0) + net.bias, 0))
+            out.append(np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)]) @ net.out + net.offset[0])
+        p = 1 / (1 + np.exp(-np.array(out)))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for values, found in zip(net.parameters(), quality.gradients(net, chunks, labels)):
+        flat, own = values.reshape(-1), np.asarray(found).reshape(-1)
+        for at in rng.choice(len(flat), min(len(flat), 40), replace=False):
+            before = flat[at]
+            flat[at] = before + 1e-6
+            up = loss()
+            flat[at] = before - 1e-6
+            down = loss()
+            flat[at] = before
+            assert abs((up - down) / 2e-6 - own[at]) < 2e-4
+
+
+def test_memory_of_a_long_text_is_a_few_chunks():
+    import tracemalloc
+
+    net, text = quality.Network(1), b"some words of a long text " * 300_000
+    tracemalloc.start()
+    net.scores([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(text)
+
+
+def test_triples_are_indexed_by_their_sums():
+    rng = np.random.default_rng(9)
+    counts = np.zeros(61, np.int64)
+    counts[rng.integers(1, 61, 25)] = rng.integers(1, 3)
+    index = packing.SumIndex(counts)
+    for length in [*rng.permutation(np.flatnonzero(counts))]:
+        there = np.flatnonzero(index.available)
+        want = np.zeros(61, np.int64)
+        for a in there:
+            for b in there:
+                for c in there:
+                    if a + b + c <= 60:
+                        want[a + b + c] += 1
+        assert np.array_equal(index.triples, want)
+        index.take([int(length)], int(index.counts[length]))
+    assert not index.triples.any() and not index.pairs.any()
