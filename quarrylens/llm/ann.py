@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylens.llm.cover_tree import usable
-from quarrylens.llm.store import save
+from quarrylens.llm.store import hashed_sample, save
 
 SAMPLE_ROWS = 20_000  # rows that centroids, graph and ratio are fitted on
 LIST_ROWS = 256  # rows a list aims at, up to MAX_LISTS lists
@@ -233,7 +233,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = save(able.where(F.size("embedding") == lengths[0]["dim"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-rows")
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     total, top = rows.agg(F.count("*"), F.sqrt(F.max(norm))).first()
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
+    sample = hashed_sample(rows, total, SAMPLE_ROWS, SEED, "vec_id").select("embedding").toArrow()
     index = fit(as_matrix(sample.column(0)), total, top * (1 + 1e-12), k)
     shared = spark.sparkContext.broadcast(index)
 

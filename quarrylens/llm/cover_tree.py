@@ -31,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import connected_components, forest
-from quarrylens.llm.store import save
+from quarrylens.llm.store import hashed_sample, save
 
 BLOCK_ROWS = 8192
 BATCH = 256
-SLACK = 1e-9  # distances this close to a bound are not decided by it
+SLACK = 1e-7  # distances this close to a bound are not decided by it; a chord of near-equal vectors is off by up to 3e-8
 LEVELS = 12
 CELL_SAMPLE = 16_384  # vectors of large labels that cells are taken from
 LABEL_CELLS = 512  # cells of a label at most, so 512 x 512 flags say which of them meet
@@ -243,7 +243,7 @@ def dealt_in_cells(rows: DataFrame, cosine: float, block_rows: int) -> tuple[Dat
     spark = rows.sparkSession
     label_type = rows.schema["label"].dataType.simpleString()
     schema = f"label {label_type}, dim int, first long, second long, block long, vec_id long, embedding array<double>"
-    sample = rows.orderBy(F.xxhash64(F.lit(CELL_SAMPLE), "vec_id"), "vec_id").limit(CELL_SAMPLE).select("label", "dim", "rows", "embedding").toArrow()
+    sample = hashed_sample(rows, rows.count(), CELL_SAMPLE, CELL_SAMPLE, "vec_id").select("label", "dim", "rows", "embedding").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], schema), spark.createDataFrame([], LINK_SCHEMA)
     own: dict[tuple, list[int]] = {}

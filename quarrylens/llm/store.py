@@ -68,6 +68,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashed_sample(rows: DataFrame, total: int, wanted: int, seed: int, key: str) -> DataFrame:
+    """The ``wanted`` rows of ``total`` with the smallest hashes of ``key``; rows far above them are left out before anything is sorted."""
+    order = F.xxhash64(F.lit(seed), F.col(key))
+    if total > 2 * wanted:
+        steps = 1 << 30
+        rows = rows.where(F.shiftrightunsigned(order, 34) < -(-2 * wanted * steps // total))
+    return rows.orderBy(F.shiftrightunsigned(order, 34), order, key).limit(wanted)
+
+
 BROADCAST_ROWS = 1_000_000  # rows of one long, 8 MB, that may be broadcast
 
 
