@@ -90,6 +90,24 @@ def test_csv_counts_every_split_file(spark, tmp_path):
     assert analyze(spark, str(tmp_path / "one")).dataset.splits == {}
 
 
+def test_csv_with_quoted_line_breaks_and_doubled_quotes(spark, tmp_path):
+    put(tmp_path, "a.csv", 'id,note,n\n1,"x\ny",3\n2,"say ""hi"", then go",4\n3,,5\n')
+    data = analyze(spark, str(tmp_path)).dataset
+    assert [tuple(r) for r in data.data.orderBy("id").collect()] == [(1, "x\ny", 3), (2, 'say "hi", then go', 4), (3, None, 5)] and data.num_samples == 3
+    assert [f.dtype for f in data.fields] == [FieldType.INTEGER, FieldType.TEXT, FieldType.INTEGER]
+    put(tmp_path, "two/train.csv", 'id,t\n1,"a\nb"\n2,c\n')
+    put(tmp_path, "two/test.csv", 'id,t\n1,"a\n\nb"\n')
+    assert analyze(spark, str(tmp_path / "two")).dataset.splits == {"train": 2, "test": 1}
+
+
+def test_csv_integers_widen_for_late_cells(spark, tmp_path):
+    lines = ["a,b,c"] + [f"{i},{i},{i}" for i in range(10_500)] + ["1.5,5000000000,x"] * 500
+    put(tmp_path, "a.csv", "\n".join(lines) + "\n")
+    data = analyze(spark, str(tmp_path)).dataset
+    assert [f.dtype for f in data.fields] == [FieldType.FLOAT, FieldType.INTEGER, FieldType.INTEGER] and [f.nullable for f in data.fields] == [False, False, True]
+    assert data.data.where("a = 1.5 AND b = 5000000000 AND c IS NULL").count() == 500
+
+
 @pytest.mark.parametrize(("name", "text"), [("a.json", '[{"z": 1, "a": "x"}, {"z": 2, "a": "y"}]'), ("a.json", ' {"z": 1, "a": "x"}\n{"z": 2, "a": "y"}\n'), ("a.jsonl", '{"z": 1, "a": "x"}\nnot json\n{"z": 2, "a": "y"}\n')])
 def test_json_keeps_column_order_and_skips_bad_lines(spark, tmp_path, name, text):
     put(tmp_path, name, text)
