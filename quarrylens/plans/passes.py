@@ -1,13 +1,14 @@
 """Passes over a table. Each is one scan with partial aggregation, and its result is small.
 
-Exact order statistics never sort the table: approximate quantiles of each column are
-split points, one scan counts each column's rows between them, and only the buckets that
-hold a wanted rank are ordered, about one bucket in ``SPLITS`` of the rows for each rank.
+Exact order statistics never sort the table: approximate quantiles just below and above a
+wanted rank bracket it, one scan counts the rows below and inside every bracket, and only
+rows inside are grouped and ordered, some 1 in 2,500.  A bracket of over ``BRACKET_ROWS``
+rows is narrowed by quantiles of the rows inside it first.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from dataclasses import dataclass
 from math import floor
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from pyspark.sql.window import Window
 from quarrylens.functions.exprs import comparable, ref, text_of
 
 SPLITS = 64
+ACCURACY = 10_000  # of approximate quantiles: ranks are off by 1 in as many
+MARGIN = 2 / ACCURACY
+BRACKET_ROWS = 1_000_000
 WIDE = 8  # columns whose distinct values one aggregate counts at once
 
 
@@ -81,55 +85,101 @@ def bucket_of(x: Column, splits: list) -> Column:
     return search(0, len(splits))
 
 
-def order_statistics(df: DataFrame, ranks: dict[str, list[int]], value: "callable" = None) -> dict[str, dict[int, float]]:
+@dataclass
+class Bracket:
+    """Closed bounds around the value of a rank; None is open. ``outer`` is a counted bracket that holds the rank, if it was narrowed."""
+
+    column: int
+    rank: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    rows: int = 0
+    outer: "Bracket | None" = None
+
+    def holds(self, x: Column) -> Column:
+        test = x.isNotNull()
+        if self.low is not None:
+            test &= x >= F.lit(self.low)
+        return test if self.high is None else test & (x <= F.lit(self.high))
+
+
+def approximate(df: DataFrame, wanted: list[tuple[Column, list[float]]]) -> list[tuple[int, list[float]]]:
+    """(non-null rows, approximate quantiles) of each expression at its fractions, in one scan."""
+    clamp = lambda f: min(1.0, max(0.0, f))
+    row = df.agg(*[a for i, (x, at) in enumerate(wanted) for a in (F.count(x).alias(f"n{i}"), F.percentile_approx(x, [clamp(f) for f in at], ACCURACY).alias(f"p{i}"))]).first()
+    return [(row[2 * i], list(row[2 * i + 1] or [])) for i in range(len(wanted))]
+
+
+def around(fraction: float) -> list[float]:
+    return [fraction - MARGIN, fraction + MARGIN]
+
+
+def settled(df: DataFrame, xs: list[Column], open_: list[Bracket]) -> list[Bracket]:
+    """Brackets that hold their rank and few enough rows, with the rows below and inside them counted; two scans a round, mostly one."""
+    done = []
+    while open_:
+        row = df.agg(*[a for b in open_ for a in (F.count_if(xs[b.column] < F.lit(b.low)) if b.low is not None else F.lit(0).cast("long"), F.count_if(b.holds(xs[b.column])))], F.lit(1)).first()
+        wide, missed = [], []
+        for k, b in enumerate(open_):
+            b.below, b.rows = row[2 * k], row[2 * k + 1]
+            inside = b.below <= b.rank < b.below + b.rows
+            if b.outer and (not inside or b.rows >= b.outer.rows):  # narrowed past the rank, or no narrower for equal values
+                done.append(b.outer)
+            elif not inside:
+                missed.append(Bracket(b.column, b.rank, None, b.low) if b.rank < b.below else Bracket(b.column, b.rank, b.high, None))
+            elif b.rows > BRACKET_ROWS and b.low != b.high:
+                wide.append(b)
+            else:
+                done.append(b)
+        inner = approximate(df, [(F.when(b.holds(xs[b.column]), xs[b.column]), around((b.rank - b.below) / max(b.rows - 1, 1))) for b in wide]) if wide else []
+        open_ = missed + [Bracket(b.column, b.rank, low, high, outer=b) for b, (_, (low, high)) in zip(wide, inner)]
+    return done
+
+
+def values_at(df: DataFrame, xs: list[Column], brackets: list[Bracket]) -> dict[tuple[int, int], float]:
+    """{(column, rank): value} for brackets that hold their ranks."""
+    brackets = settled(df, xs, brackets)
+    out = {(b.column, b.rank): b.low for b in brackets if b.low is not None and b.low == b.high}
+    rest = [b for b in brackets if (b.column, b.rank) not in out]
+    if not rest:
+        return out
+    places = [F.when(b.holds(xs[b.column]), F.struct(F.lit(k).alias("bracket"), xs[b.column].alias("value"))) for k, b in enumerate(rest)]
+    inside = df.select(F.inline(F.array_compact(F.array(*places)))).groupBy("bracket", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("value"))
+    hit = F.element_at(F.array(*[F.lit(b.rank - b.below).cast("long") for b in rest]), F.col("bracket") + 1)
+    found = inside.withColumn("upto", upto).where((F.col("upto") > hit) & (F.col("upto") - F.col("n") <= hit))
+    for r in found.select("bracket", "value").collect():
+        out[rest[r["bracket"]].column, rest[r["bracket"]].rank] = r["value"]
+    return out
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
     """{column: {rank: value}}: exact values at positions from 0 among the sorted non-null values, as doubles."""
-    make = value or (lambda c: ref(c).cast("double"))
-    columns = [c for c, r in ranks.items() if r]
+    columns = [c for c, own in ranks.items() if own]
     if not columns:
         return {}
-    fractions = [k / SPLITS for k in range(1, SPLITS)]
-    points = df.agg(*[F.percentile_approx(make(c), fractions, 10_000).alias(f"p{i}") for i, c in enumerate(columns)]).first()
-    splits = [sorted({float(p) for p in points[i] or []}) for i in range(len(columns))]
-
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), bucket_of(make(c), splits[i]).alias("bucket"), make(c).alias("value")) for i, c in enumerate(columns)]))).where("value IS NOT NULL")
-    totals: dict[int, dict[int, int]] = {}
-    for r in long.groupBy("position", "bucket").count().collect():  # SPLITS rows a column at most
-        totals.setdefault(r["position"], {})[r["bucket"]] = r["count"]
-    wanted: list[tuple[int, int, int, int]] = []
-    for i, c in enumerate(columns):
-        ends, running = [], 0
-        order = sorted(totals.get(i, {}))
-        for b in order:
-            running += totals[i][b]
-            ends.append(running)
-        for rank in set(ranks[c]):
-            at = bisect_left(ends, rank + 1)
-            wanted.append((i, order[at], rank, rank - (ends[at] - totals[i][order[at]])))
-    keys = F.struct("position", "bucket").isin([F.struct(F.lit(i), F.lit(b)) for i, b in {(i, b) for i, b, _, _ in wanted}])
-    counted = long.where(keys).groupBy("position", "bucket", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("position", "bucket").orderBy("value"))
-    hits = counted.withColumn("upto", upto)
-    cases = [F.when((F.col("position") == i) & (F.col("bucket") == b) & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.lit(rank)) for i, b, rank, k in wanted]
-    found = hits.select("position", "value", F.explode(F.array_compact(F.array(*cases))).alias("rank")).collect()
-    out: dict[str, dict[int, float]] = {c: {} for c in columns}
-    for r in found:
-        out[columns[r["position"]]][r["rank"]] = r["value"]
-    return out
+    xs = [ref(c).cast("double") for c in columns]
+    sizes = df.agg(*[F.count(x) for x in xs]).first()
+    found = approximate(df, [(x, [f for r in ranks[c] for f in around(r / max(n - 1, 1))]) for c, x, n in zip(columns, xs, sizes)])
+    at = values_at(df, xs, [Bracket(i, r, found[i][1][2 * k], found[i][1][2 * k + 1]) for i, c in enumerate(columns) for k, r in enumerate(ranks[c])])
+    return {c: {r: at[i, r] for r in ranks[c]} for i, c in enumerate(columns)}
 
 
 def quartiles(df: DataFrame, columns: list[str], value: "callable" = None) -> dict[str, tuple[int, float | None, float | None, float | None]]:
     """{column: (non-null rows, q25, median, q75)}: quartiles at the nearest rank, the median between the middle two."""
+    if not columns:
+        return {}
     make = value or (lambda c: ref(c).cast("double"))
-    counts = df.agg(*[F.count(make(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first() if columns else ()
-    sizes = dict(zip(columns, counts))
-    ranks = {c: [nearest_rank(n, 0.25), (n - 1) // 2, n // 2, nearest_rank(n, 0.75)] for c, n in sizes.items() if n}
-    found = order_statistics(df, ranks, make)
+    xs = [make(c) for c in columns]
+    found = approximate(df, [(x, [f for q in (0.25, 0.5, 0.75) for f in around(q)]) for x in xs])
+    ranks = {i: (nearest_rank(n, 0.25), (n - 1) // 2, n // 2, nearest_rank(n, 0.75)) for i, (n, _) in enumerate(found) if n}
+    at = values_at(df, xs, [Bracket(i, rank, found[i][1][2 * k], found[i][1][2 * k + 1]) for i, own in ranks.items() for rank, k in {own[0]: 0, own[3]: 2, own[1]: 1, own[2]: 1}.items()])
     out = {}
-    for c, n in sizes.items():
-        if not n:
+    for i, c in enumerate(columns):
+        if i not in ranks:
             out[c] = (0, None, None, None)
             continue
-        at = found[c]
-        low, a, b, high = ranks[c]
-        out[c] = (n, at[low], (at[a] + at[b]) / 2, at[high])
+        low, a, b, high = (at[i, rank] for rank in ranks[i])
+        out[c] = (found[i][0], low, (a + b) / 2, high)
     return out

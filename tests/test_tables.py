@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens.engine import profile
 from quarrylens.functions.exprs import blank
 from quarrylens.operators import relations, tables, texts
+from quarrylens.plans import passes
 from quarrylens.plans.passes import distinct_counts, order_statistics, quartiles
 
 
@@ -57,6 +58,19 @@ def test_order_statistics_against_sorting(spark):
         assert order_statistics(df, {"v": ranks}) == {"v": {k: want[k] for k in ranks}}
 
 
+@pytest.mark.parametrize(("accuracy", "rows"), [(10_000, 100), (20, 10), (20, 1_000_000)])
+def test_brackets_are_narrowed_and_mended(spark, monkeypatch, accuracy, rows):
+    monkeypatch.setattr(passes, "ACCURACY", accuracy)
+    monkeypatch.setattr(passes, "BRACKET_ROWS", rows)
+    rng = random.Random(2)
+    values = [rng.choice([rng.gauss(0, 1), float(rng.randint(0, 3)), float("nan")]) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = sorted(values, key=lambda v: (v != v, 0 if v != v else v))
+    ranks = [0, 17, 1000, 1999, 2000, 2500, 3999]
+    got = order_statistics(df, {"v": ranks})["v"]
+    assert all(got[k] == want[k] or (got[k] != got[k] and want[k] != want[k]) for k in ranks)
+
+
 def test_quartiles_nearest_and_median_linear(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)], "v double")
     assert quartiles(df, ["v"]) == {"v": (4, 2.0, 2.5, 3.0)}
