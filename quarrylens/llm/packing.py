@@ -30,7 +30,7 @@ from quarrylens.llm.store import save
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER_FILE = "word_bpe_49k.json"
-HELD_BYTES, HELD_CHUNK = 64 << 20, 256  # of chunks and ids that a worker holds, and the longest chunk that it holds
+HELD_BYTES, HELD_CHUNK = 128 << 20, 256  # of chunks and ids that a worker holds, and the longest chunk that it holds
 ENTRY_BYTES = 200  # of objects and table places an entry
 #: Latin letters that neither NFC nor lower-casing can join to what follows, then ASCII punctuation but the apostrophe.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
