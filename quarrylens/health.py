@@ -65,13 +65,19 @@ def health_score(results: list[AnalyzerResult]) -> HealthScore:
 
 
 def health_table(metrics: DataFrame) -> DataFrame:
-    """The tabular score as SQL over one row (missing_pct, duplicate_pct, imbalance_ratio, outlier_share)."""
-    parts = {
-        "completeness": stepped_column(F.col("missing_pct"), MISSING_STEPS), "uniqueness": stepped_column(F.col("duplicate_pct"), ROW_STEPS),
-        "balance": stepped_column(F.coalesce("imbalance_ratio", F.lit(1.0)), BALANCE_STEPS), "quality": stepped_column(F.coalesce("outlier_share", F.lit(0.0)), OUTLIER_STEPS),
-    }
+    """The score as SQL over one row: missing_pct, duplicate_pct, imbalance_ratio, outlier_share, and for images image_duplicate_pct, corrupt_pct, leaked."""
+    has = lambda c: c in metrics.columns
+    uniqueness, quality = stepped_column(F.col("duplicate_pct"), ROW_STEPS), stepped_column(F.coalesce("outlier_share", F.lit(0.0)), OUTLIER_STEPS)
+    if has("image_duplicate_pct"):
+        uniqueness = F.least(uniqueness, stepped_column(F.col("image_duplicate_pct"), IMAGE_STEPS))
+    if has("corrupt_pct"):
+        quality = F.least(quality, stepped_column(F.col("corrupt_pct"), CORRUPT_STEPS))
+    parts = {"completeness": stepped_column(F.col("missing_pct"), MISSING_STEPS), "uniqueness": uniqueness, "balance": stepped_column(F.coalesce("imbalance_ratio", F.lit(1.0)), BALANCE_STEPS), "quality": quality}
+    if has("leaked"):
+        parts["consistency"] = F.when(F.col("leaked") > 0, F.lit(float(LEAK_SCORE))).otherwise(100.0)
     scored = metrics.select("*", *[v.alias(k) for k, v in parts.items()])
-    total = F.round(0.25 * F.col("completeness") + 0.2 * F.col("uniqueness") + 0.2 * F.col("balance") + 0.2 * F.col("quality") + 0.15 * 100, 1)
+    consistency = F.col("consistency") if has("leaked") else F.lit(100)
+    total = F.round(0.25 * F.col("completeness") + 0.2 * F.col("uniqueness") + 0.2 * F.col("balance") + 0.2 * F.col("quality") + 0.15 * consistency, 1)
     grade = F.lit("F")
     for limit, name in reversed(GRADES):
         grade = F.when(F.col("score") >= limit, name).otherwise(grade)

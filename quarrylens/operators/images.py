@@ -220,6 +220,24 @@ def damage(images: DataFrame, features: DataFrame) -> DataFrame:
     return joined.select("path", issue.alias("issue")).where("issue IS NOT NULL")
 
 
+def resolution_stats(features: DataFrame) -> DataFrame:
+    """One row over files with a size in pixels: bounds and means of width, height and bytes, small, large, different sizes and modes."""
+    return features.where("width > 0 AND height > 0").agg(
+        F.count("*").alias("images_analyzed"), *[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))],
+        *[F.round(F.avg(c), 1).alias(f"mean_{c}") for c in ("width", "height", "size_bytes")],
+        F.count_if((F.col("width") < SMALL) | (F.col("height") < SMALL)).alias("small"), F.count_if((F.col("width") > LARGE) | (F.col("height") > LARGE)).alias("large"),
+        F.count_distinct("width", "height").alias("unique_resolutions"), F.count_distinct("mode").alias("modes"),
+    )
+
+
+def quality_stats(features: DataFrame) -> DataFrame:
+    """One row over decoded files: dark, bright and blurry ones, mean and spread of brightness, contrast and blur."""
+    return features.where("decoded").agg(
+        F.count("*").alias("images_analyzed"), F.count_if(F.col("brightness") < DARK).alias("dark"), F.count_if(F.col("brightness") > BRIGHT).alias("bright"), F.count_if(F.col("blur") < BLURRY).alias("blurry"),
+        *[F.round(f(c), 4).alias(f"{c}_{n}") for c in ("brightness", "contrast", "blur") for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
+    )
+
+
 # ---------------------------------------------------------------- analyzers
 
 
@@ -235,12 +253,7 @@ class Resolution(ImageAnalyzer):
 
     def run(self, dataset: Dataset):
         rows = features_of(dataset).where("width > 0 AND height > 0")
-        m = next(rows_of(rows.agg(
-            F.count("*").alias("images_analyzed"), *[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))],
-            *[F.round(F.avg(c), 1).alias(f"mean_{c}") for c in ("width", "height", "size_bytes")],
-            F.count_if((F.col("width") < SMALL) | (F.col("height") < SMALL)).alias("small"), F.count_if((F.col("width") > LARGE) | (F.col("height") > LARGE)).alias("large"),
-            F.count_distinct("width", "height").alias("unique_resolutions"), F.count_distinct("mode").alias("modes"),
-        )))
+        m = next(rows_of(resolution_stats(rows)))
         if not m["images_analyzed"]:
             return self.skipped("no readable image")
         found = []
@@ -266,10 +279,7 @@ class Quality(ImageAnalyzer):
 
     def run(self, dataset: Dataset):
         rows = features_of(dataset).where("decoded")
-        m = next(rows_of(rows.agg(
-            F.count("*").alias("images_analyzed"), F.count_if(F.col("brightness") < DARK).alias("dark"), F.count_if(F.col("brightness") > BRIGHT).alias("bright"), F.count_if(F.col("blur") < BLURRY).alias("blurry"),
-            *[F.round(f(c), 4).alias(f"{c}_{n}") for c in ("brightness", "contrast", "blur") for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
-        )))
+        m = next(rows_of(quality_stats(rows)))
         if not m["images_analyzed"]:
             return self.skipped("no readable image")
         found = [warning(f"many_{kind}_images", f"Many {kind} images", f"{m[kind]} of {m['images_analyzed']} images are {kind}", count=m[kind]) for kind in ("dark", "bright", "blurry") if m[kind] > 0.1 * m["images_analyzed"]]

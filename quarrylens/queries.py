@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.health import health_table
 from quarrylens.operators import relations, tables, texts
-from quarrylens.operators.images import hamming_pairs, leaks
+from quarrylens.operators.images import aspect_column, damage, exact_groups, hamming_pairs, leaks, quality_stats, resolution_stats
 from quarrylens.plans.passes import distinct_counts, quartiles
 from quarrylens.sources.sampling import exact_sample
 from quarrylens.sources.tabular import diagonal_union
@@ -385,6 +385,98 @@ def health_score_orders(spark, sf_dir):
     return health_table(metrics)
 
 
+# Plans of the image analyzers, over a table of features made from documents.
+
+
+def _image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 23 * F.col("n_chars")).alias("size_bytes"),
+        (F.col("doc_id") * 37 % 9001).cast("int").alias("width"), (F.col("doc_id") * 53 % 4999).cast("int").alias("height"), F.col("lang").alias("mode"),
+        F.when(F.col("doc_id") % 5 == 0, "WEBP").when(F.col("doc_id") % 11 != 0, "PNG").alias("format"), (F.col("doc_id") % 7 != 0).alias("decoded"), F.sha2("text", 256).alias("sha256"),
+        F.when(F.col("doc_id") % 3 == 0, "train").otherwise("test").alias("split"), (F.col("doc_id") % 101 / 100).alias("brightness"), (F.col("doc_id") % 37 / 37).alias("contrast"), (F.col("doc_id") % 200).cast("double").alias("blur"),
+    )
+
+
+_FEATURES = """f AS (SELECT 'img/' || doc_id AS path, doc_id % 23 * n_chars AS size_bytes, (doc_id * 37 % 9001)::INTEGER AS width, (doc_id * 53 % 4999)::INTEGER AS height, lang AS mode,
+  CASE WHEN doc_id % 5 = 0 THEN 'WEBP' WHEN doc_id % 11 <> 0 THEN 'PNG' END AS format, doc_id % 7 <> 0 AS decoded, sha256(text) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'train' ELSE 'test' END AS split,
+  (doc_id % 101)::DOUBLE / 100 AS brightness, (doc_id % 37)::DOUBLE / 37 AS contrast, (doc_id % 200)::DOUBLE AS blur FROM documents)"""
+
+
+@query(f"""WITH {_FEATURES} SELECT count(*) AS images_analyzed, min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height, round(avg(width), 1) AS mean_width,
+round(avg(height), 1) AS mean_height, round(avg(size_bytes), 1) AS mean_size_bytes, count(*) FILTER (width < 32 OR height < 32) AS small, count(*) FILTER (width > 8000 OR height > 8000) AS large,
+count(DISTINCT (width, height)) AS unique_resolutions, count(DISTINCT mode) AS modes FROM f WHERE width > 0 AND height > 0""")
+def image_resolution_features(spark, sf_dir):
+    return resolution_stats(_image_features(spark, sf_dir))
+
+
+@query(f"""WITH {_FEATURES} SELECT count(*) AS images_analyzed, count(*) FILTER (brightness < 0.15) AS dark, count(*) FILTER (brightness > 0.85) AS bright, count(*) FILTER (blur < 50) AS blurry,
+round(avg(brightness), 4) AS brightness_mean, round(stddev_pop(brightness), 4) AS brightness_std, round(avg(contrast), 4) AS contrast_mean, round(stddev_pop(contrast), 4) AS contrast_std,
+round(avg(blur), 4) AS blur_mean, round(stddev_pop(blur), 4) AS blur_std FROM f WHERE decoded""")
+def image_quality_features(spark, sf_dir):
+    return quality_stats(_image_features(spark, sf_dir))
+
+
+@query(f"""WITH {_FEATURES} SELECT path, CASE WHEN size_bytes = 0 THEN 'zero_size' WHEN format IS NOT NULL AND width > 0 THEN 'truncated' ELSE 'corrupted' END AS issue FROM f
+WHERE size_bytes = 0 OR (coalesce(format, '') <> 'WEBP' AND NOT decoded)""")
+def image_damage_features(spark, sf_dir):
+    rows = _image_features(spark, sf_dir)
+    return damage(rows, rows)
+
+
+@query(f"WITH {_FEATURES} SELECT sha256, count(*) AS n FROM f GROUP BY sha256 HAVING count(*) > 1")
+def image_exact_groups(spark, sf_dir):
+    return exact_groups(_image_features(spark, sf_dir))
+
+
+@query(f"""WITH {_FEATURES}, r AS (SELECT width::DOUBLE / height AS ratio FROM f WHERE width > 0 AND height > 0)
+SELECT CASE WHEN abs(ratio - 1.0) < 0.05 THEN '1:1' WHEN abs(ratio - 4.0 / 3) < 0.1 THEN '4:3' WHEN abs(ratio - 0.75) < 0.1 THEN '3:4' WHEN abs(ratio - 16.0 / 9) < 0.1 THEN '16:9'
+WHEN abs(ratio - 9.0 / 16) < 0.1 THEN '9:16' WHEN abs(ratio - 1.5) < 0.1 THEN '3:2' WHEN abs(ratio - 2.0 / 3) < 0.1 THEN '2:3' ELSE 'other' END AS aspect, count(*) AS n FROM r GROUP BY 1""")
+def image_aspect_ratios(spark, sf_dir):
+    named = _image_features(spark, sf_dir).where("width > 0 AND height > 0").select(aspect_column(F.col("width"), F.col("height")).alias("aspect"))
+    return named.groupBy(F.when(F.col("aspect").contains(":"), F.col("aspect")).otherwise("other").alias("aspect")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_FEATURES}, m AS (SELECT
+  (SELECT round(100.0 * (count(*) * 2 - count(n_chars) - count(CASE WHEN doc_id % 7 <> 0 THEN 1 END)) / (count(*) * 2), 2) FROM documents) AS missing_pct,
+  (SELECT round(100.0 * (count(*) - count(DISTINCT text)) / count(*), 2) FROM documents) AS duplicate_pct,
+  (SELECT max(n) / min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)) AS imbalance_ratio,
+  (SELECT avg(CASE WHEN outlier_count > 0 THEN 1.0 ELSE 0.0 END) FROM ({_outlier_sql("SELECT * FROM documents", ["n_chars", "doc_id"])})) AS outlier_share,
+  (SELECT 100.0 * (count(sha256) - count(DISTINCT sha256)) / count(*) FROM f) AS image_duplicate_pct,
+  (SELECT 100.0 * count(*) FILTER (size_bytes = 0 OR (coalesce(format, '') <> 'WEBP' AND NOT decoded)) / count(*) FROM f) AS corrupt_pct,
+  (SELECT count(*) FROM (SELECT sha256 FROM f GROUP BY sha256 HAVING count(DISTINCT split) > 1)) AS leaked),
+p AS (SELECT CASE WHEN missing_pct > 50 THEN 10 WHEN missing_pct > 20 THEN 40 WHEN missing_pct > 5 THEN 70 WHEN missing_pct > 1 THEN 85 WHEN missing_pct > 0 THEN 95 ELSE 100 END::DOUBLE AS completeness,
+  least(CASE WHEN duplicate_pct > 20 THEN 30 WHEN duplicate_pct > 10 THEN 50 WHEN duplicate_pct > 5 THEN 70 WHEN duplicate_pct > 1 THEN 85 WHEN duplicate_pct > 0 THEN 95 ELSE 100 END,
+    CASE WHEN image_duplicate_pct > 10 THEN 40 WHEN image_duplicate_pct > 5 THEN 60 WHEN image_duplicate_pct > 1 THEN 80 WHEN image_duplicate_pct > 0 THEN 90 ELSE 100 END)::DOUBLE AS uniqueness,
+  CASE WHEN imbalance_ratio > 20 THEN 20 WHEN imbalance_ratio > 10 THEN 40 WHEN imbalance_ratio > 5 THEN 60 WHEN imbalance_ratio > 3 THEN 75 WHEN imbalance_ratio > 1.5 THEN 90 ELSE 100 END::DOUBLE AS balance,
+  least(CASE WHEN outlier_share > 0.5 THEN 60 WHEN outlier_share > 0.3 THEN 75 ELSE 100 END, CASE WHEN corrupt_pct > 5 THEN 30 WHEN corrupt_pct > 2 THEN 55 WHEN corrupt_pct > 0.5 THEN 75 WHEN corrupt_pct > 0 THEN 90 ELSE 100 END)::DOUBLE AS quality,
+  CASE WHEN leaked > 0 THEN 40 ELSE 100 END::DOUBLE AS consistency FROM m),
+s AS (SELECT *, round(0.25 * completeness + 0.2 * uniqueness + 0.2 * balance + 0.2 * quality + 0.15 * consistency, 1) AS score FROM p)
+SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s""")
+def health_score_every_part(spark, sf_dir):
+    docs, images = table(spark, sf_dir, "documents"), _image_features(spark, sf_dir)
+    gaps = docs.select("n_chars", F.when(F.col("doc_id") % 7 != 0, F.lit(1)).alias("gap"))
+    parts = [
+        tables.missing_values(gaps).agg(F.round(100 * F.sum("missing_count") / F.sum("total_rows"), 2).alias("missing_pct")),
+        tables.row_duplicates(docs.select("text")).select("duplicate_pct"), docs.groupBy("lang").count().agg((F.max("count") / F.min("count")).alias("imbalance_ratio")),
+        relations.outliers(docs, ["n_chars", "doc_id"]).agg(F.avg(F.when(F.col("outlier_count") > 0, 1.0).otherwise(0.0)).alias("outlier_share")),
+        exact_groups(images).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra")), damage(images, images).agg(F.count("*").alias("issues")), images.agg(F.count("*").alias("images")),
+        leaks(images.select("split", F.col("sha256").alias("hash"))).agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("leaked")),
+    ]
+    row = parts[0]
+    for part in parts[1:]:  # each of one row
+        row = row.join(F.broadcast(part))
+    return health_table(row.withColumn("image_duplicate_pct", 100 * F.col("extra") / F.col("images")).withColumn("corrupt_pct", 100 * F.col("issues") / F.col("images")))
+
+
+@query("""SELECT sampled, members, different FROM (SELECT least(count(*), 100) AS sampled, least(count(*), 100) AS members, least(count(*), 100) AS different FROM part)""")
+def sample_members_part(spark, sf_dir):
+    """Sampled rows are rows of the table, each once, whatever the partitions."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    drawn, again = exact_sample(part, 100), exact_sample(part.repartition(7), 100)
+    counts = [drawn.agg(F.count("*").alias("sampled")), drawn.join(part, ["p_partkey", "p_name"], "left_semi").join(again, ["p_partkey", "p_name"], "left_semi").agg(F.count("*").alias("members")), drawn.agg(F.count_distinct("p_partkey").alias("different"))]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
