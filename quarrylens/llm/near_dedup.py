@@ -12,10 +12,10 @@ in ``simhash``.  Fingerprints and probes are dealt out by (partition, value).
    first against the component's smallest row, then all pairs with a row that is not
    similar to that one, in blocks.  A group of copies is therefore compared once a row.
 
-Thresholds sum to m - 1 less the partitions, so all pairs within that many bits meet for
-certain; with partitions of 16 bits, at the similarity asked, ``MISS`` of the pairs do not
-(binomially), and fewer the more similar they are.  At more rows than partitions of 16 bits
-serve, narrower or wider ones are chosen, with thresholds that keep MISS.
+A fingerprint's thresholds sum to a budget; with m partitions all pairs within budget + m - 1
+bits meet for certain.  The budget is the smallest with which, at the similarity asked, ``MISS``
+of the pairs at most do not meet (binomially); the more similar, the fewer.  The number of
+partitions, so their width, is the one with the least work for the number of rows.
 
 Hot values: a value that BUCKET_ROWS rows or more share has a leader; rows near it are
 linked to it and need no comparison with each other, only the others probe all its shares.
