@@ -73,23 +73,10 @@ def csv_reader(spark: SparkSession, path: str, sep: str) -> DataFrameReader:
     return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", broken)
 
 
-def csv_rows(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """Every cell as text. Lines with an odd number of quotes mean quoted line breaks; only such a file is read unsplit."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", broken).csv(path)
-
-
-def csv_rows(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """Every cell as text. Lines with an odd number of quotes mean quoted line breaks; only such a file is read unsplit."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", broken).csv(path)
-
-
 def typed_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Types from the first records; integers widen if a later cell is a larger or broken number, any other cell that does not fit is null."""
-    rows = csv_rows(spark, path, sep)
+    reader = csv_reader(spark, path, sep)
+    rows = reader.csv(path)  # every cell as text
     if not rows.columns:
         return rows
     one_line = [F.regexp_replace(ref(c), r"[\r\n]", " ").alias(f"c{i}") for i, c in enumerate(rows.columns)]
@@ -100,15 +87,14 @@ def typed_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     fields = [StructField(c, f.dataType) for c, f in zip(rows.columns, inferred)]
     whole = [f for f in fields if isinstance(f.dataType, IntegerType | LongType)]
     if whole:
-        late = lambda f, kind: F.count_if(F.try_cast(ref(f.name), f.dataType.simpleString()).isNull() & F.try_cast(ref(f.name), kind).isNotNull())
+        late = lambda f, kind: F.count_if(ref(f.name).try_cast(f.dataType).isNull() & ref(f.name).try_cast(kind).isNotNull())
         wider = rows.agg(*(late(f, kind) for f in whole for kind in ("bigint", "double"))).first()
         for k, f in enumerate(whole):
             if wider[2 * k + 1] > wider[2 * k]:
                 f.dataType = DoubleType()
             elif wider[2 * k]:
                 f.dataType = LongType()
-    broken = rows._jdf is not None and _is_multi_line(rows)
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", broken).schema(StructType(fields)).csv(path)
+    return reader.schema(StructType(fields)).csv(path)
 
 
 def load_csv(spark: SparkSession, scan: ScanResult, sample_size: int | None = None) -> Dataset:
