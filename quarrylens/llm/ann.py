@@ -14,9 +14,10 @@ Largest inner products become smallest distances by one more component,
 sqrt(M^2 - |x|^2), with M the largest norm over all rows.
 
 Lists are split into blocks, blocks are laid into shards, and each task matches one
-shard with one share of the queries, so neither a large list nor many queries on one
-list gather in a task.  Scores are inner products of the original vectors in double
-precision, each from its two rows alone.
+shard with one share of the queries that read it, so neither a large list nor many
+queries on one list gather in a task.  A shard is copied once a share: only those that
+more than ``QUERY_SHARE`` queries read have several.  Scores are inner products of the
+original vectors in double precision, each from its two rows alone.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows with a null vec_id or with a length other than the most frequent
@@ -49,7 +50,7 @@ TARGET_RECALL = 0.97
 CALIBRATION_QUERIES = 256
 BLOCK_ROWS = 8192
 SHARD_ROWS = 16_384
-QUERY_SHARE = 65_536
+QUERY_SHARE = 65_536  # queries matched with a shard in one task
 QUERY_CHUNK = 512
 TIE = 1e-9
 SEED = 23
@@ -262,8 +263,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 shard, filled = shard + 1, 0
             blocks[name].append(shard)
             filled += sizes[name] // parts
-    queries = rows.where(is_query)
-    shares = max(1, -(-queries.count() // QUERY_SHARE))
     layout = spark.sparkContext.broadcast(blocks)
 
     def lay(batches):
@@ -271,8 +270,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             names, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             place = np.array([layout.value[a][h % len(layout.value[a])] for a, h in zip(names.tolist(), mixed.tolist())], np.int32)
-            for share in range(shares):
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.full(len(place), share, np.int32)), *batch.columns], ["shard", "share", "list", "vec_id", "embedding"])
+            times = np.array([shares.value.get(p, 1) for p in place.tolist()], np.int64)
+            row = np.repeat(np.arange(len(place)), times)
+            share = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+            copied = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(place[row]), pa.array(share), *copied.columns], ["shard", "share", "list", "vec_id", "embedding"])
 
     def ask(batches):
         for batch in batches:
@@ -287,8 +289,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                             by_shard.setdefault(shard, []).append(name)
                     out += [(s + r, shard, names) for shard, names in by_shard.items()]
                 taken = batch.take(pa.array([o[0] for o in out], pa.int64()))
-                share = (taken.column(0).to_numpy() // 7919 % shares).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), pa.array(share), pa.array([o[2] for o in out], pa.list_(pa.int32())), *taken.columns], ["shard", "share", "lists", "query_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int32())), *taken.columns], ["shard", "lists", "query_id", "embedding"])
 
     def match(key, asked, posted):
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -318,8 +319,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         best = rank < k
         return pa.table({"query_id": q[best], "vec_id": v[best], "score": s[best]})
 
+    asked = save(rows.where(is_query).mapInArrow(ask, "shard int, lists array<int>, query_id long, embedding array<double>"), "ann-asked")
+    busy = save(asked.groupBy("shard").count().where(F.col("count") > QUERY_SHARE).select("shard", F.ceil(F.col("count") / QUERY_SHARE).cast("int").alias("shares")), "ann-busy")
+    shares = spark.sparkContext.broadcast({r["shard"]: r["shares"] for r in busy.collect()})  # one shard for 65,536 asked at most
     posted = postings.mapInArrow(lay, "shard int, share int, list int, vec_id long, embedding array<double>")
-    asked = queries.mapInArrow(ask, "shard int, share int, lists array<int>, query_id long, embedding array<double>")
+    share = F.pmod(F.xxhash64("query_id"), F.coalesce("shares", F.lit(1))).cast("int")
+    asked = asked.join(F.broadcast(busy), "shard", "left").select("shard", share.alias("share"), "lists", "query_id", "embedding")
     found = asked.groupBy("shard", "share").cogroup(posted.groupBy("shard", "share")).applyInArrow(match, "query_id long, vec_id long, score double")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -130,6 +130,7 @@ def test_nearest_with_ties_and_odd_vectors(spark):
 def test_recall_on_the_test_table(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 800)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "QUERY_SHARE", 40)  # shards read by several shares of the queries
     df = small(spark, "embeddings", "sf0.1")
     rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
