@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylens import engine
 from quarrylens.health import health_table
+from quarrylens.model import Dataset, Detection
 from quarrylens.operators import relations, tables, texts
 from quarrylens.operators.images import aspect_column, damage, exact_groups, hamming_pairs, leaks, quality_stats, resolution_stats
 from quarrylens.plans.passes import distinct_counts, quartiles
 from quarrylens.sources.sampling import exact_sample
+from quarrylens.sources.scan import detect_format, scan_directory
 from quarrylens.sources.tabular import diagonal_union
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +482,78 @@ def sample_members_part(spark, sf_dir):
     return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))
 
 
+# Sources: a table is written as one file, then scanned, detected and loaded as a user's folder is.
+
+
+def _written(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
+    """Folder of one file that holds ``df``, below the shared checkpoint folder; a local path, since the scan lists files on the driver."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file:///tmp/checkpoints/quarrylens"
+    folder = f"{urlparse(shared).path.rstrip('/')}/quarrylens/{spark.sparkContext.applicationId}/source-{uuid.uuid4().hex}"
+    df.repartition(1).write.format(kind).options(**options).save(f"file://{folder}")
+    return folder
+
+
+def _loaded(spark: SparkSession, path: str) -> tuple[Detection, Dataset]:
+    scan = scan_directory(path)
+    found = detect_format(scan).selected
+    return found, engine.loaders[found.loader_id](spark, scan, None)
+
+
+_NOTED = """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'a "b", c' || chr(10) || s_name WHEN s_suppkey % 3 = 1 THEN s_name END AS note, s_nationkey, s_acctbal FROM supplier"""
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with notes that hold quotes, commas and line breaks, or are null."""
+    note = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('a "b", c\n'), "s_name")).when(F.col("s_suppkey") % 3 == 1, F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", note.alias("note"), "s_nationkey", "s_acctbal")
+
+
+@query(_NOTED)
+def load_csv_supplier(spark, sf_dir):
+    data = _loaded(spark, _written(spark, _noted(spark, sf_dir), "csv", header="true", escape='"'))[1].data
+    return data.withColumn("s_suppkey", F.col("s_suppkey").cast("long"))
+
+
+@query(_NOTED)
+def load_json_supplier(spark, sf_dir):
+    data = _loaded(spark, _written(spark, _noted(spark, sf_dir), "json"))[1].data
+    return data.withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
+
+
+@query("SELECT * FROM orders")
+def load_parquet_orders(spark, sf_dir):
+    return _loaded(spark, f"{sf_dir}/orders.parquet")[1].data
+
+
+_KINDS = {"csv": ("csv", 0.95, "csv"), "json": ("json", 0.5, "json"), "parquet": ("parquet", 0.95, "parquet")}
+
+
+@query(_union([f"SELECT '{kind}' AS dataset_type, {confidence}::DOUBLE AS confidence, '{loader}' AS loader_id, count(*) AS num_samples FROM supplier" for kind, confidence, loader in _KINDS.values()]))
+def detected_formats_supplier(spark, sf_dir):
+    rows = []
+    for kind in _KINDS:
+        found, data = _loaded(spark, _written(spark, _noted(spark, sf_dir), kind, **({"header": "true", "escape": '"'} if kind == "csv" else {})))
+        rows.append((found.dataset_type, found.confidence, found.loader_id, data.num_samples))
+    return spark.createDataFrame(rows, "dataset_type string, confidence double, loader_id string, num_samples long")
+
+
+@query("""SELECT 's_suppkey' AS field, 'integer' AS dtype, false AS nullable UNION ALL SELECT 'note', 'text', count(*) > count(CASE WHEN s_suppkey % 3 < 2 THEN 1 END) FROM supplier
+UNION ALL SELECT 's_nationkey', 'integer', false UNION ALL SELECT 's_acctbal', 'float', false""")
+def loaded_fields_supplier(spark, sf_dir):
+    data = _loaded(spark, _written(spark, _noted(spark, sf_dir), "csv", header="true", escape='"'))[1]
+    return spark.createDataFrame([(f.name, f.dtype.value, f.nullable) for f in data.fields], "field string, dtype string, nullable boolean")
+
+
+@query("SELECT * FROM nation LIMIT 20")
+def examples_nation(spark, sf_dir):
+    """The first rows of the loaded table, as a report shows them."""
+    return spark.createDataFrame(engine.examples(_loaded(spark, f"{sf_dir}/nation.parquet")[1]), "n_nationkey int, n_name string, n_regionkey int")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
