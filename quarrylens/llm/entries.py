@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import ann, cover_tree, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, warc
+from quarrylens.llm import ann, cover_tree, importance, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, warc
 
 TOKENIZER = "word_bpe_49k.json"
 PSEUDONYM_KEY = "registered query"  # callers with real data pass a secret of their own
@@ -66,9 +66,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op4_secret_scan, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op4_secret_scan, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_packages": warc.ORACLE_SQL, "op6_cover_tree": cover_tree.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_weighted_mix": mixing.ORACLE_SQL}
+    return {"op1_warc_packages": warc.ORACLE_SQL, "op6_cover_tree": cover_tree.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op9_weighted_mix": mixing.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL}
