@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import ann, cover_tree, importance, licenses, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, warc
+from quarrylens.llm import ann, cover_tree, importance, licenses, line_dedup, mixing, packing, pii, quality, secret_scan, simhash, token_align, warc
 
 TOKENIZER = "word_bpe_49k.json"
 PSEUDONYM_KEY = "registered query"  # callers with real data pass a secret of their own
@@ -71,12 +71,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op4_secret_scan, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash, op11_importance_resampling, op13_license_scan)}
+    return {f.__name__: f for f in (op1_warc_packages, op2_posting_lists, op3_best_fit_packing, op4_secret_scan, op5_quality_classifier, op6_cover_tree, op7_line_dedup, op8_feistel_pseudonyms, op9_weighted_mix, op10_simhash, op11_importance_resampling, op12_token_alignment, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
