@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")  # A-Z are lower-cased after the cut
 BLOCK_BYTES = 1 << 20
 
 
