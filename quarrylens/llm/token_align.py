@@ -6,14 +6,16 @@ which a look through both vocabularies shows that no entry reaches over the cut:
 tokens of a text are then those of its segments in a row (``safe_breaks``).
 
 1. Distinct segments are counted, by tasks first and then by segment.
-2. Each is tokenised and aligned once: groups between the byte offsets where tokens of both
-   end, and links, the pairs of A and B tokens whose bytes overlap.
+2. Every segment that several documents hold is tokenised and aligned once: groups between
+   the byte offsets where tokens of both end, and links, the pairs of A and B tokens whose
+   bytes overlap.  A segment of a single document is aligned with that document.
 3. Alignments return to the documents.  The most frequent segments, as many as a fixed
    budget of bytes holds, go to every worker; a document's other segments are joined by
-   hash, and gathered per document, so no more than a document meets in one place.
+   hash, and gathered per document, so no more than a document meets in one place.  An
+   alignment travels as its text; its tokens' bytes tell the segment and the links.
 4. Documents are composed, and each counts its distinct pairs; pairs are added up by tasks
-   and then over all documents, and give every segment its sums, which a last pass adds
-   up per document in the same way.
+   and then over all documents.  Sums over links come from the segments' sums for the
+   frequent ones, and for others from a join of the documents' own pairs.
 
 Defined cases: a text that is null, empty, or whose joined A or B bytes are not a space and
 the text (one that holds U+2581) has no tokens: zeros, an empty digest, and no part in the
@@ -31,6 +33,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,10 @@ from quarrylens.llm.store import save
 BREAKS = " \n\t"  # characters that segments may start with, if the vocabularies allow
 SPACE = "▁"
 BLOCK_CHARS = 1 << 18
+CHAINED = 512  # segments that A sees as one text
 FREQUENT_SEGMENTS, FREQUENT_BYTES = 200_000, 24 << 20  # what every worker holds: segments, and bytes of them
 HELD_ENTRIES = 200_000  # of a task's counts before it sends them on
-BROADCAST_PAIRS = 500_000  # pairs, 24 bytes each, that may be broadcast
+BROADCAST_PAIRS = 1_000_000  # pairs, 24 bytes each, that may be broadcast
 STEPS_AN_OCTAVE = 8  # of the histogram that finds the frequent segments
 
 
@@ -76,19 +80,34 @@ class Tokenizers:
         for entry, k in vocabulary.items():
             self.a_bytes[k] = bytes(map(alphabet.__getitem__, entry))
         self.b_bytes = [piece_bytes(self.b.id_to_piece(k)) if not self.b.is_control(k) else b"" for k in range(self.b.get_piece_size())]
+        self.a_size, self.b_size = (np.array(list(map(len, entries))) for entries in (self.a_bytes, self.b_bytes))
         self.alone = self.b.piece_to_id(SPACE)
         self.breaks = safe_breaks(self.a_bytes, self.b_bytes)
 
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """(A ids, B ids) of each segment. B adds a space: it stands for a segment's own first one, else it is taken off again."""
-        of_a = self.a.encode_batch(segments, add_special_tokens=False)
-        of_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for segment, a, b in zip(segments, of_a, of_b):
-            if segment == " ":
-                b = [self.alone]
-            elif segment[0] != " ":
-                b = b[1:]
-            yield a.ids, b
+    def encode_a(self, segments: list[str]) -> list[list[int]]:
+        """A's ids. Segments that may stand behind one another are encoded in one text, and told apart by their tokens' bytes."""
+        out: list = [None] * len(segments)
+        chained = [k for k, s in enumerate(segments) if s[0] in self.breaks and not s[-1].isspace()]
+        apart = [k for k, s in enumerate(segments) if s[0] not in self.breaks or s[-1].isspace()]
+        for k, found in zip(apart, self.a.encode_batch_fast([segments[k] for k in apart], add_special_tokens=False)):
+            out[k] = found.ids
+        for at in range(0, len(chained), CHAINED):
+            own = chained[at : at + CHAINED]
+            ids = self.a.encode_batch_fast(["".join(segments[k] for k in own)], add_special_tokens=False)[0].ids
+            ends = np.cumsum([len(segments[k].encode()) for k in own])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.a_size[ids]), ends) + 1).tolist()]
+            for k, low, high in zip(own, cuts, cuts[1:]):
+                out[k] = ids[low:high]
+        return out
+
+    def encode_b(self, segments: list[str]) -> list[list[int]]:
+        """B's ids. B adds a space: it stands for a segment's own first one, else it is taken off again."""
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        return [[self.alone] if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(segments, found)]
+
+    def whole(self, segment: str, a: list[int], b: list[int]) -> bool:
+        """Whether both give the segment's bytes back."""
+        return b"".join(map(self.a_bytes.__getitem__, a)) == segment.encode() == b"".join(map(self.b_bytes.__getitem__, b))
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -131,26 +150,61 @@ class Segmenter:
             at = end
 
 
-def segment_hash(segment: str) -> bytes:
-    return xxhash.xxh3_128_digest(segment.encode())
+def segment_hash(segment: str) -> int:
+    return (xxhash.xxh3_64_intdigest(segment.encode()) + (1 << 63) & (1 << 64) - 1) - (1 << 63)
 
 
-# ---------------------------------------------------------------- alignment of a segment
+# ---------------------------------------------------------------- alignment of segments
 
 
-def alignment(a_ids: list[int], b_ids: list[int], a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, str, list[int]]:
-    """(groups, their text, links as A id << 32 | B id) of tokens that end at these byte offsets."""
-    both = np.intersect1d(a_ends, b_ends)
-    a_cut, b_cut = np.searchsorted(a_ends, both, "right"), np.searchsorted(b_ends, both, "right")
-    groups, a_from, b_from = [], 0, 0
-    for a_to, b_to in zip(a_cut.tolist(), b_cut.tolist()):
-        groups.append(",".join(map(str, a_ids[a_from:a_to])) + "|" + ",".join(map(str, b_ids[b_from:b_to])))
-        a_from, b_from = a_to, b_to
+@dataclass
+class Alignments:
+    """Of segments in a row: the text of the groups, numbers, and all links, A id << 32 | B id, with where each segment's end."""
+
+    groups: list[str]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    links: np.ndarray
+    ends: np.ndarray
+
+
+def alignments(t: Tokenizers, a_ids: list[list[int]], b_ids: list[list[int]]) -> Alignments:
+    """Aligns segments whose A and B tokens have the same bytes, all of them in one go as if they were one text."""
+    n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in (a_ids, b_ids))
+    if not len(n_a):
+        return Alignments([], n_a, n_b, n_a, n_a, n_a)
+    a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
+    a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    segment_ends = a_ends[np.cumsum(n_a) - 1]
+    n_groups = np.diff(np.searchsorted(both, segment_ends, "right"), prepend=0)
+
+    # Tokens by group, A's before B's, and what stands behind each.
+    side = np.concatenate([2 * np.searchsorted(both, a_ends), 2 * np.searchsorted(both, b_ends) + 1])
+    order = np.argsort(side, kind="stable")
+    side, behind = side[order], np.full(len(order), 2)
+    behind[:-1][side[:-1] == side[1:]] = 0
+    behind[:-1][(side[:-1] % 2 == 0) & (side[1:] == side[:-1] + 1)] = 1
+    behind[np.cumsum(n_a + n_b) - 1] = 3
+    text = "".join(chain.from_iterable(zip(map(str, np.concatenate([a, b])[order].tolist()), map(",|;\n".__getitem__, behind.tolist()))))
+
     # A token's links: from the B token that holds its first byte to the one that holds its last.
-    a_starts = np.concatenate([[0], a_ends[:-1]])
-    first, last = np.searchsorted(b_ends, a_starts, "right"), np.searchsorted(b_ends, a_ends, "left")
-    links = [a << 32 | b for a, f, t in zip(a_ids, first.tolist(), last.tolist()) for b in b_ids[f : t + 1]]
-    return len(groups), ";".join(groups), links
+    first, last = np.searchsorted(b_ends, a_ends - t.a_size[a], "right"), np.searchsorted(b_ends, a_ends)
+    each = last - first + 1
+    upto = np.cumsum(each)
+    links = np.repeat(a, each) << 32 | b[np.arange(upto[-1]) + np.repeat(first - upto + each, each)]
+    return Alignments(text.split("\n")[:-1], n_a, n_b, n_groups, links, upto[np.cumsum(n_a) - 1])
+
+
+def tokens_of(groups: str) -> tuple[list[int], list[int]]:
+    """A and B ids of an alignment's text."""
+    a, b = [], []
+    for group in groups.split(";"):
+        of_a, of_b = group.split("|")
+        a += map(int, of_a.split(","))
+        b += map(int, of_b.split(","))
+    return a, b
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -164,27 +218,35 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 ALIGNED = pa.schema(
-    [("h", pa.binary()), ("segment", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))]
+    [("h", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))]
 )
-ALIGNED_SQL = "h binary, segment string, n long, size long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"
+ALIGNED_SQL = "h long, segment string, n long, size long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"
 
 
 def aligned_segments(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """counted (segment, n) with hash and alignment; ok is false where a tokenizer does not give the segment's bytes back."""
+    """counted (segment, n) with hash and alignment; ok is false, and the alignment empty, where a tokenizer does not give the segment's bytes back."""
 
     def run(batches):
         t = tokenizers(a_path, b_path)
-        a_size, b_size = (np.array(list(map(len, entries))) for entries in (t.a_bytes, t.b_bytes))
         for batch in batches:
-            names, counts = batch.column(0).to_pylist(), batch.column(1)
-            rows = []
-            for segment, (a, b) in zip(names, t.encode(names)):
-                raw = segment.encode()
-                ok = b"".join(map(t.a_bytes.__getitem__, a)) == raw == b"".join(map(t.b_bytes.__getitem__, b))
-                n_groups, groups, links = alignment(a, b, np.cumsum(a_size[a]), np.cumsum(b_size[b])) if ok else (0, "", [])
-                rows.append((segment_hash(segment), len(raw) + len(groups) + 8 * len(links), ok, len(a), len(b), n_groups, groups, links))
-            h, size, ok, n_a, n_b, n_groups, groups, links = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((h, names, counts.to_pylist(), size, ok, n_a, n_b, n_groups, groups, links), ALIGNED)], schema=ALIGNED)
+            segments = batch.column(0).to_pylist()
+            a_ids, b_ids = t.encode_a(segments), t.encode_b(segments)
+            ok = np.array([t.whole(s, a, b) for s, a, b in zip(segments, a_ids, b_ids)], bool)
+            good = np.flatnonzero(ok)
+            found = alignments(t, [a_ids[k] for k in good], [b_ids[k] for k in good])
+            n_links, groups = np.zeros(len(ok), np.int64), [""] * len(ok)
+            n_links[good] = np.diff(found.ends, prepend=0)
+            for k, text in zip(good.tolist(), found.groups):
+                groups[k] = text
+            numbers = []
+            for own in (found.n_a, found.n_b, found.n_groups):
+                column = np.zeros(len(ok), np.int64)
+                column[good] = own
+                numbers.append(pa.array(column))
+            size = np.array([len(s) + len(g) for s, g in zip(segments, groups)]) + 8 * n_links
+            links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)), pa.array(found.links))
+            columns = [pa.array(list(map(segment_hash, segments)), pa.int64()), batch.column(0), batch.column(1), pa.array(size), pa.array(ok), *numbers, pa.array(groups, pa.string()), links]
+            yield pa.RecordBatch.from_arrays(columns, schema=ALIGNED)
 
     return counted.mapInArrow(run, ALIGNED_SQL)
 
@@ -258,86 +320,106 @@ def table_of(token: str, held) -> Table:
 
 @dataclass
 class Composed:
-    """What a document's segments come to."""
+    """What a document's segments come to; pairs of segments outside the table with how often they are linked."""
 
     ok: bool
-    sums: np.ndarray
+    sums: np.ndarray  # n_a, n_b, n_groups, n_links
     digest: str
     pairs: np.ndarray  # numbers in the table
-    others: set[int]  # pairs of joined segments
+    others: np.ndarray
+    times: np.ndarray
 
 
-def composed(blocks: Iterator[list[str]], t: Table, joined: dict[bytes, dict]) -> Composed:
-    """Alignments of a document in order; segments outside the table come from ``joined`` by hash."""
-    sums, digest, used, others, begun = np.zeros(4, np.int64), hashlib.sha256(), [], set(), False
+NONE = np.zeros(0, np.int64)
+
+
+def composed(blocks: Iterator[list[str]], table: Table, joined: dict[bytes, tuple[list[int], list[int]]], t: Tokenizers) -> Composed:
+    """Alignments of a document in order. Segments outside the table have their tokens in ``joined``, or are tokenised here."""
+    sums, digest, begun = np.zeros(4, np.int64), hashlib.sha256(), False
+    used, others, times = [], [], []
     for block in blocks:
-        places = list(map(t.place.get, block))
+        places = list(map(table.place.get, block))
         if None in places:
-            texts = []
-            for segment, place in zip(block, places):
-                if place is None:
-                    row = joined[segment_hash(segment)]
-                    if not row["ok"]:
-                        return Composed(False, sums, "", np.zeros(0, np.int64), set())
-                    texts.append(row["groups"])
-                    sums += (row["n_a"], row["n_b"], row["n_groups"], len(row["links"]))
-                    others.update(row["links"])
-                else:
-                    texts.append(t.groups[place])
+            own = Counter(s for s, place in zip(block, places) if place is None)
+            tokens = {s: joined.get(s.encode()) for s in own}
+            missing = [s for s, found in tokens.items() if found is None]
+            if missing:
+                for s, a, b in zip(missing, t.encode_a(missing), t.encode_b(missing)):
+                    if not t.whole(s, a, b):
+                        return Composed(False, sums, "", NONE, NONE, NONE)
+                    tokens[s] = a, b
+            found = alignments(t, [a for a, _ in tokens.values()], [b for _, b in tokens.values()])
+            n = np.array(list(own.values()), np.int64)
+            n_links = np.diff(found.ends, prepend=0)
+            sums += [int((x * n).sum()) for x in (found.n_a, found.n_b, found.n_groups, n_links)]
+            others.append(found.links)
+            times.append(np.repeat(n, n_links))
+            by_segment = dict(zip(own, found.groups))
+            texts = [by_segment[s] if place is None else table.groups[place] for s, place in zip(block, places)]
             places = [p for p in places if p is not None]
         else:
-            texts = map(t.groups.__getitem__, places)
+            texts = map(table.groups.__getitem__, places)
         at = np.array(places, np.int64)
-        if not t.ok[at].all():
-            return Composed(False, sums, "", np.zeros(0, np.int64), set())
-        sums[:3] += t.sums[at].sum(0)
-        sums[3] += t.n_links[at].sum()
+        if not table.ok[at].all():
+            return Composed(False, sums, "", NONE, NONE, NONE)
+        sums[:3] += table.sums[at].sum(0)
+        sums[3] += table.n_links[at].sum()
         used.append(np.unique(at))
         digest.update(((";" if begun else "") + ";".join(texts)).encode())
         begun = True
-    distinct = np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64)
-    return Composed(True, sums, digest.hexdigest(), np.unique(t.links_of(distinct)), others)
+    distinct = np.unique(np.concatenate(used)) if used else NONE
+    pairs, inverse = np.unique(np.concatenate(others), return_inverse=True) if others else (NONE, NONE)
+    return Composed(True, sums, digest.hexdigest(), np.unique(table.links_of(distinct)), pairs, np.bincount(inverse, np.concatenate(times), len(pairs)).astype(np.int64) if others else NONE)
 
 
-COMPOSED = pa.schema([("rid", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("n", pa.int64()), ("kind", pa.int32())])
-COMPOSED_SQL = "rid long, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, n long, kind int"
+COMPOSED = pa.schema([
+    ("rid", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
+    ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("pair", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()),
+])
+COMPOSED_SQL = "rid long, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>, pair long, n long, kind int"
 DOCUMENT, PAIR = 0, 1
 
 
 def _pair_batch(pairs, counts) -> pa.RecordBatch:
     n = len(counts)
-    empty = [pa.nulls(n, f.type) for f in list(COMPOSED)[:7]]
+    empty = [pa.nulls(n, f.type) for f in list(COMPOSED)[:9]]
     return pa.RecordBatch.from_arrays([*empty, pa.array(pairs, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.full(n, PAIR, np.int32))], schema=COMPOSED)
 
 
-def composed_documents(rows: DataFrame, held, token: str, breaks: str) -> DataFrame:
+def composed_documents(rows: DataFrame, held, token: str, a_path: str, b_path: str) -> DataFrame:
     """rows (rid, text, joined) -> a row a document, and rows of kind PAIR with a task's counts of the documents that hold each pair."""
 
     def run(batches):
-        t, cut = table_of(token, held), Segmenter(breaks)
-        counts, others = np.zeros(len(t.pairs), np.int64), Counter()
+        t = tokenizers(a_path, b_path)
+        table, cut = table_of(token, held), Segmenter(t.breaks)
+        counts, others = np.zeros(len(table.pairs), np.int64), Counter()
         for batch in batches:
             out = []
             for text, joined in zip(batch.column(1), batch.column(2)):
-                c = composed(cut.blocks(text.as_py()), t, {r["h"]: r for r in joined.as_py() or ()})
-                out.append((c.ok, *(c.sums.tolist() if c.ok else [0] * 4), c.digest))
+                known = {}
+                for groups in joined.as_py() or ():
+                    a, b = tokens_of(groups)
+                    known[b"".join(map(t.a_bytes.__getitem__, a))] = a, b
+                c = composed(cut.blocks(text.as_py()), table, known, t)
+                out.append((c.ok, *(c.sums.tolist() if c.ok else [0] * 4), c.digest, c.others, c.times))
                 counts[c.pairs] += 1
-                if c.others:
-                    values = np.fromiter(c.others, np.int64, len(c.others))
-                    at = np.minimum(np.searchsorted(t.pairs, values), len(t.pairs) - 1) if len(t.pairs) else np.zeros(len(values), np.int64)
-                    known = t.pairs[at] == values if len(t.pairs) else np.zeros(len(values), bool)
-                    counts[np.setdiff1d(at[known], c.pairs)] += 1
-                    others.update(values[~known].tolist())
+                if len(c.others):
+                    at = np.searchsorted(table.pairs, c.others)
+                    there = np.zeros(len(at), bool)
+                    inside = at < len(table.pairs)
+                    there[inside] = table.pairs[at[inside]] == c.others[inside]
+                    counts[np.setdiff1d(at[there], c.pairs)] += 1
+                    others.update(c.others[~there].tolist())
                     if len(others) > HELD_ENTRIES:
                         yield _pair_batch(list(others), list(others.values()))
                         others = Counter()
-            columns = list(zip(*out)) if out else [[]] * 6
+            columns = list(zip(*out)) if out else [[]] * 8
             n = len(out)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(COMPOSED)[1:7])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, DOCUMENT, np.int32))], schema=COMPOSED
+                [batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(COMPOSED)[1:9])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, DOCUMENT, np.int32))], schema=COMPOSED
             )
         there = np.flatnonzero(counts)
-        yield _pair_batch(t.pairs[there], counts[there])
+        yield _pair_batch(table.pairs[there], counts[there])
         yield _pair_batch(list(others), list(others.values()))
 
     return rows.mapInArrow(run, COMPOSED_SQL)
@@ -360,20 +442,26 @@ def summed_documents(texts: DataFrame, held, sums, token: str, breaks: str) -> D
 
 
 def other_segments(texts: DataFrame, held, token: str, breaks: str) -> DataFrame:
-    """(rid, h, times): each document's distinct segments outside the table, with how often it holds them."""
-    schema = pa.schema([("rid", pa.int64()), ("h", pa.binary()), ("times", pa.int64())])
+    """(rid, h): hashes of each document's distinct segments outside the table."""
+    schema = pa.schema([("rid", pa.int64()), ("h", pa.int64())])
 
     def run(batches):
-        t, cut = table_of(token, held), Segmenter(breaks)
+        table, cut = table_of(token, held), Segmenter(breaks)
         for batch in batches:
+            rids, hashes = [], []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own: Counter = Counter()
+                own: set[int] = set()
                 for block in cut.blocks(text.as_py()):
-                    own.update(s for s in block if s not in t.place)
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(own), pa.int64()), pa.array(map(segment_hash, own), pa.binary()), pa.array(list(own.values()), pa.int64())], schema=schema)
+                    own.update(map(segment_hash, set(block) - table.place.keys()))
+                rids.append(np.full(len(own), rid, np.int64))
+                hashes.append(np.fromiter(own, np.int64, len(own)))
+                if sum(map(len, hashes)) > HELD_ENTRIES:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(hashes))], schema=schema)
+                    rids, hashes = [], []
+            if rids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(hashes))], schema=schema)
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, h binary, times long")
+    return texts.select("rid", "text").mapInArrow(run, "rid long, h long")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FREQUENT_SEGMENTS, frequent_bytes: int = FREQUENT_BYTES) -> DataFrame:
@@ -383,41 +471,31 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FR
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid")), "align-texts")
     texts = rows.where("text IS NOT NULL")
 
-    aligned = save(aligned_segments(counted_segments(texts, breaks), a_path, b_path), "align-segments")
+    aligned = save(aligned_segments(counted_segments(texts, breaks).where("n > 1"), a_path, b_path), "align-segments")
     frequent = F.floor(F.log2("n") * STEPS_AN_OCTAVE) >= frequent_from(aligned, frequent_segments, frequent_bytes)
-    # Ordered, so that the sums of a later query come in the order of this one; at most ``frequent_segments`` rows.
-    first = aligned.where(frequent).select("h", "segment", "ok", "n_a", "n_b", "n_groups", "groups", "links").toArrow().sort_by("h")
-    held, token = spark.sparkContext.broadcast(first.drop(["h"])), uuid.uuid4().hex
-    others = aligned.where(~frequent)
-    joining = not others.isEmpty()
-
-    if joining:
-        found = save(other_segments(texts, held, token, breaks), "align-others")
-        parts = found.select("rid", "h").join(others.select("h", F.struct("h", "ok", "n_a", "n_b", "n_groups", "groups", "links").alias("part")), "h")
-        with_parts = texts.join(parts.groupBy("rid").agg(F.collect_list("part").alias("joined")), "rid", "left").select("rid", "text", "joined")
-    else:
-        with_parts = texts.select("rid", "text", F.lit(None).cast("array<struct<h:binary,ok:boolean,n_a:bigint,n_b:bigint,n_groups:bigint,groups:string,links:array<bigint>>>").alias("joined"))
-    both = save(composed_documents(with_parts, held, token, breaks), "align-documents", ["kind"])
-    documents = both.where(F.col("kind") == DOCUMENT).select("rid", "ok", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    # At most ``frequent_segments`` rows; ordered, so that the sums asked for below come in the same order.
+    first = aligned.where(frequent).select("segment", "ok", "n_a", "n_b", "n_groups", "groups", "links").toArrow().sort_by("segment")
+    held, token = spark.sparkContext.broadcast(first), uuid.uuid4().hex
+
+    found = other_segments(texts, held, token, breaks)
+    parts = found.join(aligned.where(~frequent & F.col("ok")).select("h", "groups"), "h").groupBy("rid").agg(F.collect_list("groups").alias("joined"))
+    both = save(composed_documents(texts.join(parts, "rid", "left").select("rid", "text", "joined"), held, token, a_path, b_path), "align-documents", ["kind"])
+    documents = both.where(F.col("kind") == DOCUMENT).drop("pair", "n", "kind")
 
     pairs = save(both.where(F.col("kind") == PAIR).groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "align-pairs")
     most = pairs.groupBy("a").agg(F.max("n").alias("most"))  # a row an entry of A's vocabulary at most
     ranked = pairs.join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     if pairs.count() <= BROADCAST_PAIRS:
         ranked = F.broadcast(ranked)
-    summed = save(
-        aligned.where("ok").select("h", F.explode("links").alias("pair")).join(ranked, "pair").groupBy("h").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum")),
-        "align-sums",
-    )
-    own = aligned.where(frequent).select("h").join(summed, "h", "left").na.fill(0).toArrow().sort_by("h")
+    summed = aligned.where(frequent).select("segment", F.explode("links").alias("pair")).join(ranked, "pair").groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    own = aligned.where(frequent).select("segment").join(summed, "segment", "left").na.fill(0).toArrow().sort_by("segment")
     sums = spark.sparkContext.broadcast(np.stack([own["n_best"].to_numpy(), own["count_sum"].to_numpy()], 1))
 
-    totals = summed_documents(texts, held, sums, token, breaks)
-    if joining:
-        more = found.join(summed, "h").groupBy("rid").agg(F.sum(F.col("times") * F.col("n_best")).alias("n_best"), F.sum(F.col("times") * F.col("count_sum")).alias("count_sum"))
-        totals = totals.unionByName(more).groupBy("rid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    linked = documents.select("rid", F.inline(F.arrays_zip("pairs", "times"))).join(ranked, F.col("pairs") == F.col("pair"))
+    more = linked.groupBy("rid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    totals = summed_documents(texts, held, sums, token, breaks).unionByName(more).groupBy("rid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.when(F.col("ok"), F.col(c)).otherwise(0).cast("long").alias(c)
     return (
-        rows.select("doc_id", "rid").join(documents.join(totals, "rid"), "rid", "left")
+        rows.select("doc_id", "rid").join(documents.drop("pairs", "times").join(totals, "rid"), "rid", "left")
         .select("doc_id", *map(zero, ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
     )
