@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from quarrylens.model import Dataset, Detection
 from quarrylens.operators import relations, tables, texts
 from quarrylens.operators.images import aspect_column, damage, exact_groups, hamming_pairs, leaks, quality_stats, resolution_stats
 from quarrylens.plans.passes import distinct_counts, quartiles
+from quarrylens.plans.shared import fresh_path
 from quarrylens.sources.sampling import exact_sample
 from quarrylens.sources.scan import detect_format, scan_directory
 from quarrylens.sources.tabular import diagonal_union
@@ -486,14 +485,9 @@ def sample_members_part(spark, sf_dir):
 
 
 def _written(spark: SparkSession, df: DataFrame, kind: str, **options) -> str:
-    """Folder of one file that holds ``df``, below the shared checkpoint folder; a local path, since the scan lists files on the driver."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = "file:///tmp/checkpoints/quarrylens"
-    folder = f"{urlparse(shared).path.rstrip('/')}/quarrylens/{spark.sparkContext.applicationId}/source-{uuid.uuid4().hex}"
-    df.repartition(1).write.format(kind).options(**options).save(f"file://{folder}")
+    """Folder of one file that holds ``df``, in the shared folder."""
+    folder = fresh_path(spark, "source")
+    df.coalesce(1).write.format(kind).options(**options).save(folder)
     return folder
 
 
@@ -518,6 +512,41 @@ def load_csv_supplier(spark, sf_dir):
     return data.withColumn("s_suppkey", F.col("s_suppkey").cast("long"))
 
 
+_LATE = """SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_orderkey < k THEN l_shipdate::DATE::TIMESTAMP ELSE l_shipdate::DATE::TIMESTAMP + INTERVAL (l_linenumber) SECOND END AS late_time,
+  CASE WHEN l_orderkey < k THEN 'true' WHEN l_linenumber = 1 THEN 'unknown' ELSE 'false' END AS late_flag,
+  (CASE WHEN l_orderkey < k THEN l_quantity ELSE l_quantity + 0.25 END)::DOUBLE AS late_real,
+  CASE WHEN l_orderkey < k THEN l_linenumber ELSE l_orderkey * 10000000000 END AS late_long,
+  CASE WHEN l_orderkey < k THEN strftime(l_shipdate, '%Y-%m-%d') ELSE 'about ' || strftime(l_shipdate, '%Y') END AS late_text
+FROM lineitem, (SELECT max(l_orderkey) - 10 AS k FROM lineitem)"""
+
+
+@query(_LATE)
+def load_csv_late_cells(spark, sf_dir):
+    """Columns whose last cells are no whole numbers, dates or booleans any more; values and types must hold them all."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    last = lineitem.agg((F.max("l_orderkey") - 10).alias("k"))
+    early, day = F.col("l_orderkey") < F.col("k"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    rows = lineitem.join(F.broadcast(last)).orderBy("l_orderkey", "l_linenumber").select(
+        "l_orderkey", "l_linenumber", F.when(early, day).otherwise(F.concat(day, F.lit(" 00:00:0"), F.col("l_linenumber").cast("string"))).alias("late_time"),
+        F.when(early, "true").when(F.col("l_linenumber") == 1, "unknown").otherwise("false").alias("late_flag"),
+        F.when(early, F.col("l_quantity").cast("int").cast("string")).otherwise((F.col("l_quantity") + 0.25).cast("string")).alias("late_real"),
+        F.when(early, F.col("l_linenumber").cast("long")).otherwise(F.col("l_orderkey") * 10_000_000_000).alias("late_long"),
+        F.when(early, day).otherwise(F.concat(F.lit("about "), F.date_format("l_shipdate", "yyyy"))).alias("late_text"),
+    )
+    data = _loaded(spark, _written(spark, rows, "csv", header="true", escape='"'))[1].data
+    return data.withColumn("l_orderkey", F.col("l_orderkey").cast("long")).withColumn("l_linenumber", F.col("l_linenumber").cast(lineitem.schema["l_linenumber"].dataType))
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def load_csv_line_breaks(spark, sf_dir):
+    """Texts with line breaks and quotes, written as they are and read again in byte ranges."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    kept = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    data = _loaded(spark, _written(spark, docs, "csv", **kept))[1].data
+    return data.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 @query(_NOTED)
 def load_json_supplier(spark, sf_dir):
     data = _loaded(spark, _written(spark, _noted(spark, sf_dir), "json"))[1].data

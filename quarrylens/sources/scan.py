@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections import defaultdict
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,7 @@ def extension_of(name: str) -> str:
 
 def scan_directory(root: str) -> ScanResult:
     """Files below a folder, or one file. Hidden files are listed apart; links are listed and counted, never followed."""
-    top = Path(root).expanduser()
+    top = Path(unquote(urlparse(root).path) if root.startswith("file:") else root).expanduser()
     if not top.exists():
         raise PathNotFoundError(f"no such path: {root}")
     top = top.resolve()

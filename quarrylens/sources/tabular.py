@@ -5,18 +5,18 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from quarrylens.functions.exprs import ref, text_of
 from quarrylens.functions.types import field_type, is_category
 from quarrylens.model import NUMBERS, AnalysisMode, Dataset, DatasetField, FieldType, LoaderError, Modality, ScanResult, UnsupportedFormatError
 from quarrylens.plans.passes import distinct_counts, value_counts
+from quarrylens.sources.delimited import text_cells, typed_csv
 from quarrylens.sources.sampling import exact_sample
 from quarrylens.sources.scan import IMAGE_EXTENSIONS
 
-INFER_ROWS = 10_000
+FEW_ROWS = 10_000  # of which examples are taken from all rows
 SPLIT_TOKENS = ("validation", "train", "test", "val", "dev")  # fixed values, longer before shorter
 CLASS_COLUMNS = ("class", "label", "category", "target")  # fixed values
 
@@ -36,7 +36,7 @@ def describe(df: DataFrame, scan: ScanResult, source_format: str, paths: list[st
     fields, classes = [], None
     capabilities = {"tabular"}
     counts = {r["column_name"]: r for r in distinct_counts(df, df.columns).collect()} if df.columns else {}
-    samples = df.agg(*[F.slice(F.array_sort(F.collect_set(text_of(ref(c), types[c]))), 1, 5).alias(f"s{i}") for i, c in enumerate(df.columns)]).first() if df.columns and total <= INFER_ROWS else _few_values(df, types)
+    samples = df.agg(*[F.slice(F.array_sort(F.collect_set(text_of(ref(c), types[c]))), 1, 5).alias(f"s{i}") for i, c in enumerate(df.columns)]).first() if df.columns and total <= FEW_ROWS else _few_values(df, types)
     for i, c in enumerate(df.columns):
         kind = field_type(types[c])
         if kind in NUMBERS:
@@ -66,37 +66,6 @@ def largest(files):
     return max(files, key=lambda f: (f.size_bytes, f.path))
 
 
-def csv_reader(spark: SparkSession, path: str, sep: str) -> DataFrameReader:
-    """A reader with a header line and doubled quotes. A line with an odd number of quotes means quoted line breaks; only such a file is read unsplit."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", broken)
-
-
-def typed_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Types from the first records; integers widen if a later cell is a larger or broken number, any other cell that does not fit is null."""
-    reader = csv_reader(spark, path, sep)
-    rows = reader.csv(path)  # every cell as text
-    if not rows.columns:
-        return rows
-    one_line = [F.regexp_replace(ref(c), r"[\r\n]", " ").alias(f"c{i}") for i, c in enumerate(rows.columns)]
-    head = rows.limit(INFER_ROWS).select(F.to_csv(F.struct(*one_line), {"escape": '"', "nullValue": ""}).alias("line"))
-    inferred = spark.read.option("inferSchema", True).option("escape", '"').csv(head.rdd.map(lambda r: r[0])).schema
-    if len(inferred) != len(rows.columns):  # no record at all
-        return rows
-    fields = [StructField(c, f.dataType) for c, f in zip(rows.columns, inferred)]
-    whole = [f for f in fields if isinstance(f.dataType, IntegerType | LongType)]
-    if whole:
-        late = lambda f, kind: F.count_if(ref(f.name).try_cast(f.dataType).isNull() & ref(f.name).try_cast(kind).isNotNull())
-        wider = rows.agg(*(late(f, kind) for f in whole for kind in ("bigint", "double"))).first()
-        for k, f in enumerate(whole):
-            if wider[2 * k + 1] > wider[2 * k]:
-                f.dataType = DoubleType()
-            elif wider[2 * k]:
-                f.dataType = LongType()
-    return reader.schema(StructType(fields)).csv(path)
-
-
 def load_csv(spark: SparkSession, scan: ScanResult, sample_size: int | None = None) -> Dataset:
     files = scan.with_extensions(".csv", ".tsv")
     if not files:
@@ -108,7 +77,7 @@ def load_csv(spark: SparkSession, scan: ScanResult, sample_size: int | None = No
         stem = os.path.splitext(f.name)[0]
         name = split_of(stem)
         if name:
-            rows = df if f is main else csv_reader(spark, f.path, "\t" if f.extension == ".tsv" else ",").csv(f.path)
+            rows = df if f is main else text_cells(spark, f.path, "\t" if f.extension == ".tsv" else ",")
             splits[name] = splits.get(name, 0) + rows.count()
         elif len(files) > 1:  # other files stand beside the splits without a count
             splits.setdefault(stem.lower(), 0)

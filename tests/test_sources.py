@@ -76,8 +76,8 @@ def test_csv_with_a_late_bad_cell(spark, tmp_path):
     put(tmp_path, "train.csv", "\n".join(lines) + "\n")
     report = analyze(spark, str(tmp_path))
     kinds = {f.name: f.dtype for f in report.dataset.fields}
-    assert kinds == {"n": FieldType.INTEGER, "day": FieldType.DATETIME, "flag": FieldType.BOOLEAN, "name": FieldType.CATEGORICAL}
-    assert report.dataset.splits == {"train": 11_001} and report.dataset.fields[0].nullable and report.dataset.classes == {"a": 5501, "b": 5500}
+    assert kinds == {"n": FieldType.TEXT, "day": FieldType.DATETIME, "flag": FieldType.BOOLEAN, "name": FieldType.CATEGORICAL}
+    assert report.dataset.splits == {"train": 11_001} and not report.dataset.fields[0].nullable and report.dataset.data.where("n = 'oops'").count() == 1 and report.dataset.classes == {"a": 5501, "b": 5500}
 
 
 def test_csv_counts_every_split_file(spark, tmp_path):
@@ -104,8 +104,8 @@ def test_csv_integers_widen_for_late_cells(spark, tmp_path):
     lines = ["a,b,c"] + [f"{i},{i},{i}" for i in range(10_500)] + ["1.5,5000000000,x"] * 500
     put(tmp_path, "a.csv", "\n".join(lines) + "\n")
     data = analyze(spark, str(tmp_path)).dataset
-    assert [f.dtype for f in data.fields] == [FieldType.FLOAT, FieldType.INTEGER, FieldType.INTEGER] and [f.nullable for f in data.fields] == [False, False, True]
-    assert data.data.where("a = 1.5 AND b = 5000000000 AND c IS NULL").count() == 500
+    assert [f.dtype for f in data.fields] == [FieldType.FLOAT, FieldType.INTEGER, FieldType.TEXT] and [f.nullable for f in data.fields] == [False, False, False]
+    assert data.data.where("a = 1.5 AND b = 5000000000 AND c = 'x'").count() == 500
 
 
 @pytest.mark.parametrize(("name", "text"), [("a.json", '[{"z": 1, "a": "x"}, {"z": 2, "a": "y"}]'), ("a.json", ' {"z": 1, "a": "x"}\n{"z": 2, "a": "y"}\n'), ("a.jsonl", '{"z": 1, "a": "x"}\nnot json\n{"z": 2, "a": "y"}\n')])
