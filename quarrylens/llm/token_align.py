@@ -452,7 +452,7 @@ def other_segments(texts: DataFrame, held, token: str, breaks: str) -> DataFrame
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own: set[int] = set()
                 for block in cut.blocks(text.as_py()):
-                    own.update(map(segment_hash, set(block) - table.place.keys()))
+                    own.update(segment_hash(s) for s in set(block) if s not in table.place)
                 rids.append(np.full(len(own), rid, np.int64))
                 hashes.append(np.fromiter(own, np.int64, len(own)))
                 if sum(map(len, hashes)) > HELD_ENTRIES:
