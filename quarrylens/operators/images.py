@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.model import Chart, Dataset
 from quarrylens.operators.base import Analyzer, error, info, register, rows_of, warning
+from quarrylens.plans.shared import save
 from quarrylens.sources.sampling import SEED
 
 #: Aspect names in the order they are tried, reference channel means, bucket limits.
@@ -26,7 +29,7 @@ DARK, BRIGHT, BLURRY = 0.15, 0.85, 50
 NEAR_BITS = 8
 LEAK_SPLITS = ("train", "training", "test", "testing", "val", "validation")
 THUMBNAIL = 256
-FEW_HASHES = 5000  # hashes that are compared pairwise; more go through bands
+MOST_PROBES = 5_000  # values that a hash probes in one chunk
 
 
 # ---------------------------------------------------------------- bytes and pixels
@@ -173,21 +176,46 @@ def aspect_column(width, height):
     return out
 
 
+def chunks_for(max_bits: int, n: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of chunks of a 64-bit hash such that two hashes within max_bits differ by at most its radius in one of them.
+
+    With max_bits = q * chunks + a, one of the first a + 1 chunks differs by at most q bits
+    or one of the others by at most q - 1.  Few chunks need many probes, many chunks have
+    many hashes in common; the number with the least of both together for n hashes is taken.
+    """
+    best = None
+    for m in range(1, min(max_bits + 1, 64) + 1):
+        q, a = divmod(max_bits, m)
+        edges = [64 * k // m for k in range(m + 1)]
+        found = [(edges[k], edges[k + 1] - edges[k], q if k <= a else q - 1) for k in range(m)]
+        found = [c for c in found if c[2] >= 0]
+        probes = [sum(comb(bits, r) for r in range(radius + 1)) for _, bits, radius in found]
+        cost = sum(probes) + sum(n * p / 2.0**bits for p, (_, bits, _) in zip(probes, found))
+        if max(probes) <= MOST_PROBES and (best is None or cost < best[0]):
+            best = (cost, found)
+    return best[1]
+
+
 def hamming_pairs(hashes: DataFrame, max_bits: int = NEAR_BITS) -> DataFrame:
     """hashes (id, hash) -> (id_a, id_b, distance) with 1 <= distance <= max_bits, id_a the smaller.
 
-    Few hashes are compared pairwise. More are joined on bands: within max_bits of each
-    other, two hashes agree on at least one of max_bits + 1 bands of their 64 bits.
+    Equal hashes are one entry of an index by the values of their chunks; every entry probes
+    the values within each chunk's radius of its own.  No pair is missed, and a pair of
+    hashes meets only under values that nearly agree in some chunk.
     """
-    distance = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash"))).alias("distance")
-    if hashes.limit(FEW_HASHES + 1).count() <= FEW_HASHES:
-        joined = hashes.alias("a").join(F.broadcast(hashes).alias("b"), F.col("a.id") < F.col("b.id"))
-    else:
-        edges = [64 * k // (max_bits + 1) for k in range(max_bits + 2)]
-        bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("bits")) for k in range(max_bits + 1)])
-        dealt = hashes.select("id", "hash", F.explode(bands).alias("k"))
-        joined = dealt.alias("a").join(dealt.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
-    return joined.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), distance).where(F.col("distance").between(1, max_bits)).distinct()
+    entries = save(hashes.groupBy("hash").agg(F.count("*").alias("n")).select("hash"), "hashes")
+    index = chunks_for(max_bits, entries.count())
+    value = lambda first, bits: F.shiftrightunsigned("hash", first).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
+    kept = entries.select("hash", F.inline(F.array(*[F.struct(F.lit(k).alias("chunk"), value(first, bits).alias("value")) for k, (first, bits, _) in enumerate(index)])))
+    masks = [(k, sum(1 << b for b in flips)) for k, (_, bits, radius) in enumerate(index) for r in range(radius + 1) for flips in combinations(range(bits), r)]
+    table = hashes.sparkSession.createDataFrame([(k, mask - (1 << 64) if mask >> 63 else mask) for k, mask in masks], "chunk int, mask long")  # some hundred rows, MOST_PROBES a chunk at most
+    probed = kept.join(F.broadcast(table), "chunk").select(F.col("hash").alias("probe"), "chunk", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    met = probed.join(kept, ["chunk", "value"]).where("probe < hash")
+    distance = F.bit_count(F.col("probe").bitwiseXOR(F.col("hash")))
+    near = met.where(distance <= max_bits).select("probe", "hash", distance.alias("distance")).distinct()
+    a, b = (hashes.select(F.col("hash").alias(name), F.col("id").alias(f"id_{name}")) for name in ("probe", "hash"))
+    pairs = near.join(a, "probe").join(b, "hash")
+    return pairs.select(F.least("id_probe", "id_hash").alias("id_a"), F.greatest("id_probe", "id_hash").alias("id_b"), "distance")
 
 
 def leaks(hashes: DataFrame) -> DataFrame:

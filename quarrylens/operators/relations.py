@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from quarrylens.functions.exprs import no_nan, pct, pearson, ref
 from quarrylens.functions.types import columns_of
 from quarrylens.model import NUMBERS, Chart, Dataset, FieldType
 from quarrylens.operators.base import Analyzer, graded, info, register, rows_of, warning
-from quarrylens.plans.passes import SPLITS, bucket_of, quartiles
+from quarrylens.plans.passes import in_order, quartiles
+from quarrylens.plans.shared import save
 
-MAX_COLUMNS = 50
+TILE = 256  # columns; a tile pair is half a megabyte
+TILES_A_SCAN = 64
 HEATMAP_COLUMNS = 20
+BROADCAST_VALUES = 100_000  # ranks of a text target that may be broadcast
 MIN_ROWS = 10
 HIGH = 0.8
 EXPRESSION_COLUMNS = 12  # more pairs than these give are faster as one Gram matrix
@@ -28,12 +34,13 @@ TARGET_NAMES = ("target", "label", "class", "churn", "y")  # fixed values
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_a, column_b, r for all pairs in column order, over rows without a null in any column; r is null for a constant.
 
-    Few columns: every pair is an aggregate of one scan. More: a Gram matrix.
+    Few columns: every pair is an aggregate of one scan. More: a Gram matrix in tiles.
     """
-    columns = (columns or columns_of(df.schema, *NUMBERS))[:MAX_COLUMNS]
-    rows = df.select(*[ref(c).cast("double").alias(c) for c in columns]).dropna("any")
+    columns = columns or columns_of(df.schema, *NUMBERS)
+    rows = df.select(*[ref(c).cast("double").alias(c) for c in columns])
     if len(columns) > EXPRESSION_COLUMNS:
         return _gram(rows, columns)
+    rows = rows.dropna("any")
     pairs = list(combinations(columns, 2))
     row = rows.agg(*[pearson(ref(a), ref(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.round(no_nan(F.col(f"r{i}"), row.schema[f"r{i}"].dataType), 4).alias("r")) for i, (a, b) in enumerate(pairs)]
@@ -41,17 +48,69 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _gram(rows: DataFrame, columns: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    """Products of centred columns, a tile of columns against another, added up by cell.
 
-    plain = rows.toDF(*[f"c{i}" for i in range(len(columns))])
-    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray() if vectors.take(2)[1:] else None
-    out = []
-    for i, j in combinations(range(len(columns)), 2):
-        r = float("nan") if matrix is None else float(matrix[i, j])
-        out.append((columns[i], columns[j], None if r != r else round(r, 4)))
-    return rows.sparkSession.createDataFrame(out, "column_a string, column_b string, r double")
+    One scan gives the means; then every task holds the tiles of one share of the tile
+    pairs and sends each cell once.  Wider tables take more scans, not more memory.
+    """
+    plain = rows.toDF(*[f"c{k}" for k in range(len(columns))])
+    sums = plain.mapInArrow(_column_sums, "k int, n long, total double, low double, high double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    centre, constant = np.zeros(len(columns)), [True] * len(columns)  # without rows all are constant
+    for r in sums.collect():  # a row a column
+        centre[r["k"]], constant[r["k"]] = r["total"] / r["n"], r["low"] == r["high"]
+    tiles = [(k, min(k + TILE, len(columns))) for k in range(0, len(columns), TILE)]
+    pairs = [(a, b) for a in tiles for b in tiles if a <= b]
+    cells = None
+    for at in range(0, len(pairs), TILES_A_SCAN):
+        own = plain.mapInArrow(_tile_products(pairs[at : at + TILES_A_SCAN], centre), "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+        cells = own if cells is None else cells.unionByName(own)
+    cells = save(cells, "gram")
+    size = cells.where("a = b").select(F.col("a").alias("k"), F.sqrt("s").alias("norm"))
+    names = rows.sparkSession.createDataFrame([(k, c, constant[k]) for k, c in enumerate(columns)], "k int, name string, constant boolean").join(F.broadcast(size), "k", "left")  # a row a column
+    one, other = (F.broadcast(names.select(F.col("k").alias(k), F.col("name").alias(f"column_{k}"), F.col("norm").alias(f"norm_{k}"), F.col("constant").alias(f"constant_{k}"))) for k in ("a", "b"))
+    last = len(columns) - 1
+    every = rows.sparkSession.range(last).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence((F.col("id") + 1).cast("int"), F.lit(last))).alias("b"))
+    every = every.join(cells, ["a", "b"], "left").join(one, "a").join(other, "b")
+    r = F.when(~F.col("constant_a") & ~F.col("constant_b"), F.try_divide("s", F.col("norm_a") * F.col("norm_b")))
+    return every.select("column_a", "column_b", (F.round(no_nan(r, T.DoubleType()), 4) + F.lit(0.0)).alias("r"))  # no negative zero
+
+
+def _complete(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows without a null."""
+    there = None
+    for column in batch.columns:
+        if column.null_count:
+            own = column.is_valid()
+            there = own if there is None else pc.and_(there, own)
+    return batch if there is None else batch.filter(there)
+
+
+def _column_sums(batches):
+    n, total, low, high = 0, 0.0, np.inf, -np.inf
+    for batch in map(_complete, batches):
+        if batch.num_rows:
+            x = np.stack([c.to_numpy() for c in batch.columns])
+            n, total, low, high = n + batch.num_rows, total + x.sum(1), np.minimum(low, x.min(1)), np.maximum(high, x.max(1))
+    if n:
+        width = len(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, n)), pa.array(total), pa.array(low), pa.array(high)], ["k", "n", "total", "low", "high"])
+
+
+def _tile_products(pairs: list[tuple[tuple[int, int], tuple[int, int]]], centre: np.ndarray):
+    wanted = sorted({tile for pair in pairs for tile in pair})
+
+    def run(batches):
+        total = [np.zeros((a[1] - a[0], b[1] - b[0])) for a, b in pairs]
+        for batch in map(_complete, batches):
+            x = {t: np.stack([batch.column(k).to_numpy() for k in range(*t)]) - centre[t[0] : t[1], None] for t in wanted}
+            for own, (a, b) in zip(total, pairs):
+                own += x[a] @ x[b].T
+        for own, (a, b) in zip(total, pairs):
+            i, j = np.meshgrid(np.arange(*a, dtype=np.int32), np.arange(*b, dtype=np.int32), indexing="ij")
+            kept = i <= j
+            yield pa.RecordBatch.from_arrays([pa.array(i[kept]), pa.array(j[kept]), pa.array(own[kept])], ["a", "b", "s"])
+
+    return run
 
 
 def high_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -62,7 +121,7 @@ class CorrelationAnalyzer(Analyzer):
     id, name, requires = "correlation", "Correlation", frozenset({"tabular", "numeric"})
 
     def run(self, dataset: Dataset):
-        columns = [c for c in dataset.names(*NUMBERS) if c in dataset.data.columns][:MAX_COLUMNS]
+        columns = [c for c in dataset.names(*NUMBERS) if c in dataset.data.columns]
         if len(columns) < 2:
             return self.skipped("fewer than two numeric columns")
         complete = dataset.data.select(*[ref(c) for c in columns]).dropna("any").limit(MIN_ROWS).count()
@@ -135,11 +194,12 @@ def feature_importance(df: DataFrame, target: str, features: list[str] | None =
 
 
 def encode(df: DataFrame, target: str, kind: str) -> tuple[DataFrame, Column]:
-    """The table and a numeric column for its target. A text target is joined with the ranks of its values."""
+    """The table and a numeric column for its target. A text target is joined with the ranks of its values, which come from sorted ranges."""
     if kind in ("string",) or kind.startswith(("char", "varchar")):
         names = df.select(ref(target).alias("_value")).where("_value IS NOT NULL").distinct()
-        ranks = names.withColumn("_rank", F.dense_rank().over(Window.orderBy("_value")) - 1)
-        return df.join(ranks, ref(target) == F.col("_value"), "left"), F.col("_rank").cast("double")
+        ranks = in_order(names, "_value").select("_value", F.col("place").alias("_rank"))
+        few = ranks.count() <= BROADCAST_VALUES
+        return df.join(F.broadcast(ranks) if few else ranks, ref(target) == F.col("_value"), "left"), F.col("_rank").cast("double")
     return df, ref(target).cast("int" if kind == "boolean" else "double").cast("double")
 
 
@@ -186,19 +246,34 @@ class FeatureImportance(Analyzer):
 def intervals(df: DataFrame, column: str) -> DataFrame:
     """interval_us, n: differences between neighbouring times in order, repeated times give zeros.
 
-    Times are first counted; neighbours are then found within buckets between approximate
-    quantiles, and across them from each bucket's first and last time, so no task sorts the whole column.
+    Distinct times are sorted by ranges; a task goes through its range once, keeps the last
+    time and counts differences, and its first and last time join it with its neighbours.
     """
-    micros = _micros(df, column)
-    counted = df.select(micros.alias("t")).where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n"))
-    points = counted.agg(F.percentile_approx("t", [k / SPLITS for k in range(1, SPLITS)], 10_000)).first()[0] or []
-    bucketed = counted.withColumn("bucket", bucket_of(F.col("t"), sorted({int(p) for p in points})))
-    before = F.lag("t").over(Window.partitionBy("bucket").orderBy("t"))
-    inside = bucketed.select((F.col("t") - before).alias("interval_us"), F.lit(1).cast("long").alias("n"))
-    ends = bucketed.groupBy("bucket").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    across = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("bucket"))).alias("interval_us"), F.lit(1).cast("long").alias("n"))
-    zeros = counted.where("n > 1").select(F.lit(0).cast("long").alias("interval_us"), (F.col("n") - 1).alias("n"))
-    return inside.unionByName(across).unionByName(zeros).where("interval_us IS NOT NULL").groupBy("interval_us").agg(F.sum("n").alias("n"))
+    counted = df.select(_micros(df, column).alias("t")).where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = save(counted.repartitionByRange(width, "t").sortWithinPartitions("t").mapInArrow(_steps, "interval_us long, n long, first long, last long"), "intervals")
+    ends = sorted((r["first"], r["last"]) for r in found.where("first IS NOT NULL").select("first", "last").collect())  # a row a range
+    across = df.sparkSession.createDataFrame([(b[0] - a[1], 1) for a, b in zip(ends, ends[1:])], "interval_us long, n long")
+    return found.where("first IS NULL").select("interval_us", "n").unionByName(across).groupBy("interval_us").agg(F.sum("n").alias("n"))
+
+
+def _steps(batches):
+    """Differences within a sorted range with their counts, then one row with its ends."""
+    none = lambda n: pa.nulls(n, pa.int64())
+    first = last = None
+    for batch in batches:
+        t, n = (batch.column(k).to_numpy() for k in (0, 1))
+        if not len(t):
+            continue
+        steps = np.diff(t) if last is None else np.diff(t, prepend=last)
+        first, last = t[0] if first is None else first, t[-1]
+        values, counts = np.unique(steps, return_counts=True)
+        repeated = int((n - 1).sum())
+        if repeated:
+            values, counts = np.append(values, 0), np.append(counts, repeated)
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts), none(len(values)), none(len(values))], ["interval_us", "n", "first", "last"])
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([none(1), none(1), pa.array([first]), pa.array([last])], ["interval_us", "n", "first", "last"])
 
 
 def _micros(df: DataFrame, column: str) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from math import isfinite, isinf
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrylens.functions.exprs import comparable, no_nan, pct, ref
 from quarrylens.functions.types import columns_of
 from quarrylens.model import NUMBERS, Chart, Dataset, FieldType
 from quarrylens.operators.base import Analyzer, error, graded, info, register, rows_of, warning
-from quarrylens.plans.passes import distinct_counts, per_column, quartiles, value_counts
+from quarrylens.plans.heavy import most_frequent
+from quarrylens.plans.passes import distinct_counts, per_column, quartiles
 
 TOP_VALUES = 10
 MAX_BINS = 20
@@ -176,36 +178,49 @@ def boolean_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFrame:
     """column_name, rank, value, n, pct of all rows: each column's k most frequent non-null values, ties to smaller values."""
-    counted = value_counts(df, columns)
     total = df.agg(F.count("*").alias("total_rows"))
-    rank = F.row_number().over(Window.partitionBy("position").orderBy(F.desc("n"), "value"))
-    best = counted.where("value IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(F.broadcast(total)).select("column_name", "rank", "value", "n", pct(F.col("n"), F.col("total_rows")).alias("pct"))
+    return most_frequent(df, columns, k).join(F.broadcast(total)).select("column_name", "rank", "value", "n", pct(F.col("n"), F.col("total_rows")).alias("pct"))
 
 
-def histogram(df: DataFrame, column: str, max_bins: int = MAX_BINS) -> DataFrame:
-    """bin, n, range_start, range_end: equal widths over [min, max], the last bin closed, empty bins kept; NaN is left out.
+FEW_VALUES = 100  # an estimate above this is far from max_bins; up to it values are counted exactly
+
+
+def histograms(df: DataFrame, columns: list[str], max_bins: int = MAX_BINS) -> DataFrame:
+    """column_name, bin, n, range_start, range_end of every column: equal widths over [min, max], the last bin closed, empty bins kept; NaN is left out.
 
-    As many bins as distinct values, ``max_bins`` at most. Two scans: bounds, then counts.
+    As many bins as distinct values, ``max_bins`` at most; a column without values or with
+    infinite ones has no bins.  Three scans whatever the columns: bounds and estimates of
+    distinct values, exact numbers where these are few, and one count by (column, bin).
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    x = no_nan(ref(column).cast("double"), types[column])
-    values = df.select(x.alias("v")).where("v IS NOT NULL")
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    schema = "bin long, n long, range_start double, range_end double"
-    if low is None:
-        return df.sparkSession.createDataFrame([], schema)
-    distinct = values.distinct().limit(max_bins)
-    bins = distinct.count()
-    if low == high:
-        low, high = low - 0.5, high + 0.5
-    width = (high - low) / bins
-    guess = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("long")
-    edge = lambda k: F.lit(low) + k * F.lit(width)
-    settled = F.when(F.col("v") < edge(guess), guess - 1).when((F.col("v") >= edge(guess + 1)) & (guess < bins - 1), guess + 1).otherwise(guess)
-    counted = values.groupBy(settled.alias("bin")).agg(F.count("*").alias("n"))
-    every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return every.join(F.broadcast(counted), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), edge(F.col("bin")).alias("range_start"), F.when(F.col("bin") == bins - 1, F.lit(high)).otherwise(edge(F.col("bin") + 1)).alias("range_end"))
+    xs = [no_nan(ref(c).cast("double"), types[c]) for c in columns]
+    bounds = df.agg(*[a for k, x in enumerate(xs) for a in (F.min(x).alias(f"low{k}"), F.max(x).alias(f"high{k}"), F.approx_count_distinct(x).alias(f"n{k}"))]).first() if columns else ()
+    there = [k for k in range(len(columns)) if bounds[3 * k] is not None and isfinite(bounds[3 * k]) and isfinite(bounds[3 * k + 1])]
+    few = [k for k in there if bounds[3 * k + 2] <= FEW_VALUES]
+    exact = df.agg(*[F.size(F.collect_set(xs[k])) for k in few]).first() if few else ()
+    bins = {k: max_bins for k in there} | {k: min(max(n, 1), max_bins) for k, n in zip(few, exact)}
+
+    edges, places = [], []
+    for k in there:
+        low, high = bounds[3 * k], bounds[3 * k + 1]
+        if low == high:
+            low, high = low - 0.5, high + 0.5
+        width = high / bins[k] - low / bins[k] if isinf(high - low) else (high - low) / bins[k]
+        edge = lambda b, low=low, width=width: F.lit(low) + b * F.lit(width)
+        guess = F.least(F.floor((xs[k] - F.lit(low)) / F.lit(width)), F.lit(bins[k] - 1)).cast("long")
+        settled = F.when(xs[k] < edge(guess), guess - 1).when((xs[k] >= edge(guess + 1)) & (guess < bins[k] - 1), guess + 1).otherwise(guess)
+        places.append(F.struct(F.lit(k).alias("position"), F.when(xs[k].isNotNull(), settled).alias("bin")))
+        edges += [(k, columns[k], b, low + b * width, high if b == bins[k] - 1 else low + (b + 1) * width) for b in range(bins[k])]
+    every = df.sparkSession.createDataFrame(edges, "position int, column_name string, bin long, range_start double, range_end double")
+    if not there:
+        return every.select("column_name", "bin", F.lit(0).cast("long").alias("n"), "range_start", "range_end")
+    counted = df.select(F.inline(F.array(*places))).where("bin IS NOT NULL").groupBy("position", "bin").agg(F.count("*").alias("n"))
+    return every.join(F.broadcast(counted), ["position", "bin"], "left").select("column_name", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "range_start", "range_end")
+
+
+def histogram(df: DataFrame, column: str, max_bins: int = MAX_BINS) -> DataFrame:
+    """bin, n, range_start, range_end of one column."""
+    return histograms(df, [column], max_bins).select("bin", "n", "range_start", "range_end")
 
 
 def high_cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -236,15 +251,15 @@ class ColumnStats(Analyzer):
                 columns[r.pop("column_name")] |= {k: v for k, v in r.items() if k not in ("total_rows", "missing_count")}
         for r in rows_of(top_values(df, texts)) if texts else ():
             columns[r["column_name"]].setdefault("top_values", []).append({"value": r["value"], "count": r["n"], "pct": r["pct"]})
-        found, charts = [], []
+        found = []
         for c in texts:
             stats = columns[c]
             if stats.get("unique", 0) > 50 and stats["unique"] / max(stats["total"], 1) > 0.9:
                 found.append(info("high_cardinality", f"Many different values in {c}", f"{stats['unique']} of {stats['total']} values differ", column=c))
-        for c in numbers:
-            low, high = columns[c].get("min_value"), columns[c].get("max_value")
-            if low is not None and abs(low) != float("inf") and abs(high) != float("inf"):
-                charts.append(Chart("histogram", c, [{"bin": f"{r['range_start']:.2f}", "count": r["n"], "range_start": r["range_start"], "range_end": r["range_end"]} for r in rows_of(histogram(df, c).orderBy("bin"))]))
+        bars: dict[str, list[dict]] = {}
+        for r in rows_of(histograms(df, numbers).orderBy("column_name", "bin")) if numbers else ():
+            bars.setdefault(r["column_name"], []).append({"bin": f"{r['range_start']:.2f}", "count": r["n"], "range_start": r["range_start"], "range_end": r["range_end"]})
+        charts = [Chart("histogram", c, bars[c]) for c in numbers if c in bars]
         kinds = {"num_columns": len(present), "numeric_columns": len(numbers), "categorical_columns": sum(f.dtype == FieldType.CATEGORICAL for f in present), "text_columns": sum(f.dtype == FieldType.TEXT for f in present)}
         return self.result(kinds | {"columns": columns}, found, charts)
 

@@ -13,15 +13,15 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylens.functions.exprs import comparable, ref, text_of
+from quarrylens.plans.shared import save
 
-SPLITS = 64
 ACCURACY = 10_000  # of approximate quantiles: ranks are off by 1 in as many
 MARGIN = 2 / ACCURACY
 BRACKET_ROWS = 1_000_000
-WIDE = 8  # columns whose distinct values one aggregate counts at once
 
 
 def unpivot(row: DataFrame, columns: list[str], parts: dict[str, list[str]]) -> DataFrame:
@@ -52,20 +52,46 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(position, column_name, n_unique, missing_count, total_rows); null counts as one value.
 
-    Few columns: one aggregate (it expands rows once a column). More: two-level grouping of (column, value).
+    One scan and one grouping for all columns.  Whole numbers, dates and times are grouped by
+    64 neighbours, whose presence is a bit each, so that dense columns shuffle one row where
+    they have up to 64 values, and none shuffles more rows than values.  Other numbers are
+    grouped as they are, and everything else as text.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    if len(columns) <= WIDE:
-        return per_column(
-            df, columns,
-            {
-                "n_unique": lambda c: F.count_distinct(comparable(ref(c), types[c])) + F.coalesce(F.max(ref(c).isNull().cast("int")), F.lit(0)),
-                "missing_count": lambda c: F.count_if(ref(c).isNull()),
-                "total_rows": lambda c: F.count("*"),
-            },
-        )
-    counted = value_counts(df, columns).groupBy("position", "column_name").agg(F.count("*").alias("n_unique"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing_count"), F.sum("n").alias("total_rows"))
-    return counted
+    cells = []
+    for k, c in enumerate(columns):
+        whole, number, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(types[c], T.IntegralType):
+            whole = ref(c).cast("long")
+        elif isinstance(types[c], T.DateType):
+            whole = F.unix_date(ref(c)).cast("long")
+        elif isinstance(types[c], T.TimestampType):
+            whole = F.unix_micros(ref(c))
+        elif isinstance(types[c], (T.FloatType, T.DoubleType)):
+            number = ref(c).cast("double")
+        else:
+            text = F.to_json(comparable(ref(c), types[c])) if isinstance(types[c], T.MapType) else text_of(ref(c), types[c])
+        cells.append(F.struct(F.lit(k).alias("position"), F.shiftright(whole, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), whole.bitwiseAND(F.lit(63)).cast("int")).alias("bit"), number.alias("number"), text.alias("text")))
+    grouped = df.select(F.inline(F.array(*cells))).groupBy("position", "word", "number", "text").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    missing = F.col("word").isNull() & F.col("number").isNull() & F.col("text").isNull()
+    counted = grouped.groupBy("position").agg(F.sum(F.coalesce(F.bit_count("bits"), F.lit(1))).alias("n_unique"), F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("missing_count"), F.sum("n").alias("total_rows"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
+    zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    return names.join(F.broadcast(counted), "position", "left").select("position", "column_name", *map(zero, ("n_unique", "missing_count", "total_rows")))
+
+
+def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with ``place``, from 0 in ascending order of the columns: sorted by ranges, each counted on from those before it. Saved once."""
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = save(rows.repartitionByRange(width, *columns).sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("_id", 33).cast("int")  # the id is the partition, then the place in it
+    before, starts = 0, []
+    for r in sorted(sorted_rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row a partition
+        starts.append((r["part"], before))
+        before += r["n"]
+    start = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
+    return sorted_rows.join(start, part == F.col("_part")).withColumn("place", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_start")
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -73,18 +99,6 @@ def nearest_rank(n: int, q: float) -> int:
     return floor((n - 1) * q + 0.5)
 
 
-def bucket_of(x: Column, splits: list) -> Column:
-    """How many of the sorted split points lie below a value, by binary search in generated code."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(x <= F.lit(splits[mid]), search(low, mid)).otherwise(search(mid + 1, high))
-
-    return search(0, len(splits))
-
-
 @dataclass
 class Bracket:
     """Closed bounds around the value of a rank; None is open. ``outer`` is a counted bracket that holds the rank, if it was narrowed."""

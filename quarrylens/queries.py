@@ -14,7 +14,7 @@ from quarrylens.operators import relations, tables, texts
 from quarrylens.operators.images import aspect_column, damage, exact_groups, hamming_pairs, leaks, quality_stats, resolution_stats
 from quarrylens.plans.passes import distinct_counts, quartiles
 from quarrylens.plans.shared import fresh_path
-from quarrylens.sources.sampling import exact_sample
+from quarrylens.sources.sampling import SEED, exact_sample
 from quarrylens.sources.scan import detect_format, scan_directory
 from quarrylens.sources.tabular import diagonal_union
 
@@ -164,6 +164,16 @@ def top_values_all_part(spark, sf_dir):
     return tables.top_values(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
 
 
+FREQUENT = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
+@query(_top_sql("(SELECT l_orderkey, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN 7 ELSE l_suppkey END AS l_suppkey, l_returnflag FROM lineitem)", FREQUENT))
+def top_values_many_lineitem(spark, sf_dir):
+    """Columns of few, of many and of skewed values, counted from sketches and a recount."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.when(F.col("l_partkey") % 3 == 0, 7).otherwise(F.col("l_suppkey")).alias("l_suppkey"), "l_returnflag")
+    return tables.top_values(rows, FREQUENT)
+
+
 @query(_union([f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_unique, count(*) AS total_rows, count(DISTINCT {c}) > 50 AND count(DISTINCT {c}) / greatest(count(*), 1) > 0.9 AS flagged FROM customer" for c in ["c_name", "c_mktsegment"]]))
 def high_cardinality_customer(spark, sf_dir):
     return tables.high_cardinality(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
@@ -202,6 +212,14 @@ def histogram_lineitem_extendedprice(spark, sf_dir):
     return tables.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(_union([f"SELECT '{c}' AS column_name, * FROM ({_histogram_sql('lineitem', c)})" for c in NUMBERS]))
+def histograms_all_lineitem(spark, sf_dir):
+    return tables.histograms(table(spark, sf_dir, "lineitem"), NUMBERS)
+
+
 @query(_histogram_sql("(SELECT CASE WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE value END AS noisy FROM events)", "noisy"))
 def histogram_nan_events(spark, sf_dir):
     return tables.histogram(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("noisy")), "noisy")
@@ -245,6 +263,16 @@ def correlation_wide(spark, sf_dir):
     return relations.correlation(wide, WIDE)
 
 
+SIXTY = [f"s{i}" for i in range(60)]
+
+
+@query("SELECT column_a, column_b, r + 0.0 AS r FROM (" + _corr_sql("SELECT " + ", ".join(f"(l_orderkey * {i + 3} + l_partkey * {i * i + 1}) % {11 + i} + l_linenumber * {i % 4} AS s{i}" for i in range(60)) + " FROM lineitem", SIXTY) + ")")
+def correlation_sixty_columns(spark, sf_dir):
+    o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    wide = table(spark, sf_dir, "lineitem").select(*[((o * (i + 3) + p * (i * i + 1)) % (11 + i) + n * (i % 4)).alias(f"s{i}") for i in range(60)])
+    return relations.correlation(wide, SIXTY)
+
+
 def _outlier_sql(source: str, columns: list[str]) -> str:
     return f"WITH src AS ({source})\n" + _union([
         f"""SELECT column_name, n_rows, outlier_count, round(100.0 * outlier_count / n_rows, 2)::DOUBLE AS outlier_pct, round(low, 4) AS lower_bound, round(high, 4) AS upper_bound, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr FROM (
@@ -280,6 +308,12 @@ def feature_importance_text_target(spark, sf_dir):
     return relations.feature_importance(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice", "o_custkey"])
 
 
+@query(_importance_sql("SELECT dense_rank() OVER (ORDER BY c_name) - 1 AS target, c_acctbal, c_nationkey, c_custkey FROM customer", "target", ["c_acctbal", "c_nationkey", "c_custkey"]))
+def feature_importance_many_values(spark, sf_dir):
+    """A text target of as many values as rows."""
+    return relations.feature_importance(table(spark, sf_dir, "customer"), "c_name", ["c_acctbal", "c_nationkey", "c_custkey"])
+
+
 def _time_sql(source: str, c: str) -> str:
     return f"""WITH d AS (SELECT epoch_us({c}) - lag(epoch_us({c})) OVER (ORDER BY {c}) AS gap FROM {source} WHERE {c} IS NOT NULL),
 m AS (SELECT gap, count(*) AS n FROM d WHERE gap IS NOT NULL GROUP BY gap ORDER BY n DESC, gap LIMIT 1)
@@ -354,15 +388,15 @@ def near_duplicate_hamming(spark, sf_dir):
     return hamming_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), signs.alias("hash")), 17)
 
 
-@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
-def examples_orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(20)
-
-
-@query("SELECT count(*) AS n, least(count(*), 100) AS sampled FROM part")
+@query("""SELECT sampled, smallest, beyond FROM (SELECT least(count(*), 100) AS sampled, true AS smallest, count(*) - least(count(*), 100) AS beyond FROM part)""")
 def sample_size_part(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    return part.agg(F.count("*").alias("n")).join(F.broadcast(exact_sample(part, 100).agg(F.count("*").alias("sampled"))))
+    """The sample's largest hash lies below the hashes of all rows left out."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    order = F.xxhash64(F.lit(SEED), F.col("p_partkey").cast("string"), "p_name")
+    drawn = exact_sample(part, 100)
+    top = drawn.agg(F.count("*").alias("sampled"), F.max(order).alias("top"))
+    rest = part.join(drawn, ["p_partkey", "p_name"], "left_anti").agg(F.count("*").alias("beyond"), F.min(order).alias("next"))
+    return top.join(F.broadcast(rest)).select("sampled", (F.coalesce(F.col("next"), F.col("top")) >= F.col("top")).alias("smallest"), "beyond")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, NULL::VARCHAR AS r_name, NULL::INTEGER AS r_regionkey FROM nation UNION ALL SELECT NULL, NULL, NULL, r_name, r_regionkey FROM region")
@@ -577,6 +611,15 @@ def loaded_fields_supplier(spark, sf_dir):
     return spark.createDataFrame([(f.name, f.dtype.value, f.nullable) for f in data.fields], "field string, dtype string, nullable boolean")
 
 
+@query("""SELECT count(*) AS shown, true AS in_table FROM (SELECT * FROM orders LIMIT 20)""")
+def examples_orders(spark, sf_dir):
+    """The rows that a report shows of a loaded table are rows of it."""
+    shown = engine.examples(_loaded(spark, f"{sf_dir}/orders.parquet")[1])
+    keys = spark.createDataFrame([(r["o_orderkey"], r["o_custkey"]) for r in shown], "o_orderkey long, o_custkey long")
+    found = keys.join(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"], "left_semi").agg(F.count("*").alias("found"))
+    return keys.agg(F.count("*").alias("shown")).join(F.broadcast(found)).select("shown", (F.col("found") == F.col("shown")).alias("in_table"))
+
+
 @query("SELECT * FROM nation LIMIT 20")
 def examples_nation(spark, sf_dir):
     """The first rows of the loaded table, as a report shows them."""

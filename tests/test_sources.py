@@ -5,6 +5,7 @@ import os
 import struct
 import zipfile
 import zlib
+from math import comb
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from quarrylens import reports
 from quarrylens.__main__ import main
 from quarrylens.engine import analyze
 from quarrylens.model import FieldType, PathNotFoundError, UnsupportedFormatError
-from quarrylens.operators.images import hamming_pairs, header, perceptual_hash
+from quarrylens.operators.images import chunks_for, hamming_pairs, header, perceptual_hash
 from quarrylens.sources.scan import detect_format, scan_directory
 from quarrylens.streaming.progress import updates
 
@@ -166,14 +167,23 @@ def test_mixed_folder_links_names_to_images(spark, tmp_path):
     assert {f.name: f.dtype for f in data.fields}["file"] == FieldType.IMAGE and data.classes == {"x": 2, "y": 2} and data.num_samples == 4
 
 
-def test_hamming_bands_equal_all_pairs(spark, monkeypatch):
-    rng = np.random.default_rng(1)
-    base = rng.integers(-(2**62), 2**62, 40)
-    hashes = [int(b) for b in base] + [int(b) ^ (1 << int(rng.integers(0, 60))) ^ (1 << int(rng.integers(0, 60))) for b in base]
-    df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "id long, hash long")
-    few = {tuple(r) for r in hamming_pairs(df, 8).collect()}
-    monkeypatch.setattr("quarrylens.operators.images.FEW_HASHES", 1)
-    assert few and {tuple(r) for r in hamming_pairs(df, 8).collect()} == few
+@pytest.mark.parametrize("max_bits", [1, 8, 17])
+def test_hamming_index_equals_all_pairs(spark, max_bits):
+    rng = np.random.default_rng(max_bits)
+    base = [int(b) for b in rng.integers(-(2**63), 2**63, 60)]
+    flipped = lambda b, k: b ^ sum(1 << int(x) for x in rng.choice(63, k, replace=False))
+    hashes = base + [flipped(b, k) for b in base for k in (0, 1, max_bits, max_bits + 1)]
+    differing = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    plain = {(i, j, d) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and 1 <= (d := differing(a, b)) <= max_bits}
+    assert {tuple(r) for r in hamming_pairs(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long"), max_bits).collect()} == plain and plain
+
+
+def test_hamming_chunks_shrink_candidates():
+    for n in (10**3, 10**5, 10**7, 10**9):
+        chunks = chunks_for(8, n)
+        assert sum(bits for _, bits, _ in chunks) <= 64 and sum(radius + 1 for *_, radius in chunks) == 9  # the pigeonholes
+    shares = [sum(sum(comb(bits, r) for r in range(radius + 1)) / 2**bits for _, bits, radius in chunks_for(8, n)) for n in (10**3, 10**5, 10**7)]
+    assert shares == sorted(shares, reverse=True) and shares[1] < 0.005
 
 
 def test_headers_and_hashes():
