@@ -12,7 +12,7 @@ tokens of a text are then those of its segments in a row (``safe_breaks``).
 3. Alignments return to the documents.  The most frequent segments, as many as a fixed
    budget of bytes holds, go to every worker; a document's other segments are joined by
    hash, and gathered per document, so no more than a document meets in one place.  An
-   alignment travels as its text; its tokens' bytes tell the segment and the links.
+   alignment travels as its tokens, whose bytes give the segment, groups and links again.
 4. Documents are composed, and each counts its distinct pairs; pairs are added up by tasks
    and then over all documents.  Sums over links come from the segments' sums for the
    frequent ones, and for others from a join of the documents' own pairs.
@@ -27,6 +27,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -37,6 +38,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +48,18 @@ from quarrylens.llm.store import save
 BREAKS = " \n\t"  # characters that segments may start with, if the vocabularies allow
 SPACE = "▁"
 BLOCK_CHARS = 1 << 18
-CHAINED = 512  # segments that A sees as one text
-FREQUENT_SEGMENTS, FREQUENT_BYTES = 200_000, 24 << 20  # what every worker holds: segments, and bytes of them
+#: Fixed value: how a byte-level BPE of this kind cuts a text before it merges.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+FREQUENT_SEGMENTS, FREQUENT_BYTES = 500_000, 64 << 20  # what every worker holds: segments, and bytes of them
+TOGETHER = 20_000  # segments of documents whose new ones are aligned at once
 HELD_ENTRIES = 200_000  # of a task's counts before it sends them on
 BROADCAST_PAIRS = 1_000_000  # pairs, 24 bytes each, that may be broadcast
 STEPS_AN_OCTAVE = 8  # of the histogram that finds the frequent segments
 
 
+PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u024f]*")  # characters that every engine sorts alike
+
+
 # ---------------------------------------------------------------- tokenizers and segments
 
 
@@ -81,33 +88,49 @@ class Tokenizers:
             self.a_bytes[k] = bytes(map(alphabet.__getitem__, entry))
         self.b_bytes = [piece_bytes(self.b.id_to_piece(k)) if not self.b.is_control(k) else b"" for k in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array(list(map(len, entries))) for entries in (self.a_bytes, self.b_bytes))
+        self.ranked = ranks_of(a_path, self.a_bytes)
         self.alone = self.b.piece_to_id(SPACE)
         self.breaks = safe_breaks(self.a_bytes, self.b_bytes)
 
     def encode_a(self, segments: list[str]) -> list[list[int]]:
-        """A's ids. Segments that may stand behind one another are encoded in one text, and told apart by their tokens' bytes."""
-        out: list = [None] * len(segments)
-        chained = [k for k, s in enumerate(segments) if s[0] in self.breaks and not s[-1].isspace()]
-        apart = [k for k, s in enumerate(segments) if s[0] not in self.breaks or s[-1].isspace()]
-        for k, found in zip(apart, self.a.encode_batch_fast([segments[k] for k in apart], add_special_tokens=False)):
-            out[k] = found.ids
-        for at in range(0, len(chained), CHAINED):
-            own = chained[at : at + CHAINED]
-            ids = self.a.encode_batch_fast(["".join(segments[k] for k in own)], add_special_tokens=False)[0].ids
-            ends = np.cumsum([len(segments[k].encode()) for k in own])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.a_size[ids]), ends) + 1).tolist()]
-            for k, low, high in zip(own, cuts, cuts[1:]):
-                out[k] = ids[low:high]
-        return out
+        """A's ids; common characters by rank where the vocabulary's order is that of its merges, which gives the same ids in less time."""
+        if not self.ranked:
+            return [found.ids for found in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        plain, encode = PLAIN.fullmatch, self.ranked.encode_ordinary
+        return [encode(s) if plain(s) else self.a.encode(s, add_special_tokens=False).ids for s in segments]
 
     def encode_b(self, segments: list[str]) -> list[list[int]]:
         """B's ids. B adds a space: it stands for a segment's own first one, else it is taken off again."""
         found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [[self.alone] if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(segments, found)]
 
-    def whole(self, segment: str, a: list[int], b: list[int]) -> bool:
-        """Whether both give the segment's bytes back."""
-        return b"".join(map(self.a_bytes.__getitem__, a)) == segment.encode() == b"".join(map(self.b_bytes.__getitem__, b))
+    def whole(self, segments: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether both give each segment's bytes back; all at once, and one by one only if some do not."""
+        raw = [s.encode() for s in segments]
+        for entries, ids in ((self.a_bytes, a), (self.b_bytes, b)):
+            size = self.a_size if entries is self.a_bytes else self.b_size
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            upto = np.concatenate([[0], np.cumsum(size[flat])])[np.cumsum(n)]
+            if (upto != np.cumsum([len(r) for r in raw])).any() or b"".join(map(entries.__getitem__, flat.tolist())) != b"".join(raw):
+                join = lambda entries, ids: b"".join(map(entries.__getitem__, ids))
+                return np.array([join(self.a_bytes, x) == r == join(self.b_bytes, y) for r, x, y in zip(raw, a, b)], bool)
+        return np.ones(len(raw), bool)
+
+
+def ranks_of(a_path: str, a_bytes: list[bytes]):
+    """An encoder by rank for a byte-level BPE whose merges come in the order of its ids, else None."""
+    with open(a_path, encoding="utf-8") as source:
+        found = json.load(source)
+    model, cut = found["model"], found["pre_tokenizer"] or {}
+    plain = not found["normalizer"] and not model.get("ignore_merges") and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"].get(a + b) for a, b in merges]
+    if not plain or ids != list(range(256, 256 + len(ids))) or len({e for e in a_bytes if e}) != 256 + len(ids):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks={e: k for k, e in enumerate(a_bytes) if e}, special_tokens={})
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -138,15 +161,18 @@ class Segmenter:
     def __init__(self, breaks: str):
         first = re.escape(breaks)
         self.segment = re.compile(rf"\s*\S+(?:[^\S{first}]\s*\S*)*|\s+") if breaks else re.compile(r"(?s).+")
+        self.odd_space = re.compile(rf"[^\S{first}]") if breaks else self.segment
+        self.plain_segment = re.compile(r"\s*\S+|\s+")  # the same where there is no other white space
         self.cut = re.compile(rf"\S(?=[{first}])") if breaks else re.compile(r"(?!)")
 
     def blocks(self, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[str]]:
         """Segments of a space and the text, a list a block."""
         text, at = " " + text, 0
+        segment = self.segment if self.odd_space.search(text) else self.plain_segment
         while at < len(text):
             cut = self.cut.search(text, at + block_chars) if at + block_chars < len(text) else None
             end = cut.end() if cut else len(text)
-            yield self.segment.findall(text, at, end)
+            yield segment.findall(text, at, end)
             at = end
 
 
@@ -168,13 +194,23 @@ class Alignments:
     links: np.ndarray
     ends: np.ndarray
 
+    def links_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of these segments in a row, and how many each has."""
+        n = self.ends[at] - np.where(at > 0, self.ends[at - 1], 0)
+        upto = np.cumsum(n)
+        return self.links[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.ends[at] - upto, n)], n
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
 
-def alignments(t: Tokenizers, a_ids: list[list[int]], b_ids: list[list[int]]) -> Alignments:
-    """Aligns segments whose A and B tokens have the same bytes, all of them in one go as if they were one text."""
-    n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in (a_ids, b_ids))
+def alignments(t: Tokenizers, a_ids: list[bytes], b_ids: list[bytes]) -> Alignments:
+    """Aligns segments whose A and B tokens, packed, have the same bytes; all of them in one go as if they were one text."""
+    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) >> 2 for ids in (a_ids, b_ids))
     if not len(n_a):
         return Alignments([], n_a, n_b, n_a, n_a, n_a)
-    a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
+    a, b = (np.frombuffer(b"".join(ids), "<i4").astype(np.int64) for ids in (a_ids, b_ids))
     a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
     both = np.intersect1d(a_ends, b_ends, assume_unique=True)
     segment_ends = a_ends[np.cumsum(n_a) - 1]
@@ -197,16 +233,6 @@ def alignments(t: Tokenizers, a_ids: list[list[int]], b_ids: list[list[int]]) ->
     return Alignments(text.split("\n")[:-1], n_a, n_b, n_groups, links, upto[np.cumsum(n_a) - 1])
 
 
-def tokens_of(groups: str) -> tuple[list[int], list[int]]:
-    """A and B ids of an alignment's text."""
-    a, b = [], []
-    for group in groups.split(";"):
-        of_a, of_b = group.split("|")
-        a += map(int, of_a.split(","))
-        b += map(int, of_b.split(","))
-    return a, b
-
-
 _loaded: dict[tuple[str, str], Tokenizers] = {}
 
 
@@ -218,9 +244,9 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 ALIGNED = pa.schema(
-    [("h", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))]
+    [("h", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())]
 )
-ALIGNED_SQL = "h long, segment string, n long, size long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"
+ALIGNED_SQL = "h long, segment string, n long, size long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>, a binary, b binary"
 
 
 def aligned_segments(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -231,9 +257,10 @@ def aligned_segments(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             segments = batch.column(0).to_pylist()
             a_ids, b_ids = t.encode_a(segments), t.encode_b(segments)
-            ok = np.array([t.whole(s, a, b) for s, a, b in zip(segments, a_ids, b_ids)], bool)
+            ok = t.whole(segments, a_ids, b_ids)
             good = np.flatnonzero(ok)
-            found = alignments(t, [a_ids[k] for k in good], [b_ids[k] for k in good])
+            a_packed, b_packed = list(map(packed, a_ids)), list(map(packed, b_ids))
+            found = alignments(t, [a_packed[k] for k in good], [b_packed[k] for k in good])
             n_links, groups = np.zeros(len(ok), np.int64), [""] * len(ok)
             n_links[good] = np.diff(found.ends, prepend=0)
             for k, text in zip(good.tolist(), found.groups):
@@ -245,7 +272,7 @@ def aligned_segments(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 numbers.append(pa.array(column))
             size = np.array([len(s) + len(g) for s, g in zip(segments, groups)]) + 8 * n_links
             links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)), pa.array(found.links))
-            columns = [pa.array(list(map(segment_hash, segments)), pa.int64()), batch.column(0), batch.column(1), pa.array(size), pa.array(ok), *numbers, pa.array(groups, pa.string()), links]
+            columns = [pa.array(list(map(segment_hash, segments)), pa.int64()), batch.column(0), batch.column(1), pa.array(size), pa.array(ok), *numbers, pa.array(groups, pa.string()), links, pa.array(a_packed, pa.binary()), pa.array(b_packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=ALIGNED)
 
     return counted.mapInArrow(run, ALIGNED_SQL)
@@ -318,58 +345,98 @@ def table_of(token: str, held) -> Table:
     return _tables[token]
 
 
-@dataclass
-class Composed:
-    """What a document's segments come to; pairs of segments outside the table with how often they are linked."""
-
-    ok: bool
-    sums: np.ndarray  # n_a, n_b, n_groups, n_links
-    digest: str
-    pairs: np.ndarray  # numbers in the table
-    others: np.ndarray
-    times: np.ndarray
+class Composing:
+    """What a document's segments have come to so far."""
 
+    def __init__(self, joined: dict[bytes, tuple[bytes, bytes]]):
+        self.joined = joined  # packed tokens of segments outside the table, by the segment's bytes
+        self.ok, self.begun, self.digest = True, False, hashlib.sha256()
+        self.sums = np.zeros(4, np.int64)  # n_a, n_b, n_groups, n_links
+        self.used: list[np.ndarray] = []
+        self.others: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
-NONE = np.zeros(0, np.int64)
-
-
-def composed(blocks: Iterator[list[str]], table: Table, joined: dict[bytes, tuple[list[int], list[int]]], t: Tokenizers) -> Composed:
-    """Alignments of a document in order. Segments outside the table have their tokens in ``joined``, or are tokenised here."""
-    sums, digest, begun = np.zeros(4, np.int64), hashlib.sha256(), False
-    used, others, times = [], [], []
-    for block in blocks:
-        places = list(map(table.place.get, block))
+    def add(self, block: list[str], places: list, table: Table, new: dict[str, int], found: Alignments) -> None:
+        """A block's alignments in order; ``new`` has the places in ``found`` of segments outside the table, -1 where a tokenizer fails."""
         if None in places:
             own = Counter(s for s, place in zip(block, places) if place is None)
-            tokens = {s: joined.get(s.encode()) for s in own}
-            missing = [s for s, found in tokens.items() if found is None]
-            if missing:
-                for s, a, b in zip(missing, t.encode_a(missing), t.encode_b(missing)):
-                    if not t.whole(s, a, b):
-                        return Composed(False, sums, "", NONE, NONE, NONE)
-                    tokens[s] = a, b
-            found = alignments(t, [a for a, _ in tokens.values()], [b for _, b in tokens.values()])
-            n = np.array(list(own.values()), np.int64)
-            n_links = np.diff(found.ends, prepend=0)
-            sums += [int((x * n).sum()) for x in (found.n_a, found.n_b, found.n_groups, n_links)]
-            others.append(found.links)
-            times.append(np.repeat(n, n_links))
-            by_segment = dict(zip(own, found.groups))
-            texts = [by_segment[s] if place is None else table.groups[place] for s, place in zip(block, places)]
+            at = np.fromiter(map(new.__getitem__, own), np.int64, len(own))
+            if (at < 0).any():
+                self.ok = False
+                return
+            n = np.fromiter(own.values(), np.int64, len(own))
+            links, n_links = found.links_of(at)
+            self.sums += [int(n @ found.n_a[at]), int(n @ found.n_b[at]), int(n @ found.n_groups[at]), int(n @ n_links)]
+            self.others.append(links)
+            self.times.append(np.repeat(n, n_links))
+            texts = [found.groups[new[s]] if place is None else table.groups[place] for s, place in zip(block, places)]
             places = [p for p in places if p is not None]
         else:
             texts = map(table.groups.__getitem__, places)
         at = np.array(places, np.int64)
         if not table.ok[at].all():
-            return Composed(False, sums, "", NONE, NONE, NONE)
-        sums[:3] += table.sums[at].sum(0)
-        sums[3] += table.n_links[at].sum()
-        used.append(np.unique(at))
-        digest.update(((";" if begun else "") + ";".join(texts)).encode())
-        begun = True
-    distinct = np.unique(np.concatenate(used)) if used else NONE
-    pairs, inverse = np.unique(np.concatenate(others), return_inverse=True) if others else (NONE, NONE)
-    return Composed(True, sums, digest.hexdigest(), np.unique(table.links_of(distinct)), pairs, np.bincount(inverse, np.concatenate(times), len(pairs)).astype(np.int64) if others else NONE)
+            self.ok = False
+            return
+        self.sums[:3] += table.sums[at].sum(0)
+        self.sums[3] += table.n_links[at].sum()
+        self.used.append(np.unique(at) if len(at) > TOGETHER else at)
+        self.digest.update(((";" if self.begun else "") + ";".join(texts)).encode())
+        self.begun = True
+
+    def pairs(self, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the table's pairs that the document links; pairs of its other segments, with how often it links them."""
+        if not self.ok:
+            return NONE, NONE, NONE
+        inside = np.unique(table.links_of(np.unique(np.concatenate(self.used)))) if self.used else NONE
+        if not self.others:
+            return inside, NONE, NONE
+        others, inverse = np.unique(np.concatenate(self.others), return_inverse=True)
+        return inside, others, np.bincount(inverse, np.concatenate(self.times), len(others)).astype(np.int64)
+
+
+NONE = np.zeros(0, np.int64)
+
+
+def compose(documents: list[Composing], blocks: Iterator[tuple[int, list[str]]], table: Table, t: Tokenizers) -> None:
+    """Adds (document, block) to the documents, some blocks at once: what they have outside the table is aligned together."""
+    waiting, size = [], 0
+
+    def flush() -> None:
+        new: dict[str, int] = {}
+        a_ids, b_ids, missing = [], [], {}
+        for k, block, places in waiting:
+            if None in places and documents[k].ok:
+                joined = documents[k].joined
+                for s, place in zip(block, places):
+                    if place is None and s not in new:
+                        tokens = joined.get(s.encode()) if joined else None
+                        if tokens:
+                            new[s] = len(a_ids)
+                            a_ids.append(tokens[0])
+                            b_ids.append(tokens[1])
+                        else:
+                            missing[s] = new[s] = -1
+        if missing:
+            names = list(missing)
+            a, b = t.encode_a(names), t.encode_b(names)
+            for s, x, y, ok in zip(names, a, b, t.whole(names, a, b).tolist()):
+                if ok:
+                    new[s] = len(a_ids)
+                    a_ids.append(packed(x))
+                    b_ids.append(packed(y))
+        found = alignments(t, a_ids, b_ids)
+        for k, block, places in waiting:
+            if documents[k].ok:
+                documents[k].add(block, places, table, new, found)
+        waiting.clear()
+
+    for k, block in blocks:
+        waiting.append((k, block, list(map(table.place.get, block))))
+        size += len(block)
+        if size >= TOGETHER:
+            flush()
+            size = 0
+    flush()
 
 
 COMPOSED = pa.schema([
@@ -394,22 +461,26 @@ def composed_documents(rows: DataFrame, held, token: str, a_path: str, b_path: s
         table, cut = table_of(token, held), Segmenter(t.breaks)
         counts, others = np.zeros(len(table.pairs), np.int64), Counter()
         for batch in batches:
+            texts, own = batch.column(1), batch.column(2)
+            a, b = (own.flatten().field(k).to_pylist() for k in (0, 1))
+            n_joined = pc.fill_null(pc.list_value_length(own), 0).to_pylist()
+            documents, at = [], 0
+            for n in n_joined:
+                tokens = zip(a[at : at + n], b[at : at + n])
+                documents.append(Composing({b"".join(map(t.a_bytes.__getitem__, np.frombuffer(x, "<i4").tolist())): (x, y) for x, y in tokens}))
+                at += n
+            compose(documents, ((k, block) for k, text in enumerate(texts) for block in cut.blocks(text.as_py())), table, t)
             out = []
-            for text, joined in zip(batch.column(1), batch.column(2)):
-                known = {}
-                for groups in joined.as_py() or ():
-                    a, b = tokens_of(groups)
-                    known[b"".join(map(t.a_bytes.__getitem__, a))] = a, b
-                c = composed(cut.blocks(text.as_py()), table, known, t)
-                out.append((c.ok, *(c.sums.tolist() if c.ok else [0] * 4), c.digest, c.others, c.times))
-                counts[c.pairs] += 1
-                if len(c.others):
-                    at = np.searchsorted(table.pairs, c.others)
-                    there = np.zeros(len(at), bool)
-                    inside = at < len(table.pairs)
-                    there[inside] = table.pairs[at[inside]] == c.others[inside]
-                    counts[np.setdiff1d(at[there], c.pairs)] += 1
-                    others.update(c.others[~there].tolist())
+            for c in documents:
+                inside, pairs, times = c.pairs(table)
+                out.append((c.ok, *(c.sums.tolist() if c.ok else [0] * 4), c.digest.hexdigest() if c.ok else "", pairs, times))
+                counts[inside] += 1
+                if len(pairs):
+                    at_pair = np.searchsorted(table.pairs, pairs)
+                    there = at_pair < len(table.pairs)
+                    there[there] = table.pairs[at_pair[there]] == pairs[there]
+                    counts[np.setdiff1d(at_pair[there], inside, assume_unique=True)] += 1
+                    others.update(pairs[~there].tolist())
                     if len(others) > HELD_ENTRIES:
                         yield _pair_batch(list(others), list(others.values()))
                         others = Counter()
@@ -478,7 +549,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FR
     held, token = spark.sparkContext.broadcast(first), uuid.uuid4().hex
 
     found = other_segments(texts, held, token, breaks)
-    parts = found.join(aligned.where(~frequent & F.col("ok")).select("h", "groups"), "h").groupBy("rid").agg(F.collect_list("groups").alias("joined"))
+    parts = found.join(aligned.where(~frequent & F.col("ok")).select("h", F.struct("a", "b").alias("tokens")), "h").groupBy("rid").agg(F.collect_list("tokens").alias("joined"))
     both = save(composed_documents(texts.join(parts, "rid", "left").select("rid", "text", "joined"), held, token, a_path, b_path), "align-documents", ["kind"])
     documents = both.where(F.col("kind") == DOCUMENT).drop("pair", "n", "kind")
 
