@@ -34,7 +34,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -319,7 +319,7 @@ class Table:
 
     def __init__(self, rows: pa.Table):
         self.place = {s: k for k, s in enumerate(rows["segment"].to_pylist())}
-        self.groups = rows["groups"].to_pylist()
+        self.groups = rows["groups"].to_pylist() or [""]
         self.ok = rows["ok"].to_numpy()
         self.sums = np.stack([rows[c].to_numpy() for c in ("n_a", "n_b", "n_groups")], 1) if len(self.place) else np.zeros((0, 3), np.int64)
         links = rows["links"].combine_chunks()
@@ -327,6 +327,10 @@ class Table:
         self.start = np.cumsum(self.n_links) - self.n_links
         self.pairs, self.link = np.unique(links.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
 
+    def places_of(self, block: list[str]) -> np.ndarray:
+        """Places of segments, -1 for those that are not here."""
+        return np.fromiter(map(self.place.get, block, repeat(-1)), np.int64, len(block))
+
     def links_of(self, places: np.ndarray) -> np.ndarray:
         """Numbers of the pairs that these segments link."""
         n = self.n_links[places]
@@ -356,24 +360,23 @@ class Composing:
         self.others: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, block: list[str], places: list, table: Table, new: dict[str, int], found: Alignments) -> None:
+    def add(self, block: list[str], at: np.ndarray, table: Table, new: dict[str, int], found: Alignments) -> None:
         """A block's alignments in order; ``new`` has the places in ``found`` of segments outside the table, -1 where a tokenizer fails."""
-        if None in places:
-            own = Counter(s for s, place in zip(block, places) if place is None)
-            at = np.fromiter(map(new.__getitem__, own), np.int64, len(own))
-            if (at < 0).any():
+        texts = list(map(table.groups.__getitem__, at.tolist()))  # -1 takes the last one, which is put right below
+        outside = np.flatnonzero(at < 0).tolist()
+        if outside:
+            own = np.array([new[block[k]] for k in outside])
+            if own.min() < 0:
                 self.ok = False
                 return
-            n = np.fromiter(own.values(), np.int64, len(own))
-            links, n_links = found.links_of(at)
-            self.sums += [int(n @ found.n_a[at]), int(n @ found.n_b[at]), int(n @ found.n_groups[at]), int(n @ n_links)]
+            for k, place in zip(outside, own.tolist()):
+                texts[k] = found.groups[place]
+            distinct, n = np.unique(own, return_counts=True)
+            links, n_links = found.links_of(distinct)
+            self.sums += [int(n @ x) for x in (found.n_a[distinct], found.n_b[distinct], found.n_groups[distinct], n_links)]
             self.others.append(links)
             self.times.append(np.repeat(n, n_links))
-            texts = [found.groups[new[s]] if place is None else table.groups[place] for s, place in zip(block, places)]
-            places = [p for p in places if p is not None]
-        else:
-            texts = map(table.groups.__getitem__, places)
-        at = np.array(places, np.int64)
+            at = at[at >= 0]
         if not table.ok[at].all():
             self.ok = False
             return
@@ -405,17 +408,16 @@ def compose(documents: list[Composing], blocks: Iterator[tuple[int, list[str]]],
         new: dict[str, int] = {}
         a_ids, b_ids, missing = [], [], {}
         for k, block, places in waiting:
-            if None in places and documents[k].ok:
-                joined = documents[k].joined
-                for s, place in zip(block, places):
-                    if place is None and s not in new:
-                        tokens = joined.get(s.encode()) if joined else None
-                        if tokens:
-                            new[s] = len(a_ids)
-                            a_ids.append(tokens[0])
-                            b_ids.append(tokens[1])
-                        else:
-                            missing[s] = new[s] = -1
+            joined = documents[k].joined
+            for s in {block[i] for i in np.flatnonzero(places < 0).tolist()} if documents[k].ok else ():
+                if s not in new:
+                    tokens = joined.get(s.encode()) if joined else None
+                    if tokens:
+                        new[s] = len(a_ids)
+                        a_ids.append(tokens[0])
+                        b_ids.append(tokens[1])
+                    else:
+                        missing[s] = new[s] = -1
         if missing:
             names = list(missing)
             a, b = t.encode_a(names), t.encode_b(names)
@@ -431,7 +433,7 @@ def compose(documents: list[Composing], blocks: Iterator[tuple[int, list[str]]],
         waiting.clear()
 
     for k, block in blocks:
-        waiting.append((k, block, list(map(table.place.get, block))))
+        waiting.append((k, block, table.places_of(block)))
         size += len(block)
         if size >= TOGETHER:
             flush()
@@ -500,13 +502,12 @@ def summed_documents(texts: DataFrame, held, sums, token: str, breaks: str) -> D
     """(rid, n_best, count_sum) over a document's segments in the table."""
 
     def run(batches):
-        t, cut, own = table_of(token, held), Segmenter(breaks), sums.value
+        t, cut, own = table_of(token, held), Segmenter(breaks), np.concatenate([sums.value, [[0, 0]]])  # the last row is for others
         for batch in batches:
             out = np.zeros((len(batch.column(0)), 2), np.int64)
             for k, text in enumerate(batch.column(1)):
                 for block in cut.blocks(text.as_py()):
-                    places = [p for p in map(t.place.get, block) if p is not None]
-                    out[k] += own[places].sum(0) if places else 0
+                    out[k] += own[t.places_of(block)].sum(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], ["rid", "n_best", "count_sum"])
 
     return texts.select("rid", "text").mapInArrow(run, "rid long, n_best long, count_sum long")
@@ -523,7 +524,7 @@ def other_segments(texts: DataFrame, held, token: str, breaks: str) -> DataFrame
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own: set[int] = set()
                 for block in cut.blocks(text.as_py()):
-                    own.update(segment_hash(s) for s in set(block) if s not in table.place)
+                    own.update(map(segment_hash, set(block).difference(table.place)))
                 rids.append(np.full(len(own), rid, np.int64))
                 hashes.append(np.fromiter(own, np.int64, len(own)))
                 if sum(map(len, hashes)) > HELD_ENTRIES:
