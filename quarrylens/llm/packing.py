@@ -16,8 +16,10 @@ documents like any other; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylens.llm.store import save
+from quarrylens.llm.token_align import byte_alphabet
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER_FILE = "word_bpe_49k.json"
 HELD_BYTES, HELD_CHUNK = 128 << 20, 256  # of chunks and ids that a worker holds, and the longest chunk that it holds
 ENTRY_BYTES = 200  # of objects and table places an entry
+LONG_CHUNK = 4096  # characters without a blank above which a chunk is encoded in pieces
+BLOCK_CHARS = 1 << 20  # characters of a text whose words are held at once
+BLANKS = " \n\t"
+BLANK = re.compile(f"[{BLANKS}]")
+SPECIAL = 15  # characters of the longest special token that a text may spell
 #: Latin letters that neither NFC nor lower-casing can join to what follows, then ASCII punctuation but the apostrophe.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class Cuts:
+    """Where a chunk without blanks may be cut so that its ids are those of the pieces in a row.
+
+    Between kinds of characters the tokenizer cuts itself.  Inside a run of letters a cut is
+    one that no vocabulary entry reaches over; the letter behind it then goes with the
+    piece, which must not end a word there, and its own ids are taken off again.
+    """
+
+    def __init__(self, vocabulary: Iterable[str], encode: Callable[[str], list[int]]):
+        self.encode = encode
+        self.meet = np.zeros((256, 256), bool)  # bytes that stand behind one another in some entry
+        alphabet = byte_alphabet()
+        for entry in vocabulary:
+            raw = [alphabet[c] for c in entry.removesuffix("</w>") if c in alphabet]
+            self.meet[raw[:-1], raw[1:]] = True
+
+    def kind(self, before: str, behind: str) -> str | None:
+        """"between" kinds of characters, "inside" a run of letters, or None if a cut is not known to be safe."""
+        if unicodedata.normalize("NFC", before + behind) != before + behind or "\u1100" <= behind <= "\u11ff" or "\ua960" <= behind <= "\ua97f" or "\ud7b0" <= behind <= "\ud7ff":
+            return None
+        a, b = unicodedata.category(before)[0], unicodedata.category(behind)[0]
+        if a == "M" or b == "M":
+            return None
+        if a == "N" or b == "N" or (a == "L") != (b == "L"):
+            return None if before == "'" else "between"  # 's and the like
+        if a != "L" or before.lower() != before or behind.lower() != behind:
+            return None
+        return None if self.meet[before.encode()[-1], behind.encode()[0]] else "inside"
+
+    def pieces(self, chunk: str) -> Iterator[list[int]]:
+        """Ids of the chunk, a piece of some LONG_CHUNK characters at a time, as far as cuts are found."""
+        at = 0
+        while at < len(chunk):
+            cut = at + LONG_CHUNK
+            how = None
+            while cut < len(chunk):
+                if "<|" not in chunk[max(cut - SPECIAL, 0) : cut + 1]:
+                    how = self.kind(chunk[cut - 1], chunk[cut])
+                    if how:
+                        break
+                cut += 1
+            if how == "inside":
+                ids = self.encode(chunk[at : cut + 1])
+                yield ids[: len(ids) - len(self.encode(chunk[cut]))]
+            else:
+                yield self.encode(chunk[at:cut])
+            at = cut
+
+
 class WordIds(dict):
     """Ids of a chunk without blanks, as little-endian unsigned 32-bit bytes, from the tokenizer once a chunk.
 
@@ -43,8 +100,9 @@ class WordIds(dict):
     chunk's ids do not depend on its neighbours, and a plain word's parts are encoded apart.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], cuts: Cuts | None = None):
         self.encode = encode
+        self.cuts = cuts
         self.parts: dict[str, bytes] = {}
         self.room = HELD_BYTES
 
@@ -64,6 +122,8 @@ class WordIds(dict):
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.cuts and len(chunk) > LONG_CHUNK:
+            return b"".join(np.array(ids, "<u4").tobytes() for ids in self.cuts.pieces(chunk))
         plain = PLAIN_WORD.fullmatch(chunk)
         if plain and "<|" not in chunk:
             ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
@@ -77,6 +137,24 @@ class WordIds(dict):
         chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks))
 
+    def in_parts(self, text: str | None) -> Iterator[bytes]:
+        """Ids of a text in parts; of a long one some blocks up to a blank, and what has no blank in pieces."""
+        text, at = text or "", 0
+        while len(text) - at > BLOCK_CHARS:
+            blank = BLANK.search(text, at + BLOCK_CHARS)
+            end = blank.start() if blank else len(text)
+            if self.cuts and end - at > BLOCK_CHARS + LONG_CHUNK:  # a run without blanks begins in this block
+                first = max(text.rfind(c, at, at + BLOCK_CHARS) for c in BLANKS)
+                if first >= at:
+                    yield self.document(text[at:first])
+                    at = first + 1
+                for ids in self.cuts.pieces(text[at:end]):
+                    yield np.array(ids, "<u4").tobytes()
+            else:
+                yield self.document(text[at:end])
+            at = end
+        yield self.document(text[at:])
+
 
 _held: dict[str, WordIds] = {}
 
@@ -87,7 +165,8 @@ def word_ids(tokenizer_path: str) -> WordIds:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        _held[tokenizer_path] = WordIds(lambda s: tokenizer.encode(s, add_special_tokens=False).ids)
+        encode = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
+        _held[tokenizer_path] = WordIds(encode, Cuts(tokenizer.get_vocab(with_added_tokens=False), encode))
     return _held[tokenizer_path]
 
 
@@ -100,11 +179,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         for batch in batches:
             names, rows = batch.column(0).to_pylist(), [[] for _ in range(5)]
             for name, text in zip(names, batch.column(1)):
-                data = ids_of.document(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    body = data[at : at + 4 * capacity]
-                    for column, value in zip(rows, (name, piece, at // 4, len(body) // 4, zlib.crc32(body))):
-                        column.append(value)
+                open_, piece = bytearray(), 0
+                for data in chain(ids_of.in_parts(text.as_py()), (end,)):
+                    open_ += data
+                    while len(open_) > 4 * capacity or data is end:
+                        body = open_[: 4 * capacity]
+                        for column, value in zip(rows, (name, piece, piece * capacity, len(body) // 4, zlib.crc32(body))):
+                            column.append(value)
+                        del open_[: 4 * capacity]
+                        piece += 1
+                        if not open_:
+                            break
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
