@@ -3,10 +3,13 @@
 UTF-8 bytes are embedded; learned filters slide over overlapping chunks that cover the
 whole document; each filter is max-pooled within a chunk; the mean and the maximum over
 the chunks go through one logistic unit.  The model is fitted on the driver on at most
-``SAMPLE_ROWS`` labelled documents in the order of a hash of doc_id, whole texts, as long as
-they fit ``SAMPLE_BYTES`` together (a document that no longer fits is left out whole);
-scoring reads every byte of every document.  Filters of eight bytes are applied every
-``STRIDE`` bytes.  Memory for a text's responses is that of a few chunks at a time.
+``SAMPLE_ROWS`` labelled documents in the order of a hash of doc_id, none left out for its
+length: of a text with more than ``LEARN_CHUNKS`` chunks that many are learned from, one
+drawn from each of as many equal parts of it, cut where the text lies.  So the driver holds
+SAMPLE_ROWS x LEARN_CHUNKS x CHUNK bytes at most (250 MB; some 14 MB on texts of usual
+length), and steps end when ``LEARN_BYTES`` have gone through the network.  Scoring reads
+every byte of every document.  Filters of eight bytes are applied every ``STRIDE`` bytes.
+Memory for responses is that of a few chunks at a time, in learning and in scoring.
 
 Defined cases: a null text scores as an empty one (padding only); a null doc_id counts
 as empty text in the fold rule; labels that are null are not used, of repeated labels of
@@ -30,8 +33,10 @@ STRIDE = 4
 EMBED = 8
 FILTERS = 32
 GROUP = 64  # chunks whose responses are held at once
+BACK_GROUP = 16  # the same in learning
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 32 << 20
+LEARN_CHUNKS = 64
+LEARN_BYTES = 256 << 20
 STEPS = 900
 BATCH = 32
 THRESHOLD = 0.3
@@ -66,6 +71,13 @@ class Network:
         step = embedded.strides[0] * STRIDE
         return np.ascontiguousarray(np.lib.stride_tricks.as_strided(embedded, (positions, WIDTH * EMBED), (step, embedded.itemsize)))
 
+    def responses(self, chunks: np.ndarray, positions: int) -> np.ndarray:
+        """[chunk, position, FILTERS] of chunks in rows of bytes, as far as ``positions``."""
+        embedded = self.embed[chunks[:, : (positions - 1) * STRIDE + WIDTH]]
+        shape = (len(chunks), positions, WIDTH * EMBED)
+        windows = np.lib.stride_tricks.as_strided(embedded, shape, (embedded.strides[0], embedded.strides[1] * STRIDE, embedded.itemsize))
+        return (windows.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(chunks), positions, FILTERS)
+
     def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk vectors of whole texts laid end to end, and each text's number of chunks."""
         buffer, low, high, counts, at = [], [], [], [], 0
@@ -124,10 +136,13 @@ def gradients(net: Network, chunks: list[list[bytes]], labels: np.ndarray) -> li
     most_of = np.empty((len(owner), FILTERS), np.float32)
     for row, chunk in enumerate(flat):
         data[row, : len(chunk)] = np.frombuffer(chunk, np.uint8)
-        response = net.windows(data[row]) @ net.filters
-        response = response[: max(1, -(-len(chunk) // STRIDE))]
-        best[row] = response.argmax(axis=0)
-        most_of[row] = response.max(axis=0)
+    used = np.maximum(1, -(-np.fromiter(map(len, flat), np.int64, len(flat)) // STRIDE))
+    for g in range(0, len(flat), BACK_GROUP):
+        own = slice(g, g + BACK_GROUP)
+        response = net.responses(data[own], int(used[own].max()))
+        response[np.arange(response.shape[1])[None, :] >= used[own, None]] = -np.inf
+        best[own] = response.argmax(axis=1)
+        most_of[own] = np.take_along_axis(response, best[own][:, None], axis=1)[:, 0]
     hidden = np.maximum(most_of + net.bias, 0)
     counts = np.bincount(owner, minlength=len(chunks))
     first = np.cumsum(counts) - counts
@@ -149,8 +164,8 @@ def gradients(net: Network, chunks: list[list[bytes]], labels: np.ndarray) -> li
     return [g_embed, g_filters, down.sum(axis=0), both.T @ error, error.sum(keepdims=True)]
 
 
-def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed: int = 0) -> Network | Constant:
-    """Adam on log loss; ``chunks`` are those of each whole text."""
+def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed: int = 0, learn_bytes: int = LEARN_BYTES) -> Network | Constant:
+    """Adam on log loss; ``chunks`` are those of each text. As many steps as ``learn_bytes`` allow on average, and at least one pass over all texts."""
     positive = int(labels.sum())
     if positive in (0, len(labels)):
         return Constant((positive + 1) / (len(labels) + 2))
@@ -158,6 +173,8 @@ def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = STEPS, seed:
     net.offset[0] = np.log(positive / (len(labels) - positive))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     order = np.empty(0, np.int64)
+    a_pass = sum(len(c) for own in chunks for c in own)
+    steps = max(min(steps, int(learn_bytes * len(labels) / (max(a_pass, 1) * BATCH))), -(-len(labels) // BATCH))
     for step in range(1, steps + 1):
         if len(order) < BATCH:
             order = np.concatenate([order, rng.permutation(len(labels))])
@@ -176,28 +193,33 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> Network | Constant:
+def learned_chunks(text: bytes, seed: int, most: int) -> list[bytes]:
+    """All chunks of a text; of more than ``most`` one drawn from each of ``most`` equal parts."""
+    bounds = chunk_bounds(len(text))
+    if len(bounds) > most:
+        edges = np.arange(most + 1) * len(bounds) // most
+        picked = edges[:-1] + (np.random.default_rng(seed).random(most) * np.diff(edges)).astype(np.int64)
+        bounds = [bounds[k] for k in picked.tolist()]
+    return [text[slice(*b)] for b in bounds]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS, learn_chunks: int = LEARN_CHUNKS) -> Network | Constant:
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64(F.lit(HASH_SEED), "doc_id"), "doc_id").limit(sample_rows)
-    )
+    )
+
+    def run(batches):
+        for batch in batches:
+            ids, quality = batch.column(0), batch.column(1)
+            chunks = [learned_chunks(text.as_py(), (doc_id.as_py() ^ HASH_SEED) & (1 << 63) - 1, learn_chunks) for doc_id, text in zip(ids, batch.column(2))]
+            yield pa.RecordBatch.from_arrays([ids, quality, pa.array(chunks, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = narrow.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row of a doc_id, however often it comes
-    rows = save(rows, "quality-sample")
-    sizes = rows.select("doc_id", F.length("text").alias("size")).orderBy(F.xxhash64(F.lit(HASH_SEED), "doc_id"), "doc_id").collect()  # sample_rows at most
-    room, kept = sample_bytes, []
-    for r in sizes:
-        if r["size"] <= room:
-            room -= r["size"]
-            kept.append((r["doc_id"],))
-    if not kept:
-        return fit([], np.empty(0), steps)
-    fitting = docs.sparkSession.createDataFrame(kept, "doc_id long")
-    found = rows.join(F.broadcast(fitting), "doc_id").orderBy("doc_id").toArrow()
-    texts = found["text"].to_pylist()
-    return fit([[t[slice(*b)] for b in chunk_bounds(len(t))] for t in texts], found["quality"].to_numpy().astype(np.float64), steps)
+    found = save(rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, chunks array<binary>"), "quality-sample").toArrow().sort_by("doc_id")
+    return fit(found["chunks"].to_pylist(), found["quality"].to_numpy().astype(np.float64), steps)
 
 
 def score(docs: DataFrame, model: Network | Constant, at_least: float | None = None) -> DataFrame:
