@@ -10,11 +10,12 @@ pseudonym in every document, so records stay linked.
     phone  + country code and national number, or ten digits in groups    the national digits; separators and a code before them do not matter
     ssn    ddd-dd-dddd, assigned ranges          all digits, walked on until the result is an assigned range too
     ip     four octets                           the 32-bit address
-    date   y-m-d, d/m/y or d.m.y, 1900 to 2099   the day number
-           m/d/y, if it is no d/m/y              the day number, walked on until the result is no d/m/y either
+    date   y-m-d, d/m/y, d.m.y, or m/d/y if it   the day number, walked on among the days of a month up to the 12th, or
+           is no d/m/y, 1900 to 2099             among later ones, in every spelling: m/d/y reads back, and spellings link
     email  local@domain                          keyed hashes (names have no fixed format)
 
-What fails validation stays as it is.  Lengths in the patterns are those of the formats: an
+What fails validation stays as it is, and so do formats not named here: IBANs, IPv6
+addresses, and telephone numbers without a country code or groups.  Lengths in the patterns are those of the formats: an
 address has at most 64 characters before the @, labels of at most 63 and 127 of them, a last
 one of 2 to 63 letters; a telephone number at most 15 digits.  A match starts only where no
 character of its own kind stands before it and runs are possessive, so that any text is read
@@ -185,7 +186,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         return bound(feistel(F.floor(n / DAY_RADIX[1]), n % DAY_RADIX[1], F.lit(DAY_RADIX[0]), F.lit(DAY_RADIX[1]), key, "date"), lambda p: p["l"] * DAY_RADIX[1] + p["r"])
 
     def rewritten(w: Column) -> Column:
-        day = walked(w["n"].cast("long"), moved, lambda v: (w["order"] != "mdy") | (F.dayofmonth(calendar(v)) > 12))
+        late = F.dayofmonth(calendar(w["n"])) > 12
+        day = walked(w["n"].cast("long"), moved, lambda v: (F.dayofmonth(calendar(v)) > 12) == late)
         parts = F.split(F.date_format(calendar(day), "yyyy-MM-dd"), "-")
         put = lambda p, *places: F.concat(F.get(p, F.lit(places[0])), w["mark"], F.get(p, F.lit(places[1])), w["mark"], F.get(p, F.lit(places[2])))
         return bound(parts, lambda p: F.when(w["order"] == "ymd", put(p, 0, 1, 2)).when(w["order"] == "mdy", put(p, 1, 2, 0)).otherwise(put(p, 2, 1, 0)))

@@ -86,8 +86,9 @@ def valued(m):
             if n is None and "/" in m:
                 n, form = date(c, a, b), "%m/%d/%Y"
         if n is not None:
+            late = (FIRST + dt.timedelta(n)).day > 12
             n = day_moved(n)
-            while form == "%m/%d/%Y" and (FIRST + dt.timedelta(n)).day <= 12:
+            while ((FIRST + dt.timedelta(n)).day > 12) != late:
                 n = day_moved(n)
             return "date", (FIRST + dt.timedelta(n)).strftime(form)
     if has("phone") and 8 <= len(digits) <= 15:
@@ -146,6 +147,19 @@ def test_numbers_written_in_two_ways_link(spark):
     assert len({re.sub("[^0-9]", "", t) for t in out}) == 1 and out[0] != forms[0]
 
 
+def test_every_day_links_in_every_spelling(spark):
+    day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
+    forms = {"y": "yyyy-MM-dd", "d": "dd/MM/yyyy", "p": "dd.MM.yyyy", "m": "MM/dd/yyyy"}
+    moved = lambda f: pii.pseudonym(F.date_format(day, f), F.lit("date"), KEY)
+    out = spark.range(0, 73_049, 1, 8).select("id", (F.dayofmonth(day) > 12).alias("late"), *[F.to_date(moved(f), f).alias(k) for k, f in forms.items() if k != "m"], F.when(F.dayofmonth(day) > 12, moved(forms["m"])).alias("m"))
+    read = F.to_date("m", forms["m"])
+    checks = out.agg(
+        F.count("*").alias("days"), F.count_distinct("y").alias("different"), F.count_if((F.col("y") == F.col("d")) & (F.col("y") == F.col("p"))).alias("linked"),
+        F.count_if(F.col("late") & (read == F.col("y")) & (F.dayofmonth(read) > 12)).alias("month_first"), F.count_if("late").alias("late"), F.count_if(F.year("y").between(1900, 2099)).alias("in_range"),
+    ).first()
+    assert checks["days"] == checks["different"] == checks["linked"] == checks["in_range"] == 73_049 and checks["month_first"] == checks["late"]
+
+
 def test_month_first_dates_and_ssns_stay_in_their_range(spark):
     days = [FIRST + dt.timedelta(n) for n in range(0, 73049, 7)]
     forms = [d.strftime("%m/%d/%Y") for d in days if d.day > 12]
