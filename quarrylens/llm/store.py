@@ -9,6 +9,9 @@ an application's tables.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return files.makeQualified(place).toString().rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarrylens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
 
 
-def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved in this context are deleted at its end, but for lasting ones."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    before = _scratch.set(name)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        remove(spark, f"{shared_dir(spark)}/quarrylens/{spark.sparkContext.applicationId}/{name}")
+
+
+def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    place = "" if lasting else _scratch.get()
+    return f"{shared_dir(spark)}/quarrylens/{spark.sparkContext.applicationId}/{place and place + '/'}{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str, partition_by: list[str] | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, lasting)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
