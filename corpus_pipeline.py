@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm import line_dedup, mixing, near_dedup, packing, quality
 from quarrylens.llm.entries import tokenizer_path
-from quarrylens.llm.store import save
+from quarrylens.llm.store import remove, save, scratch
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,9 +53,18 @@ ORACLE_SQL = None  # a trained model and a tokenizer have no SQL; tests compare
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in a row. A stage's own tables go once its result is written, and so does the result before it.
+
+    Null, empty and very long texts, repeated rows, null ids and clashing names are as the
+    stages' docstrings say; no documents give no rows, as do no documents that pass.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.split()[0])
+        with scratch(spark):
+            docs = save(stage(spark, docs, sf_dir), name.split()[0], lasting=True)
+        for path in before:
+            remove(spark, path)
+        before = list({path.rpartition("/")[0] for path in docs.inputFiles()})
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
