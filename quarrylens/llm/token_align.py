@@ -15,7 +15,8 @@ tokens of a text are then those of its segments in a row (``safe_breaks``).
    alignment travels as its tokens, whose bytes give the segment, groups and links again.
 4. Documents are composed, and each counts its distinct pairs; pairs are added up by tasks
    and then over all documents.  Sums over links come from the segments' sums for the
-   frequent ones, and for others from a join of the documents' own pairs.
+   frequent ones, which a document keeps by number and count, and for others from a join
+   of the documents' own pairs.
 
 Defined cases: a text that is null, empty, or whose joined A or B bytes are not a space and
 the text (one that holds U+2581) has no tokens: zeros, an empty digest, and no part in the
@@ -50,9 +51,10 @@ SPACE = "▁"
 BLOCK_CHARS = 1 << 18
 #: Fixed value: how a byte-level BPE of this kind cuts a text before it merges.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FREQUENT_SEGMENTS, FREQUENT_BYTES = 500_000, 64 << 20  # what every worker holds: segments, and bytes of them
+FREQUENT_SEGMENTS, FREQUENT_BYTES = 300_000, 40 << 20  # what every worker holds: segments, and bytes of them
 TOGETHER = 20_000  # segments of documents whose new ones are aligned at once
-HELD_ENTRIES = 200_000  # of a task's counts before it sends them on
+HELD_ENTRIES = 200_000  # of a task's counts of pairs before it sends them on
+HELD_SEGMENTS = 600_000  # the same of segments
 BROADCAST_PAIRS = 1_000_000  # pairs, 24 bytes each, that may be broadcast
 STEPS_AN_OCTAVE = 8  # of the histogram that finds the frequent segments
 
@@ -290,7 +292,7 @@ def counted_segments(texts: DataFrame, breaks: str) -> DataFrame:
                 for block in cut.blocks(text.as_py()):
                     own.update(block)
                 held.update(own)
-                if len(held) > HELD_ENTRIES:
+                if len(held) > HELD_SEGMENTS:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
                     held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
@@ -325,7 +327,8 @@ class Table:
         links = rows["links"].combine_chunks()
         self.n_links = np.diff(links.offsets.to_numpy()) if len(links) else np.zeros(0, np.int64)
         self.start = np.cumsum(self.n_links) - self.n_links
-        self.pairs, self.link = np.unique(links.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+        self.pairs, link = np.unique(links.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+        self.link = link.astype(np.int32)
 
     def places_of(self, block: list[str]) -> np.ndarray:
         """Places of segments, -1 for those that are not here."""
@@ -356,7 +359,7 @@ class Composing:
         self.joined = joined  # packed tokens of segments outside the table, by the segment's bytes
         self.ok, self.begun, self.digest = True, False, hashlib.sha256()
         self.sums = np.zeros(4, np.int64)  # n_a, n_b, n_groups, n_links
-        self.used: list[np.ndarray] = []
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []  # places in the table and how often
         self.others: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
@@ -382,19 +385,27 @@ class Composing:
             return
         self.sums[:3] += table.sums[at].sum(0)
         self.sums[3] += table.n_links[at].sum()
-        self.used.append(np.unique(at) if len(at) > TOGETHER else at)
+        self.used.append(np.unique(at, return_counts=True))
         self.digest.update(((";" if self.begun else "") + ";".join(texts)).encode())
         self.begun = True
 
-    def pairs(self, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the table's pairs that the document links; pairs of its other segments, with how often it links them."""
-        if not self.ok:
-            return NONE, NONE, NONE
-        inside = np.unique(table.links_of(np.unique(np.concatenate(self.used)))) if self.used else NONE
-        if not self.others:
-            return inside, NONE, NONE
-        others, inverse = np.unique(np.concatenate(self.others), return_inverse=True)
-        return inside, others, np.bincount(inverse, np.concatenate(self.times), len(others)).astype(np.int64)
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table and how often the document has each."""
+        return added([x for x, _ in self.used], [n for _, n in self.used]) if self.ok else (NONE, NONE)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the document's other segments, and how often it links them."""
+        return added(self.others, self.times) if self.ok else (NONE, NONE)
+
+
+def added(values: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, with their times added up."""
+    if not values:
+        return NONE, NONE
+    if len(values) == 1 and not (np.diff(values[0]) <= 0).any():
+        return values[0], times[0]
+    out, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    return out, np.bincount(inverse, np.concatenate(times), len(out)).astype(np.int64)
 
 
 NONE = np.zeros(0, np.int64)
@@ -443,15 +454,15 @@ def compose(documents: list[Composing], blocks: Iterator[tuple[int, list[str]]],
 
 COMPOSED = pa.schema([
     ("rid", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
-    ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("pair", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()),
+    ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("pair", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()),
 ])
-COMPOSED_SQL = "rid long, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>, pair long, n long, kind int"
+COMPOSED_SQL = "rid long, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places array<int>, counts array<int>, pairs array<long>, times array<long>, pair long, n long, kind int"
 DOCUMENT, PAIR = 0, 1
 
 
 def _pair_batch(pairs, counts) -> pa.RecordBatch:
     n = len(counts)
-    empty = [pa.nulls(n, f.type) for f in list(COMPOSED)[:9]]
+    empty = [pa.nulls(n, f.type) for f in list(COMPOSED)[:11]]
     return pa.RecordBatch.from_arrays([*empty, pa.array(pairs, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.full(n, PAIR, np.int32))], schema=COMPOSED)
 
 
@@ -474,8 +485,9 @@ def composed_documents(rows: DataFrame, held, token: str, a_path: str, b_path: s
             compose(documents, ((k, block) for k, text in enumerate(texts) for block in cut.blocks(text.as_py())), table, t)
             out = []
             for c in documents:
-                inside, pairs, times = c.pairs(table)
-                out.append((c.ok, *(c.sums.tolist() if c.ok else [0] * 4), c.digest.hexdigest() if c.ok else "", pairs, times))
+                (places, n), (pairs, times) = c.places(), c.pairs()
+                out.append((c.ok, *(c.sums.tolist() if c.ok else [0] * 4), c.digest.hexdigest() if c.ok else "", places.astype(np.int32), n.astype(np.int32), pairs, times))
+                inside = np.unique(table.links_of(places))
                 counts[inside] += 1
                 if len(pairs):
                     at_pair = np.searchsorted(table.pairs, pairs)
@@ -486,10 +498,10 @@ def composed_documents(rows: DataFrame, held, token: str, a_path: str, b_path: s
                     if len(others) > HELD_ENTRIES:
                         yield _pair_batch(list(others), list(others.values()))
                         others = Counter()
-            columns = list(zip(*out)) if out else [[]] * 8
+            columns = list(zip(*out)) if out else [[]] * 10
             n = len(out)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(COMPOSED)[1:9])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, DOCUMENT, np.int32))], schema=COMPOSED
+                [batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(COMPOSED)[1:11])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, DOCUMENT, np.int32))], schema=COMPOSED
             )
         there = np.flatnonzero(counts)
         yield _pair_batch(table.pairs[there], counts[there])
@@ -498,19 +510,20 @@ def composed_documents(rows: DataFrame, held, token: str, a_path: str, b_path: s
     return rows.mapInArrow(run, COMPOSED_SQL)
 
 
-def summed_documents(texts: DataFrame, held, sums, token: str, breaks: str) -> DataFrame:
-    """(rid, n_best, count_sum) over a document's segments in the table."""
+def summed_documents(documents: DataFrame, sums) -> DataFrame:
+    """(rid, n_best, count_sum) over a document's segments in the table, from their numbers."""
 
     def run(batches):
-        t, cut, own = table_of(token, held), Segmenter(breaks), np.concatenate([sums.value, [[0, 0]]])  # the last row is for others
+        own = sums.value
         for batch in batches:
-            out = np.zeros((len(batch.column(0)), 2), np.int64)
-            for k, text in enumerate(batch.column(1)):
-                for block in cut.blocks(text.as_py()):
-                    out[k] += own[t.places_of(block)].sum(0)
+            n = batch.column(1).value_lengths().to_numpy()
+            places, counts = (batch.column(k).flatten().to_numpy() for k in (1, 2))
+            upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(own[places] * counts[:, None].astype(np.int64), 0)])
+            ends = np.cumsum(n)
+            out = upto[ends] - upto[ends - n]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], ["rid", "n_best", "count_sum"])
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, n_best long, count_sum long")
+    return documents.select("rid", "places", "counts").mapInArrow(run, "rid long, n_best long, count_sum long")
 
 
 def other_segments(texts: DataFrame, held, token: str, breaks: str) -> DataFrame:
@@ -565,9 +578,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FR
 
     linked = documents.select("rid", F.inline(F.arrays_zip("pairs", "times"))).join(ranked, F.col("pairs") == F.col("pair"))
     more = linked.groupBy("rid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    totals = summed_documents(texts, held, sums, token, breaks).unionByName(more).groupBy("rid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    totals = summed_documents(documents, sums).unionByName(more).groupBy("rid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.when(F.col("ok"), F.col(c)).otherwise(0).cast("long").alias(c)
     return (
-        rows.select("doc_id", "rid").join(documents.drop("pairs", "times").join(totals, "rid"), "rid", "left")
+        rows.select("doc_id", "rid").join(documents.drop("places", "counts", "pairs", "times").join(totals, "rid"), "rid", "left")
         .select("doc_id", *map(zero, ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
     )
