@@ -417,7 +417,7 @@ def test_pipeline_stages_pass_documents_on(spark):
 def test_queries_match_sql(spark, name):
     sf_dir = f"{TABLES}/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         small(spark, t)
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     ours, theirs = entries.queries()[name](spark, sf_dir).toPandas(), con.execute(entries.oracle_sql()[name]).df()

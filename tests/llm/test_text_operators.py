@@ -394,6 +394,52 @@ def test_pack_defined_cases(spark):
     assert packing.pack(docs_of(spark, []), tokenizer_path()).count() == 0
 
 
+def test_ids_of_texts_without_blanks_in_pieces(monkeypatch):
+    import random
+
+    ids, pick = packing.word_ids(tokenizer_path()), random.Random(4)
+    letters = ["abcXYZé\u00df", "0123456789abcdef", "日本語テキスト山川", "กขฃคฅ", "ابتثج", "ab'st.!?<|>1가\u0301😀"]
+    monkeypatch.setattr(packing, "LONG_CHUNK", 8)
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 40)
+    for k in range(1200):
+        parts = [*letters[k % len(letters)], "'s", "<|endoftext|>"] + [" ", "\n", "\t", "  "] * (k % 2)
+        text = "".join(pick.choices(parts, k=pick.randint(0, 90)))
+        assert b"".join(ids.in_parts(text)) == np.array(brute_ids(text.replace("\n", " "))[:-1], "<u4").tobytes(), text
+
+
+def test_long_texts_without_blanks_in_constant_memory():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from quarrylens.llm import packing
+ids, pick = packing.word_ids(sys.argv[1]), random.Random(1)
+text = "".join(pick.choices([chr(c) for c in range(0x4E00, 0x5A00)], k=3_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(p) for p in ids.in_parts(text)) // 4
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code, tokenizer_path()], capture_output=True, text=True, timeout=300, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    n, grown = map(int, done.stdout.split())
+    assert n > 3_000_000 and grown < 100
+
+
+def test_quality_learns_from_long_texts_in_bounded_time_and_memory():
+    rng, began = np.random.default_rng(0), time.time()
+    long = rng.integers(97, 123, 8 << 20, dtype=np.uint8).tobytes()
+    chunks = quality.learned_chunks(long, 5, quality.LEARN_CHUNKS)
+    places = [long.find(c) for c in chunks]
+    part = len(long) / quality.LEARN_CHUNKS
+    assert len(chunks) == quality.LEARN_CHUNKS and all(k * part - quality.CHUNK <= at <= (k + 1) * part for k, at in enumerate(places))  # one from every part
+    short = b"a" * 5000
+    assert quality.learned_chunks(short, 1, quality.LEARN_CHUNKS) == [short[slice(*b)] for b in quality.chunk_bounds(5000)]
+    rows = [chunks] + [quality.learned_chunks(rng.integers(97, 123, 400_000, dtype=np.uint8).tobytes(), k, quality.LEARN_CHUNKS) for k in range(12)]
+    assert sum(len(c) for own in rows for c in own) <= len(rows) * quality.LEARN_CHUNKS * quality.CHUNK
+    quality.fit(rows, np.array([k % 2 for k in range(13)], float), learn_bytes=8 << 20)
+    assert time.time() - began < 120
+
+
 def test_pack_of_the_test_table_is_tight(spark):
     used, least = check_pack(small(spark), 2048)
     assert used <= least * 1.02 + 1
