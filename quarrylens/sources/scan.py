@@ -1,4 +1,4 @@
-"""Directory scan and format detection, on the driver: metadata only."""
+"""Scan and format detection: metadata and the first bytes of JSON files only. Local folders are walked, others listed by Spark."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylens.model import Detection, DetectionReport, DirectoryNode, ExtensionCount, FileInfo, Modality, PathNotFoundError, ScanError, ScanResult
+from quarrylens.plans.shared import file_system
 
 #: Extensions, folders that are passed over, names of splits.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tiff", ".tif")
@@ -23,8 +25,51 @@ def extension_of(name: str) -> str:
     return os.path.splitext(name)[1].lower() or NO_EXTENSION
 
 
+def in_store(path: str) -> bool:
+    """Whether a path is a URI that only Spark's file systems open."""
+    return "://" in path and not path.startswith("file:")
+
+
+def scan_store(spark: SparkSession, root: str) -> ScanResult:
+    """The same for a root in any file system that Spark reads.
+
+    Spark lists the folders, many of them in tasks, and nothing of the files is read; totals
+    by extension are added up in Spark.  Such stores have no links; hidden files and empty
+    folders are not listed.
+    """
+    files, place = file_system(spark, root)
+    if not files.exists(place):
+        raise PathNotFoundError(f"no such path: {root}")
+    single = files.getFileStatus(place).isFile()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size_bytes"))
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix = F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
+    totals = listed.groupBy(F.when(suffix == "", NO_EXTENSION).otherwise(suffix).alias("extension")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size"))
+    extensions = [ExtensionCount(r["extension"], r["n"], r["size"]) for r in totals.orderBy(F.desc("n"), "extension").collect()]
+    ignored = lambda path: any(part in IGNORED for part in path[len(top) :].split("/"))
+    top = str(place.toString()) if not single else str(place.getParent().toString())
+    found = [FileInfo(r["path"], r["path"].rpartition("/")[2], extension_of(r["path"].rpartition("/")[2]), r["size_bytes"], False) for r in listed.orderBy("path").toLocalIterator() if not ignored(r["path"])]
+    folders = {f.path.rpartition("/")[0] for f in found} | {top}
+    return ScanResult(top, found, extensions, len(folders), sum(f.size_bytes for f in found), [], [], [], [] if single else build_tree(found, top))
+
+
+def head_of(path: str, n: int) -> str:
+    """The first bytes of a file as text."""
+    if not in_store(path):
+        with open(path, "rb") as source:
+            return source.read(n).decode("utf-8", "replace")
+    files, place = file_system(SparkSession.active(), path)
+    stream = files.open(place)
+    try:
+        return bytes(stream.readNBytes(n)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def scan_directory(root: str) -> ScanResult:
     """Files below a folder, or one file. Hidden files are listed apart; links are listed and counted, never followed."""
+    if in_store(root):
+        return scan_store(SparkSession.active(), root)
     top = Path(unquote(urlparse(root).path) if root.startswith("file:") else root).expanduser()
     if not top.exists():
         raise PathNotFoundError(f"no such path: {root}")
@@ -161,8 +206,7 @@ def classification_confidence(scan: ScanResult, images: list[FileInfo]) -> float
 def json_confidence(files: list[FileInfo]) -> float:
     for f in files:
         try:
-            with open(f.path, encoding="utf-8", errors="replace") as source:
-                head = source.read(4096).lstrip()
+            head = head_of(f.path, 4096).lstrip()
         except OSError:
             continue
         if head.startswith("["):

@@ -14,7 +14,7 @@ from quarrylens.model import NUMBERS, AnalysisMode, Dataset, DatasetField, Field
 from quarrylens.plans.passes import distinct_counts, value_counts
 from quarrylens.sources.delimited import text_cells, typed_csv
 from quarrylens.sources.sampling import exact_sample
-from quarrylens.sources.scan import IMAGE_EXTENSIONS
+from quarrylens.sources.scan import IMAGE_EXTENSIONS, head_of
 
 FEW_ROWS = 10_000  # of which examples are taken from all rows
 SPLIT_TOKENS = ("validation", "train", "test", "val", "dev")  # fixed values, longer before shorter
@@ -51,7 +51,8 @@ def describe(df: DataFrame, scan: ScanResult, source_format: str, paths: list[st
         fields.append(DatasetField(c, kind, counts[c]["missing_count"] > 0, list(samples[i] or [])))
     if splits:
         capabilities.add("splits")
-    size = sum(os.path.getsize(p) for p in paths if os.path.exists(p))
+    sizes = {f.path: f.size_bytes for f in scan.files}
+    size = sum(sizes.get(p, 0) for p in paths)
     mode = AnalysisMode.SAMPLE if sample_size else AnalysisMode.FULL
     return Dataset(Modality.TABULAR, source_format, scan.root, total, size, fields, splits or {}, classes, capabilities, mode, min(sample_size, total) if sample_size else None, df)
 
@@ -90,8 +91,7 @@ def load_json(spark: SparkSession, scan: ScanResult, sample_size: int | None = N
     if not files:
         raise LoaderError("no JSON file")
     main = largest(files)
-    with open(main.path, encoding="utf-8", errors="replace") as source:
-        head = source.read(1 << 16).lstrip()
+    head = head_of(main.path, 1 << 16).lstrip()
     if not head:
         raise LoaderError(f"{main.name} is empty")
     if head[0] not in "[{":

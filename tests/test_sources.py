@@ -15,7 +15,7 @@ from quarrylens.__main__ import main
 from quarrylens.engine import analyze
 from quarrylens.model import FieldType, PathNotFoundError, UnsupportedFormatError
 from quarrylens.operators.images import chunks_for, hamming_pairs, header, perceptual_hash
-from quarrylens.sources.scan import detect_format, scan_directory
+from quarrylens.sources.scan import detect_format, head_of, scan_directory, scan_store
 from quarrylens.streaming.progress import updates
 
 
@@ -200,3 +200,27 @@ def test_reports_escape_and_command_line(spark, tmp_path, capsys):
     assert main(["analyze", str(tmp_path / "none")], spark) == 1
     *_, last = updates(lambda tell: analyze(spark, str(tmp_path / "d"), progress=tell))
     assert last.dataset.num_samples == 2
+
+
+def test_stores_are_listed_as_folders_are(spark, tmp_path):
+    put(tmp_path, "d/train/a.csv", "n,t\n1,x\n2,y\n")
+    put(tmp_path, "d/train/deep/b.CSV", "n,t\n1,x\n")
+    put(tmp_path, "d/plain", "z")
+    put(tmp_path, "d/e.json", '{"a": 1}\n')
+    put(tmp_path, "d/node_modules/c.js", "z")
+    ours, walked = scan_store(spark, f"file://{tmp_path}/d"), scan_directory(str(tmp_path / "d"))
+    plain = lambda path: path.removeprefix("file:").replace("//", "/")
+    assert sorted((plain(f.path), f.name, f.extension, f.size_bytes) for f in ours.files) == sorted((f.path, f.name, f.extension, f.size_bytes) for f in walked.files)
+    assert ours.total_size == walked.total_size and ours.tree.file_count == walked.tree.file_count == 4
+    assert [(e.extension, e.count) for e in ours.extensions if e.extension != ".js"] == [(e.extension, e.count) for e in walked.extensions]
+    one = scan_store(spark, f"file://{tmp_path}/d/train/a.csv")
+    assert [f.name for f in one.files] == ["a.csv"] and head_of(f"{tmp_path}/d/e.json", 4) == '{"a"'
+    with pytest.raises(PathNotFoundError):
+        scan_store(spark, f"file://{tmp_path}/none")
+
+
+def test_a_root_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    put(tmp_path, "train.csv", "n,t\n1,x\n2,y\n")
+    monkeypatch.setattr("quarrylens.sources.scan.in_store", lambda path: "://" in path or path.startswith("file:"))
+    report = analyze(spark, f"file://{tmp_path}")
+    assert report.dataset.num_samples == 2 and report.dataset.splits == {"train": 2} and report.dataset.total_size_bytes == 12
