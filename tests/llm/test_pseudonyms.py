@@ -151,7 +151,7 @@ def test_every_day_links_in_every_spelling(spark):
     day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
     forms = {"y": "yyyy-MM-dd", "d": "dd/MM/yyyy", "p": "dd.MM.yyyy", "m": "MM/dd/yyyy"}
     moved = lambda f: pii.pseudonym(F.date_format(day, f), F.lit("date"), KEY)
-    out = spark.range(0, 73_049, 1, 8).select("id", (F.dayofmonth(day) > 12).alias("late"), *[F.to_date(moved(f), f).alias(k) for k, f in forms.items() if k != "m"], F.when(F.dayofmonth(day) > 12, moved(forms["m"])).alias("m"))
+    out = spark.range(0, 73_049, 1, 8).select("id", (F.dayofmonth(day) > 12).alias("late"), *[F.to_date(moved(f), f).alias(k) for k, f in forms.items() if k != "m"], F.when(F.dayofmonth(day) > 12, moved(forms["m"])).alias("m")).cache()  # else every use below works a pseudonym out again
     read = F.to_date("m", forms["m"])
     checks = out.agg(
         F.count("*").alias("days"), F.count_distinct("y").alias("different"), F.count_if((F.col("y") == F.col("d")) & (F.col("y") == F.col("p"))).alias("linked"),
