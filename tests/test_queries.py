@@ -40,3 +40,9 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 11
+
+
+def test_examples_orders_gives_whole_rows(spark, duck):
+    shown = queries.queries()["examples_orders"](spark, TABLES)
+    assert shown.columns == [r[0] for r in duck.execute("DESCRIBE orders").fetchall()] and shown.count() == 20
+    assert [r["o_orderkey"] for r in shown.collect()] == [r[0] for r in duck.execute("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20").fetchall()]

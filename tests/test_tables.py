@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.engine import profile
+from quarrylens.engine import example_rows, profile
 from quarrylens.functions.exprs import blank
 from quarrylens.operators import relations, tables, texts
 from quarrylens.plans import passes
@@ -163,3 +163,12 @@ def test_profile_of_a_small_staff_table(spark):
 def test_profile_of_an_empty_table(spark):
     report = profile(spark.createDataFrame([], "a int, b string"))
     assert all(r.status in ("success", "skipped") for r in report.results), [r.error_message for r in report.results]
+
+
+def test_example_rows_are_whole_and_in_order(spark):
+    df = spark.range(300).repartition(5).select((F.lit(299) - F.col("id")).alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    data = profile(df).dataset
+    shown = example_rows(data, ["key"])
+    assert shown.schema == df.schema
+    assert [tuple(r) for r in shown.collect()] == [(k, dt.date(2024, 1, 1) + dt.timedelta(days=299 - k)) for k in range(20)]
+    assert example_rows(data).count() == 20
