@@ -13,6 +13,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ NEAR_BITS = 8
 LEAK_SPLITS = ("train", "training", "test", "testing", "val", "validation")
 THUMBNAIL = 256
 MOST_PROBES = 5_000  # values that a hash probes in one chunk
+BLOCK = 32_768  # hashes compared with as many others in one piece of work
+LEAST_BLOCKS, SMALL_BLOCK = 8, 1_024  # blocks of fewer hashes, as far as these are enough to share out
+STRIP = 16  # hashes whose distances to a block are held at once
+PAIRS_A_PROBE = 200  # comparisons within blocks that take as long as one row probed in the index
 
 
 # ---------------------------------------------------------------- bytes and pixels
@@ -199,23 +204,70 @@ def chunks_for(max_bits: int, n: int) -> list[tuple[int, int, int]]:
 def hamming_pairs(hashes: DataFrame, max_bits: int = NEAR_BITS) -> DataFrame:
     """hashes (id, hash) -> (id_a, id_b, distance) with 1 <= distance <= max_bits, id_a the smaller.
 
-    Equal hashes are one entry of an index by the values of their chunks; every entry probes
-    the values within each chunk's radius of its own.  No pair is missed, and a pair of
-    hashes meets only under values that nearly agree in some chunk.
+    Equal hashes are one entry.  Either entries meet in an index by chunks, or all are compared
+    in blocks, whichever is less work for so many entries: chunks of few bits hardly tell
+    hashes apart at large distances.  No pair is missed either way.
     """
     entries = save(hashes.groupBy("hash").agg(F.count("*").alias("n")).select("hash"), "hashes")
-    index = chunks_for(max_bits, entries.count())
+    n = entries.count()
+    near = index_pairs(entries, n, max_bits) if by_index(n, max_bits) else block_pairs(entries, n, max_bits)
+    a, b = (hashes.select(F.col("hash").alias(name), F.col("id").alias(f"id_{name}")) for name in ("probe", "hash"))
+    pairs = near.join(a, "probe").join(b, "hash")
+    return pairs.select(F.least("id_probe", "id_hash").alias("id_a"), F.greatest("id_probe", "id_hash").alias("id_b"), "distance")
+
+
+def by_index(n: int, max_bits: int) -> bool:
+    """Whether probing n entries in the index is less work than comparing all of them."""
+    probes = [(sum(comb(bits, r) for r in range(radius + 1)), bits) for _, bits, radius in chunks_for(max_bits, n)]
+    return PAIRS_A_PROBE * sum(p + n * p / 2.0**bits for p, bits in probes) < n / 2
+
+
+def index_pairs(entries: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(probe, hash, distance) of n different hashes, each pair once with probe < hash.
+
+    An index by the values of their chunks; every entry probes the values within each chunk's
+    radius of its own, so hashes meet only under values that nearly agree in some chunk.
+    """
+    index = chunks_for(max_bits, n)
     value = lambda first, bits: F.shiftrightunsigned("hash", first).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
     kept = entries.select("hash", F.inline(F.array(*[F.struct(F.lit(k).alias("chunk"), value(first, bits).alias("value")) for k, (first, bits, _) in enumerate(index)])))
     masks = [(k, sum(1 << b for b in flips)) for k, (_, bits, radius) in enumerate(index) for r in range(radius + 1) for flips in combinations(range(bits), r)]
-    table = hashes.sparkSession.createDataFrame([(k, mask - (1 << 64) if mask >> 63 else mask) for k, mask in masks], "chunk int, mask long")  # some hundred rows, MOST_PROBES a chunk at most
+    table = entries.sparkSession.createDataFrame([(k, mask - (1 << 64) if mask >> 63 else mask) for k, mask in masks], "chunk int, mask long")  # some hundred rows, MOST_PROBES a chunk at most
     probed = kept.join(F.broadcast(table), "chunk").select(F.col("hash").alias("probe"), "chunk", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     met = probed.join(kept, ["chunk", "value"]).where("probe < hash")
     distance = F.bit_count(F.col("probe").bitwiseXOR(F.col("hash")))
-    near = met.where(distance <= max_bits).select("probe", "hash", distance.alias("distance")).distinct()
-    a, b = (hashes.select(F.col("hash").alias(name), F.col("id").alias(f"id_{name}")) for name in ("probe", "hash"))
-    pairs = near.join(a, "probe").join(b, "hash")
-    return pairs.select(F.least("id_probe", "id_hash").alias("id_a"), F.greatest("id_probe", "id_hash").alias("id_b"), "distance")
+    return met.where(distance <= max_bits).select("probe", "hash", distance.alias("distance")).distinct()
+
+
+def block_pairs(entries: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """The same by comparing every two of n different hashes, a block with another at a time.
+
+    Work grows with the square of n, at some 2 ns a pair; a task holds two blocks and some
+    rows of distances, whatever n.  Blocks are dealt by hash, every two of them once.
+    """
+    blocks = max(-(-n // BLOCK), min(LEAST_BLOCKS, n // SMALL_BLOCK), 1)
+    cells = blocks * (blocks + 1) // 2
+    dealt = save(entries.groupBy(F.pmod(F.xxhash64("hash"), F.lit(blocks)).alias("block")).agg(F.collect_list("hash").alias("hashes")), "hash-blocks")
+    one = dealt.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("b"), F.col("hashes").alias("one"))
+    other = dealt.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("a"), F.col("block").alias("b"), F.col("hashes").alias("other"))
+    met = one.join(other, ["a", "b"]).repartition(cells)  # each two blocks are a task's work
+
+    def compare(batches):
+        for batch in batches:
+            for same, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                for at in range(0, len(a), STRIP):
+                    strip = a[at : at + STRIP]
+                    against = b[at:] if same else b
+                    distance = np.bitwise_count((strip[:, None] ^ against).view(np.uint64))  # of signed numbers it counts the absolute value's bits
+                    i, j = np.divmod(np.flatnonzero(distance <= max_bits), max(len(against), 1))
+                    if same:
+                        i, j = i[i < j], j[i < j]
+                    if len(i):
+                        x, y = strip[i], against[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(distance[i, j].astype(np.int32))], ["probe", "hash", "distance"])
+
+    return met.select((F.col("a") == F.col("b")).alias("same"), "one", "other").mapInArrow(compare, "probe long, hash long, distance int")
 
 
 def leaks(hashes: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from quarrylens import reports
 from quarrylens.__main__ import main
 from quarrylens.engine import analyze
 from quarrylens.model import FieldType, PathNotFoundError, UnsupportedFormatError
-from quarrylens.operators.images import chunks_for, hamming_pairs, header, perceptual_hash
+from quarrylens.operators import images
+from quarrylens.operators.images import block_pairs, by_index, chunks_for, hamming_pairs, header, index_pairs, perceptual_hash
 from quarrylens.sources.scan import detect_format, head_of, scan_directory, scan_store
 from quarrylens.streaming.progress import updates
 
@@ -178,6 +179,30 @@ def test_hamming_index_equals_all_pairs(spark, max_bits):
     assert {tuple(r) for r in hamming_pairs(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long"), max_bits).collect()} == plain and plain
 
 
+@pytest.mark.parametrize("block", [90, 1 << 15])
+def test_hash_blocks_and_index_give_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(images, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(-(2**63), 2**63, 120))
+    near = base[:, None] ^ (np.int64(1) << rng.integers(0, 63, (len(base), 12))).cumsum(1)[:, ::4]
+    hashes = np.unique(np.append(base, [near.ravel(), [0] * near.size, [-1] * near.size]))
+    distance = np.bitwise_count((hashes[:, None] ^ hashes).view(np.uint64))
+    plain = {(int(hashes[i]), int(hashes[j]), int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= 8)) if i < j}
+    entries = spark.createDataFrame([(int(h),) for h in hashes], "hash long")
+    for found in (block_pairs(entries, len(hashes), 8), index_pairs(entries, len(hashes), 8)):
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(plain) and set(rows) == plain
+
+
+def test_few_and_no_hashes_have_no_pairs(spark):
+    assert [hamming_pairs(spark.createDataFrame(rows, "id long, hash long"), 17).count() for rows in ([], [(1, 5)], [(1, 5), (2, 5)])] == [0, 0, 0]
+
+
+def test_wide_distances_are_compared_in_blocks():
+    """At 17 bits the index would probe over 1,000 values a hash; at 8 bits it is less work for many hashes."""
+    assert not any(by_index(n, 17) for n in (10**3, 10**5, 10**6)) and by_index(10**7, 8) and not by_index(10**4, 8)
+
+
 def test_hamming_chunks_shrink_candidates():
     for n in (10**3, 10**5, 10**7, 10**9):
         chunks = chunks_for(8, n)
