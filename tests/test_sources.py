@@ -10,13 +10,13 @@ from math import comb
 import numpy as np
 import pytest
 
-from quarrylens import reports
+from quarrylens import queries, reports
 from quarrylens.__main__ import main
 from quarrylens.engine import analyze
 from quarrylens.model import FieldType, PathNotFoundError, UnsupportedFormatError
 from quarrylens.operators import images
 from quarrylens.operators.images import block_pairs, by_index, chunks_for, hamming_pairs, header, index_pairs, perceptual_hash
-from quarrylens.sources.scan import detect_format, head_of, scan_directory, scan_store
+from quarrylens.sources.scan import detect_format, head_of, scan_directory, scan_store, tables_of
 from quarrylens.streaming.progress import updates
 
 
@@ -110,6 +110,25 @@ def test_csv_integers_widen_for_late_cells(spark, tmp_path):
     assert data.data.where("a = 1.5 AND b = 5000000000 AND c = 'x'").count() == 500
 
 
+def test_part_files_of_many_tasks_are_one_table(spark, tmp_path):
+    df = spark.range(4000).repartition(6).selectExpr("id", "CASE WHEN id % 3 = 0 THEN concat('a \"b\", c\n', id) ELSE concat('t', id) END AS note", "CASE WHEN id = 3999 THEN 'late' ELSE string(id % 7) END AS mixed")
+    for kind in ("csv", "json"):
+        df.write.format(kind).options(**({"header": "true", "escape": '"'} if kind == "csv" else {})).save(str(tmp_path / kind))
+        scan = scan_directory(str(tmp_path / kind))
+        data = analyze(spark, str(tmp_path / kind)).dataset
+        assert len(scan.with_extensions(f".{kind}")) == 6 and data.num_samples == 4000 and data.splits == {}
+        assert sorted(tuple(r) for r in data.data.select("id", "note", "mixed").collect()) == sorted(tuple(r) for r in df.collect())
+    assert detect_format(scan_directory(str(tmp_path / "csv"))).selected.confidence == 0.95
+    put(tmp_path, "csv/other.csv", "n\n1\n")
+    assert [len(own) for own in tables_of(scan_directory(str(tmp_path / "csv")).with_extensions(".csv"))] in ([1, 6], [6, 1])
+    assert analyze(spark, str(tmp_path / "csv")).dataset.num_samples == 4000
+
+
+def test_source_queries_write_a_file_a_task(spark):
+    folder = queries._written(spark, spark.range(900).repartition(9), "csv", header="true")
+    assert len(scan_directory(folder).with_extensions(".csv")) == 9
+
+
 @pytest.mark.parametrize(("name", "text"), [("a.json", '[{"z": 1, "a": "x"}, {"z": 2, "a": "y"}]'), ("a.json", ' {"z": 1, "a": "x"}\n{"z": 2, "a": "y"}\n'), ("a.jsonl", '{"z": 1, "a": "x"}\nnot json\n{"z": 2, "a": "y"}\n')])
 def test_json_keeps_column_order_and_skips_bad_lines(spark, tmp_path, name, text):
     put(tmp_path, name, text)
