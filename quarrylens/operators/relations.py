@@ -16,7 +16,7 @@ from quarrylens.functions.types import columns_of
 from quarrylens.model import NUMBERS, Chart, Dataset, FieldType
 from quarrylens.operators.base import Analyzer, graded, info, register, rows_of, warning
 from quarrylens.plans.passes import in_order, quartiles
-from quarrylens.plans.shared import save
+from quarrylens.plans.shared import save, short_methods
 
 TILE = 256  # columns; a tile pair is half a megabyte
 TILES_A_SCAN = 64
@@ -50,21 +50,28 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def _gram(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Products of centred columns, a tile of columns against another, added up by cell.
 
-    One scan gives the means; then every task holds the tiles of one share of the tile
-    pairs and sends each cell once.  Wider tables take more scans, not more memory.
+    One scan: every task centres the tiles of one share of the tile pairs on its own means
+    and sends each cell once; what means of tasks are apart from those of the table is added
+    to the cells.  Wider tables take more scans, not more memory.
     """
+    spark = rows.sparkSession
     plain = rows.toDF(*[f"c{k}" for k in range(len(columns))])
-    sums = plain.mapInArrow(_column_sums, "k int, n long, total double, low double, high double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
-    centre, constant = np.zeros(len(columns)), [True] * len(columns)  # without rows all are constant
-    for r in sums.collect():  # a row a column
-        centre[r["k"]], constant[r["k"]] = r["total"] / r["n"], r["low"] == r["high"]
     tiles = [(k, min(k + TILE, len(columns))) for k in range(0, len(columns), TILE)]
     pairs = [(a, b) for a in tiles for b in tiles if a <= b]
-    cells = None
+    parts = None
     for at in range(0, len(pairs), TILES_A_SCAN):
-        own = plain.mapInArrow(_tile_products(pairs[at : at + TILES_A_SCAN], centre), "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
-        cells = own if cells is None else cells.unionByName(own)
-    cells = save(cells, "gram")
+        own = plain.mapInArrow(_tile_products(pairs[at : at + TILES_A_SCAN]), "a int, b int, s double, n long, mean_a double, mean_b double, low double, high double")
+        parts = own if parts is None else parts.unionByName(own)
+    with short_methods(spark):
+        parts = save(parts, "gram-parts")
+    whole = parts.where("a = b").groupBy("a").agg((F.sum(F.col("n") * F.col("mean_a")) / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"))
+    centre, constant = [0.0] * len(columns), [True] * len(columns)  # without rows all are constant
+    for r in whole.collect():  # a row a column
+        centre[r["a"]], constant[r["a"]] = r["mean"], r["low"] == r["high"]
+    means = spark.createDataFrame(list(enumerate(map(float, centre))), "k int, mean double")
+    of_a, of_b = (F.broadcast(means.select(F.col("k").alias(k), F.col("mean").alias(f"centre_{k}"))) for k in ("a", "b"))
+    apart = F.col("n") * (F.col("mean_a") - F.col("centre_a")) * (F.col("mean_b") - F.col("centre_b"))
+    cells = save(parts.join(of_a, "a").join(of_b, "b").groupBy("a", "b").agg(F.sum(F.col("s") + apart).alias("s")), "gram")
     size = cells.where("a = b").select(F.col("a").alias("k"), F.sqrt("s").alias("norm"))
     names = rows.sparkSession.createDataFrame([(k, c, constant[k]) for k, c in enumerate(columns)], "k int, name string, constant boolean").join(F.broadcast(size), "k", "left")  # a row a column
     one, other = (F.broadcast(names.select(F.col("k").alias(k), F.col("name").alias(f"column_{k}"), F.col("norm").alias(f"norm_{k}"), F.col("constant").alias(f"constant_{k}"))) for k in ("a", "b"))
@@ -85,30 +92,35 @@ def _complete(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch if there is None else batch.filter(there)
 
 
-def _column_sums(batches):
-    n, total, low, high = 0, 0.0, np.inf, -np.inf
-    for batch in map(_complete, batches):
-        if batch.num_rows:
-            x = np.stack([c.to_numpy() for c in batch.columns])
-            n, total, low, high = n + batch.num_rows, total + x.sum(1), np.minimum(low, x.min(1)), np.maximum(high, x.max(1))
-    if n:
-        width = len(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, n)), pa.array(total), pa.array(low), pa.array(high)], ["k", "n", "total", "low", "high"])
-
-
-def _tile_products(pairs: list[tuple[tuple[int, int], tuple[int, int]]], centre: np.ndarray):
+def _tile_products(pairs: list[tuple[tuple[int, int], tuple[int, int]]]):
+    """Cells of a task: products of columns centred on their means in it, these means, and the bounds of column a."""
     wanted = sorted({tile for pair in pairs for tile in pair})
 
     def run(batches):
         total = [np.zeros((a[1] - a[0], b[1] - b[0])) for a, b in pairs]
+        n, mean = 0, {t: np.zeros(t[1] - t[0]) for t in wanted}
+        low, high = ({t: np.full(t[1] - t[0], end) for t in wanted} for end in (np.inf, -np.inf))
         for batch in map(_complete, batches):
-            x = {t: np.stack([batch.column(k).to_numpy() for k in range(*t)]) - centre[t[0] : t[1], None] for t in wanted}
+            if not batch.num_rows:
+                continue
+            x, step, share = {}, {}, batch.num_rows / (n + batch.num_rows)
+            for t in wanted:
+                x[t] = np.stack([batch.column(k).to_numpy() for k in range(*t)])
+                low[t], high[t] = np.minimum(low[t], x[t].min(1)), np.maximum(high[t], x[t].max(1))
+                own = x[t].mean(1)
+                x[t] -= own[:, None]
+                step[t] = own - mean[t]
+                mean[t] = mean[t] + step[t] * share
             for own, (a, b) in zip(total, pairs):
-                own += x[a] @ x[b].T
-        for own, (a, b) in zip(total, pairs):
+                own += x[a] @ x[b].T + n * share * np.outer(step[a], step[b])
+            n += batch.num_rows
+        for own, (a, b) in zip(total, pairs) if n else ():
             i, j = np.meshgrid(np.arange(*a, dtype=np.int32), np.arange(*b, dtype=np.int32), indexing="ij")
             kept = i <= j
-            yield pa.RecordBatch.from_arrays([pa.array(i[kept]), pa.array(j[kept]), pa.array(own[kept])], ["a", "b", "s"])
+            i, j = i[kept], j[kept]
+            of_a = i - a[0]
+            columns = [i, j, own[kept], np.full(len(i), n), mean[a][of_a], mean[b][j - b[0]], low[a][of_a], high[a][of_a]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "s", "n", "mean_a", "mean_b", "low", "high"])
 
     return run
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,24 @@ def test_example_rows_are_whole_and_in_order(spark):
     assert shown.schema == df.schema
     assert [tuple(r) for r in shown.collect()] == [(k, dt.date(2024, 1, 1) + dt.timedelta(days=299 - k)) for k in range(20)]
     assert example_rows(data).count() == 20
+
+
+def test_wide_correlation_is_one_scan_and_keeps_its_digits(spark):
+    """Values far from zero in partitions whose means are far apart, a constant and a null."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    base = spark.range(3000, numPartitions=5).selectExpr("id", *[f"1e9 + id % {7 + k} + CASE WHEN id > 1500 THEN {k} * 1e3 ELSE 0 END AS x{k}" for k in range(13)], "CASE WHEN id <> 5 THEN id * 1.0D END AS gap", "2.0D AS same")
+    names = base.columns
+    found = {(r["column_a"], r["column_b"]): r["r"] for r in relations.correlation(base.mapInArrow(counted, base.schema), names).collect()}
+    assert runs.value == 3000
+    x = base.dropna().toPandas()[names].to_numpy() - np.array([1e9 if c[0] == "x" else 0 for c in names])
+    with np.errstate(all="ignore"):
+        plain = np.corrcoef(x.T)
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            assert found[a, names[j]] is None if "same" in (a, names[j]) else abs(found[a, names[j]] - plain[i, j]) < 1e-4
