@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from math import isfinite, isinf
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from quarrylens.model import NUMBERS, Chart, Dataset, FieldType
 from quarrylens.operators.base import Analyzer, error, graded, info, register, rows_of, warning
 from quarrylens.plans.heavy import most_frequent
 from quarrylens.plans.passes import distinct_counts, per_column, quartiles
+from quarrylens.plans.shared import save, short_methods
 
 TOP_VALUES = 10
 MAX_BINS = 20
@@ -182,42 +186,87 @@ def top_values(df: DataFrame, columns: list[str], k: int = TOP_VALUES) -> DataFr
     return most_frequent(df, columns, k).join(F.broadcast(total)).select("column_name", "rank", "value", "n", pct(F.col("n"), F.col("total_rows")).alias("pct"))
 
 
-FEW_VALUES = 100  # an estimate above this is far from max_bins; up to it values are counted exactly
-
-
 def histograms(df: DataFrame, columns: list[str], max_bins: int = MAX_BINS) -> DataFrame:
     """column_name, bin, n, range_start, range_end of every column: equal widths over [min, max], the last bin closed, empty bins kept; NaN is left out.
 
     As many bins as distinct values, ``max_bins`` at most; a column without values or with
-    infinite ones has no bins.  Three scans whatever the columns: bounds and estimates of
-    distinct values, exact numbers where these are few, and one count by (column, bin).
+    infinite ones has no bins.  Two scans whatever the columns: bounds with up to
+    ``max_bins`` values of each task, and counts by (column, bin), both in arrays.
     """
+    spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
-    xs = [no_nan(ref(c).cast("double"), types[c]) for c in columns]
-    bounds = df.agg(*[a for k, x in enumerate(xs) for a in (F.min(x).alias(f"low{k}"), F.max(x).alias(f"high{k}"), F.approx_count_distinct(x).alias(f"n{k}"))]).first() if columns else ()
-    there = [k for k in range(len(columns)) if bounds[3 * k] is not None and isfinite(bounds[3 * k]) and isfinite(bounds[3 * k + 1])]
-    few = [k for k in there if bounds[3 * k + 2] <= FEW_VALUES]
-    exact = df.agg(*[F.size(F.collect_set(xs[k])) for k in few]).first() if few else ()
-    bins = {k: max_bins for k in there} | {k: min(max(n, 1), max_bins) for k, n in zip(few, exact)}
+    xs = df.select(*[no_nan(ref(c).cast("double"), types[c]).alias(f"c{k}") for k, c in enumerate(columns)])
+    bounds = {}
+    if columns:
+        with short_methods(spark):
+            found = save(xs.mapInArrow(_bounds(max_bins), "k int, low double, high double, vals array<double>"), "bounds")
+        different = found.select("k", F.explode("vals").alias("x")).groupBy("k").agg(F.count_distinct("x").alias("n"))
+        whole = found.groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(different, "k")
+        bounds = {r["k"]: (r["low"], r["high"], min(r["n"], max_bins)) for r in whole.collect()}  # a row a column
+    there = [k for k in sorted(bounds) if isfinite(bounds[k][0]) and isfinite(bounds[k][1])]
 
     edges, places = [], []
     for k in there:
-        low, high = bounds[3 * k], bounds[3 * k + 1]
+        low, high, bins = bounds[k]
         if low == high:
             low, high = low - 0.5, high + 0.5
-        width = high / bins[k] - low / bins[k] if isinf(high - low) else (high - low) / bins[k]
-        edge = lambda b, low=low, width=width: F.lit(low) + b * F.lit(width)
-        guess = F.least(F.floor((xs[k] - F.lit(low)) / F.lit(width)), F.lit(bins[k] - 1)).cast("long")
-        settled = F.when(xs[k] < edge(guess), guess - 1).when((xs[k] >= edge(guess + 1)) & (guess < bins[k] - 1), guess + 1).otherwise(guess)
-        places.append(F.struct(F.lit(k).alias("position"), F.when(xs[k].isNotNull(), settled).alias("bin")))
-        edges += [(k, columns[k], b, low + b * width, high if b == bins[k] - 1 else low + (b + 1) * width) for b in range(bins[k])]
-    every = df.sparkSession.createDataFrame(edges, "position int, column_name string, bin long, range_start double, range_end double")
+        width = high / bins - low / bins if isinf(high - low) else (high - low) / bins
+        places.append((k, low, width, bins))
+        edges += [(k, columns[k], b, low + b * width, high if b == bins - 1 else low + (b + 1) * width) for b in range(bins)]
+    every = spark.createDataFrame(edges, "position int, column_name string, bin long, range_start double, range_end double")
     if not there:
         return every.select("column_name", "bin", F.lit(0).cast("long").alias("n"), "range_start", "range_end")
-    counted = df.select(F.inline(F.array(*places))).where("bin IS NOT NULL").groupBy("position", "bin").agg(F.count("*").alias("n"))
+    with short_methods(spark):
+        parts = save(xs.select(*[f"c{k}" for k in there]).mapInArrow(_bin_counts(places), "position int, bin long, n long"), "bins")
+    counted = parts.groupBy("position", "bin").agg(F.sum("n").alias("n"))
     return every.join(F.broadcast(counted), ["position", "bin"], "left").select("column_name", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "range_start", "range_end")
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """Neither null nor NaN, and no negative zero."""
+    x = column.drop_null().to_numpy()
+    return x[~np.isnan(x)] + 0.0
+
+
+def _bounds(most: int):
+    """By column of a task: smallest and largest value, and its different values, ``most`` of them if there are as many."""
+
+    def run(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                x = _values(column)
+                if not len(x):
+                    continue
+                own = found.setdefault(k, [np.inf, -np.inf, x[:0]])
+                own[0], own[1] = min(own[0], x.min()), max(own[1], x.max())
+                if len(own[2]) < most:
+                    own[2] = np.union1d(own[2], pc.unique(pa.array(x)).to_numpy())[:most]
+        if found:
+            low, high, values = ([own[i] for own in found.values()] for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(values, pa.list_(pa.float64()))], ["k", "low", "high", "vals"])
+
+    return run
+
+
+def _bin_counts(places: list[tuple[int, float, float, int]]):
+    """Values of a task by column and bin; places: (position, low, width, bins) in order of the columns."""
+
+    def run(batches):
+        total = [np.zeros(bins, np.int64) for *_, bins in places]
+        for batch in batches:
+            for own, column, (_, low, width, bins) in zip(total, batch.columns, places):
+                x = _values(column)
+                with np.errstate(over="ignore"):
+                    guess = np.minimum(np.floor((x - low) / width), bins - 1)
+                    settled = guess - (x < low + guess * width) + ((x >= low + (guess + 1) * width) & (guess < bins - 1))
+                own += np.bincount(settled.astype(np.int64), minlength=bins)
+        for own, (k, *_) in zip(total, places):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(np.arange(len(own))), pa.array(own)], ["position", "bin", "n"])
+
+    return run
+
+
 def histogram(df: DataFrame, column: str, max_bins: int = MAX_BINS) -> DataFrame:
     """bin, n, range_start, range_end of one column."""
     return histograms(df, [column], max_bins).select("bin", "n", "range_start", "range_end")

@@ -194,3 +194,25 @@ def test_wide_correlation_is_one_scan_and_keeps_its_digits(spark):
     for i, a in enumerate(names):
         for j in range(i + 1, len(names)):
             assert found[a, names[j]] is None if "same" in (a, names[j]) else abs(found[a, names[j]] - plain[i, j]) < 1e-4
+
+
+def test_histograms_are_two_scans_and_find_late_values(spark):
+    """A value that only the last partition has, few and many values, nulls, NaN, infinity, a constant and the widest range."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    base = spark.range(2000, numPartitions=4).selectExpr(
+        "id % 7 + CASE WHEN id = 1999 THEN 93 ELSE 0 END AS late", "id * 0.1D AS many", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN double('NaN') ELSE double(id % 2) END AS gaps",
+        "CASE WHEN id = 9 THEN double('Infinity') ELSE 1.0D END AS endless", "2.5D AS same", "CASE WHEN id = 0 THEN -1e308D WHEN id = 1 THEN 1e308D ELSE 0.0D END AS wide", "CAST(NULL AS DOUBLE) AS none",
+    )
+    found: dict[str, list] = {}
+    for r in tables.histograms(base.mapInArrow(counted, base.schema), base.columns).orderBy("column_name", "bin").collect():
+        found.setdefault(r["column_name"], []).append(r["n"])
+    assert runs.value == 4000
+    assert set(found) == {"late", "many", "gaps", "same", "wide"}
+    assert found["late"] == [1999, 0, 0, 0, 0, 0, 0, 1] and found["gaps"] == [333, 333] and found["same"] == [2000] and found["wide"] == [1, 1998, 1]
+    assert found["many"] == [100] * 20
