@@ -20,6 +20,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from struct import pack as pack_numbers
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,11 @@ SPECIAL = 15  # characters of the longest special token that a text may spell
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit numbers."""
+    return pack_numbers(f"<{len(ids)}I", *ids)
+
+
 class Cuts:
     """Where a chunk without blanks may be cut so that its ids are those of the pieces in a row.
 
@@ -103,7 +109,6 @@ class WordIds(dict):
     def __init__(self, encode: Callable[[str], list[int]], cuts: Cuts | None = None):
         self.encode = encode
         self.cuts = cuts
-        self.parts: dict[str, bytes] = {}
         self.room = HELD_BYTES
 
     def _fits(self, chunk: str, ids: bytes) -> bool:
@@ -114,21 +119,24 @@ class WordIds(dict):
         return True
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+        """A part is held as the chunk that it would be, so a plain word in lower case has one entry."""
+        ids = self.get(part)
         if ids is None:
-            ids = np.array(self.encode(part), "<u4").tobytes()
+            ids = little_endian(self.encode(part))
             if self._fits(part, ids):
-                self.parts[part] = ids
+                self[part] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
         if self.cuts and len(chunk) > LONG_CHUNK:
-            return b"".join(np.array(ids, "<u4").tobytes() for ids in self.cuts.pieces(chunk))
+            return b"".join(map(little_endian, self.cuts.pieces(chunk)))
         plain = PLAIN_WORD.fullmatch(chunk)
         if plain and "<|" not in chunk:
             ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+            if chunk in self:
+                return ids
         else:
-            ids = np.array(self.encode(chunk), "<u4").tobytes()
+            ids = little_endian(self.encode(chunk))
         if self._fits(chunk, ids):
             self[chunk] = ids
         return ids
@@ -149,7 +157,7 @@ class WordIds(dict):
                     yield self.document(text[at:first])
                     at = first + 1
                 for ids in self.cuts.pieces(text[at:end]):
-                    yield np.array(ids, "<u4").tobytes()
+                    yield little_endian(ids)
             else:
                 yield self.document(text[at:end])
             at = end

@@ -577,3 +577,15 @@ def test_triples_are_indexed_by_their_sums():
         assert np.array_equal(index.triples, want)
         index.take([int(length)], int(index.counts[length]))
     assert not index.triples.any() and not index.pairs.any()
+
+
+def test_a_plain_word_is_held_once_and_encoded_once():
+    from quarrylens.llm.packing import WordIds
+
+    asked = []
+    ids = WordIds(lambda s: asked.append(s) or [len(s), 7])
+    once = lambda n: n.to_bytes(4, "little") + (7).to_bytes(4, "little")
+    assert [ids[w] for w in ("word", "Word", "word,", ",")] == [once(4), once(4), once(4) + once(1), once(1)]
+    assert asked == ["word", ","] and set(ids) == {"word", "Word", "word,", ","}
+    room = ids.room
+    assert ids["other"] == once(5) and room - ids.room == 4 * 5 + 8 + 200
