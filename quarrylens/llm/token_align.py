@@ -6,17 +6,15 @@ which a look through both vocabularies shows that no entry reaches over the cut:
 tokens of a text are then those of its segments in a row (``safe_breaks``).
 
 1. Distinct segments are counted, by tasks first and then by segment.
-2. Every segment that several documents hold is tokenised and aligned once: groups between
-   the byte offsets where tokens of both end, and links, the pairs of A and B tokens whose
-   bytes overlap.  A segment of a single document is aligned with that document.
-3. Alignments return to the documents.  The most frequent segments, as many as a fixed
-   budget of bytes holds, go to every worker; a document's other segments are joined by
-   hash, and gathered per document, so no more than a document meets in one place.  An
-   alignment travels as its tokens, whose bytes give the segment, groups and links again.
-4. Documents are composed, and each counts its distinct pairs; pairs are added up by tasks
-   and then over all documents.  Sums over links come from the segments' sums for the
-   frequent ones, which a document keeps by number and count, and for others from a join
-   of the documents' own pairs.
+2. The most frequent segments, as many as a fixed budget of bytes holds, are tokenised and
+   aligned once and go to every worker: groups between the byte offsets where tokens of
+   both end, and links, the pairs of A and B tokens whose bytes overlap.
+3. Documents are composed, some at once: their other segments, few each, are tokenised and
+   aligned together there and then, which costs less than a further pass over the texts to
+   name them and a join to bring their alignments back.  Each document counts its distinct
+   pairs; pairs are added up by tasks and then over all documents.
+4. Sums over links come from the segments' sums for the frequent ones, which a document
+   keeps by number and count, and for others from a join of the documents' own pairs.
 
 Defined cases: a text that is null, empty, or whose joined A or B bytes are not a space and
 the text (one that holds U+2581) has no tokens: zeros, an empty digest, and no part in the
@@ -39,12 +37,10 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.store import save
+from quarrylens.llm.store import save, shuffle_width
 
 BREAKS = " \n\t"  # characters that segments may start with, if the vocabularies allow
 SPACE = "▁"
@@ -52,7 +48,8 @@ BLOCK_CHARS = 1 << 18
 #: Fixed value: how a byte-level BPE of this kind cuts a text before it merges.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FREQUENT_SEGMENTS, FREQUENT_BYTES = 300_000, 40 << 20  # what every worker holds: segments, and bytes of them
-TOGETHER = 20_000  # segments of documents whose new ones are aligned at once
+TOGETHER = 60_000  # segments, or 16 characters each, of documents whose new ones are aligned at once
+BATCH_ROWS = 2_000  # documents composed before they are sent on
 HELD_ENTRIES = 200_000  # of a task's counts of pairs before it sends them on
 HELD_SEGMENTS = 600_000  # the same of segments
 BROADCAST_PAIRS = 1_000_000  # pairs, 24 bytes each, that may be broadcast
@@ -90,6 +87,7 @@ class Tokenizers:
             self.a_bytes[k] = bytes(map(alphabet.__getitem__, entry))
         self.b_bytes = [piece_bytes(self.b.id_to_piece(k)) if not self.b.is_control(k) else b"" for k in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array(list(map(len, entries))) for entries in (self.a_bytes, self.b_bytes))
+        self.decimal = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.ranked = ranks_of(a_path, self.a_bytes)
         self.alone = self.b.piece_to_id(SPACE)
         self.breaks = safe_breaks(self.a_bytes, self.b_bytes)
@@ -106,18 +104,32 @@ class Tokenizers:
         found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [[self.alone] if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(segments, found)]
 
-    def whole(self, segments: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
-        """Whether both give each segment's bytes back; all at once, and one by one only if some do not."""
-        raw = [s.encode() for s in segments]
-        for entries, ids in ((self.a_bytes, a), (self.b_bytes, b)):
-            size = self.a_size if entries is self.a_bytes else self.b_size
+    def tokens(self, segments: list[str]) -> tuple[np.ndarray, Tokens]:
+        """Whether both give each segment's bytes back, and the tokens of those where they do."""
+        raw, whole, sides = [s.encode() for s in segments], np.ones(len(segments), bool), []
+        raw_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        for entries, size, ids in ((self.a_bytes, self.a_size, self.encode_a(segments)), (self.b_bytes, self.b_size, self.encode_b(segments))):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
             upto = np.concatenate([[0], np.cumsum(size[flat])])[np.cumsum(n)]
-            if (upto != np.cumsum([len(r) for r in raw])).any() or b"".join(map(entries.__getitem__, flat.tolist())) != b"".join(raw):
-                join = lambda entries, ids: b"".join(map(entries.__getitem__, ids))
-                return np.array([join(self.a_bytes, x) == r == join(self.b_bytes, y) for r, x, y in zip(raw, a, b)], bool)
-        return np.ones(len(raw), bool)
+            # All at once, and one by one only if some do not.
+            if (upto != raw_ends).any() or b"".join(map(entries.__getitem__, flat.tolist())) != b"".join(raw):
+                whole &= np.fromiter((b"".join(map(entries.__getitem__, x)) == r for x, r in zip(ids, raw)), bool, len(raw))
+            sides += [flat, n]
+        a, n_a, b, n_b = sides
+        if not whole.all():
+            a, n_a, b, n_b = a[np.repeat(whole, n_a)], n_a[whole], b[np.repeat(whole, n_b)], n_b[whole]
+        return whole, Tokens(a, n_a, b, n_b)
+
+
+@dataclass
+class Tokens:
+    """Ids of segments in a row, and how many each has, by A and by B."""
+
+    a: np.ndarray
+    n_a: np.ndarray
+    b: np.ndarray
+    n_b: np.ndarray
 
 
 def ranks_of(a_path: str, a_bytes: list[bytes]):
@@ -178,10 +190,6 @@ class Segmenter:
             at = end
 
 
-def segment_hash(segment: str) -> int:
-    return (xxhash.xxh3_64_intdigest(segment.encode()) + (1 << 63) & (1 << 64) - 1) - (1 << 63)
-
-
 # ---------------------------------------------------------------- alignment of segments
 
 
@@ -203,16 +211,11 @@ class Alignments:
         return self.links[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.ends[at] - upto, n)], n
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
-
-
-def alignments(t: Tokenizers, a_ids: list[bytes], b_ids: list[bytes]) -> Alignments:
-    """Aligns segments whose A and B tokens, packed, have the same bytes; all of them in one go as if they were one text."""
-    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) >> 2 for ids in (a_ids, b_ids))
+def alignments(t: Tokenizers, tokens: Tokens) -> Alignments:
+    """Aligns segments whose A and B tokens have the same bytes; all of them in one go as if they were one text."""
+    a, n_a, b, n_b = tokens.a, tokens.n_a, tokens.b, tokens.n_b
     if not len(n_a):
         return Alignments([], n_a, n_b, n_a, n_a, n_a)
-    a, b = (np.frombuffer(b"".join(ids), "<i4").astype(np.int64) for ids in (a_ids, b_ids))
     a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
     both = np.intersect1d(a_ends, b_ends, assume_unique=True)
     segment_ends = a_ends[np.cumsum(n_a) - 1]
@@ -225,7 +228,7 @@ def alignments(t: Tokenizers, a_ids: list[bytes], b_ids: list[bytes]) -> Alignme
     behind[:-1][side[:-1] == side[1:]] = 0
     behind[:-1][(side[:-1] % 2 == 0) & (side[1:] == side[:-1] + 1)] = 1
     behind[np.cumsum(n_a + n_b) - 1] = 3
-    text = "".join(chain.from_iterable(zip(map(str, np.concatenate([a, b])[order].tolist()), map(",|;\n".__getitem__, behind.tolist()))))
+    text = "".join(chain.from_iterable(zip(map(t.decimal.__getitem__, np.concatenate([a, b])[order].tolist()), map(",|;\n".__getitem__, behind.tolist()))))
 
     # A token's links: from the B token that holds its first byte to the one that holds its last.
     first, last = np.searchsorted(b_ends, a_ends - t.a_size[a], "right"), np.searchsorted(b_ends, a_ends)
@@ -246,23 +249,20 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 ALIGNED = pa.schema(
-    [("h", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())]
+    [("segment", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("ok", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))]
 )
-ALIGNED_SQL = "h long, segment string, n long, size long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>, a binary, b binary"
+ALIGNED_SQL = "segment string, n long, size long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"
 
 
 def aligned_segments(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """counted (segment, n) with hash and alignment; ok is false, and the alignment empty, where a tokenizer does not give the segment's bytes back."""
+    """counted (segment, n) with alignment; ok is false, and the alignment empty, where a tokenizer does not give the segment's bytes back."""
 
     def run(batches):
         t = tokenizers(a_path, b_path)
         for batch in batches:
             segments = batch.column(0).to_pylist()
-            a_ids, b_ids = t.encode_a(segments), t.encode_b(segments)
-            ok = t.whole(segments, a_ids, b_ids)
-            good = np.flatnonzero(ok)
-            a_packed, b_packed = list(map(packed, a_ids)), list(map(packed, b_ids))
-            found = alignments(t, [a_packed[k] for k in good], [b_packed[k] for k in good])
+            ok, tokens = t.tokens(segments)
+            good, found = np.flatnonzero(ok), alignments(t, tokens)
             n_links, groups = np.zeros(len(ok), np.int64), [""] * len(ok)
             n_links[good] = np.diff(found.ends, prepend=0)
             for k, text in zip(good.tolist(), found.groups):
@@ -274,7 +274,7 @@ def aligned_segments(counted: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 numbers.append(pa.array(column))
             size = np.array([len(s) + len(g) for s, g in zip(segments, groups)]) + 8 * n_links
             links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)), pa.array(found.links))
-            columns = [pa.array(list(map(segment_hash, segments)), pa.int64()), batch.column(0), batch.column(1), pa.array(size), pa.array(ok), *numbers, pa.array(groups, pa.string()), links, pa.array(a_packed, pa.binary()), pa.array(b_packed, pa.binary())]
+            columns = [batch.column(0), batch.column(1), pa.array(size), pa.array(ok), *numbers, pa.array(groups, pa.string()), links]
             yield pa.RecordBatch.from_arrays(columns, schema=ALIGNED)
 
     return counted.mapInArrow(run, ALIGNED_SQL)
@@ -300,10 +300,14 @@ def counted_segments(texts: DataFrame, breaks: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
-def frequent_from(aligned: DataFrame, most_rows: int, most_bytes: int) -> int:
-    """Smallest rounded-down logarithm of a count such that all segments from it on fit the limits."""
-    step = F.floor(F.log2("n") * STEPS_AN_OCTAVE)
-    rows = sorted(((r["step"], r["rows"], r["size"]) for r in aligned.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()), reverse=True)
+def step_of_count():
+    """Rounded-down logarithm of a segment's count."""
+    return F.floor(F.log2("n") * STEPS_AN_OCTAVE)
+
+
+def frequent_from(segments: DataFrame, most_rows: int, most_bytes: int) -> int:
+    """Smallest step of a count such that all segments (n, size) from it on fit the limits."""
+    rows = sorted(((r["step"], r["rows"], r["size"]) for r in segments.groupBy(step_of_count().alias("step")).agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()), reverse=True)
     least = rows[0][0] + 1 if rows else 0
     for value, n, size in rows:
         most_rows, most_bytes = most_rows - n, most_bytes - size
@@ -355,8 +359,7 @@ def table_of(token: str, held) -> Table:
 class Composing:
     """What a document's segments have come to so far."""
 
-    def __init__(self, joined: dict[bytes, tuple[bytes, bytes]]):
-        self.joined = joined  # packed tokens of segments outside the table, by the segment's bytes
+    def __init__(self):
         self.ok, self.begun, self.digest = True, False, hashlib.sha256()
         self.sums = np.zeros(4, np.int64)  # n_a, n_b, n_groups, n_links
         self.used: list[tuple[np.ndarray, np.ndarray]] = []  # places in the table and how often
@@ -416,28 +419,10 @@ def compose(documents: list[Composing], blocks: Iterator[tuple[int, list[str]]],
     waiting, size = [], 0
 
     def flush() -> None:
-        new: dict[str, int] = {}
-        a_ids, b_ids, missing = [], [], {}
-        for k, block, places in waiting:
-            joined = documents[k].joined
-            for s in {block[i] for i in np.flatnonzero(places < 0).tolist()} if documents[k].ok else ():
-                if s not in new:
-                    tokens = joined.get(s.encode()) if joined else None
-                    if tokens:
-                        new[s] = len(a_ids)
-                        a_ids.append(tokens[0])
-                        b_ids.append(tokens[1])
-                    else:
-                        missing[s] = new[s] = -1
-        if missing:
-            names = list(missing)
-            a, b = t.encode_a(names), t.encode_b(names)
-            for s, x, y, ok in zip(names, a, b, t.whole(names, a, b).tolist()):
-                if ok:
-                    new[s] = len(a_ids)
-                    a_ids.append(packed(x))
-                    b_ids.append(packed(y))
-        found = alignments(t, a_ids, b_ids)
+        names = list({block[i] for k, block, places in waiting if documents[k].ok for i in np.flatnonzero(places < 0).tolist()})
+        ok, tokens = t.tokens(names)
+        new = dict(zip(names, np.where(ok, np.cumsum(ok) - 1, -1).tolist()))
+        found = alignments(t, tokens)
         for k, block, places in waiting:
             if documents[k].ok:
                 documents[k].add(block, places, table, new, found)
@@ -445,7 +430,7 @@ def compose(documents: list[Composing], blocks: Iterator[tuple[int, list[str]]],
 
     for k, block in blocks:
         waiting.append((k, block, table.places_of(block)))
-        size += len(block)
+        size += max(len(block), sum(map(len, block)) // 16)
         if size >= TOGETHER:
             flush()
             size = 0
@@ -467,22 +452,15 @@ def _pair_batch(pairs, counts) -> pa.RecordBatch:
 
 
 def composed_documents(rows: DataFrame, held, token: str, a_path: str, b_path: str) -> DataFrame:
-    """rows (rid, text, joined) -> a row a document, and rows of kind PAIR with a task's counts of the documents that hold each pair."""
+    """rows (rid, text) -> a row a document, and rows of kind PAIR with a task's counts of the documents that hold each pair."""
 
     def run(batches):
         t = tokenizers(a_path, b_path)
         table, cut = table_of(token, held), Segmenter(t.breaks)
         counts, others = np.zeros(len(table.pairs), np.int64), Counter()
-        for batch in batches:
-            texts, own = batch.column(1), batch.column(2)
-            a, b = (own.flatten().field(k).to_pylist() for k in (0, 1))
-            n_joined = pc.fill_null(pc.list_value_length(own), 0).to_pylist()
-            documents, at = [], 0
-            for n in n_joined:
-                tokens = zip(a[at : at + n], b[at : at + n])
-                documents.append(Composing({b"".join(map(t.a_bytes.__getitem__, np.frombuffer(x, "<i4").tolist())): (x, y) for x, y in tokens}))
-                at += n
-            compose(documents, ((k, block) for k, text in enumerate(texts) for block in cut.blocks(text.as_py())), table, t)
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+            documents = [Composing() for _ in range(batch.num_rows)]
+            compose(documents, ((k, block) for k, text in enumerate(batch.column(1)) for block in cut.blocks(text.as_py())), table, t)
             out = []
             for c in documents:
                 (places, n), (pairs, times) = c.places(), c.pairs()
@@ -526,29 +504,6 @@ def summed_documents(documents: DataFrame, sums) -> DataFrame:
     return documents.select("rid", "places", "counts").mapInArrow(run, "rid long, n_best long, count_sum long")
 
 
-def other_segments(texts: DataFrame, held, token: str, breaks: str) -> DataFrame:
-    """(rid, h): hashes of each document's distinct segments outside the table."""
-    schema = pa.schema([("rid", pa.int64()), ("h", pa.int64())])
-
-    def run(batches):
-        table, cut = table_of(token, held), Segmenter(breaks)
-        for batch in batches:
-            rids, hashes = [], []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own: set[int] = set()
-                for block in cut.blocks(text.as_py()):
-                    own.update(map(segment_hash, set(block).difference(table.place)))
-                rids.append(np.full(len(own), rid, np.int64))
-                hashes.append(np.fromiter(own, np.int64, len(own)))
-                if sum(map(len, hashes)) > HELD_ENTRIES:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(hashes))], schema=schema)
-                    rids, hashes = [], []
-            if rids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(hashes))], schema=schema)
-
-    return texts.select("rid", "text").mapInArrow(run, "rid long, h long")
-
-
 def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FREQUENT_SEGMENTS, frequent_bytes: int = FREQUENT_BYTES) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
     spark = docs.sparkSession
@@ -556,15 +511,19 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FR
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.nullif("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid")), "align-texts")
     texts = rows.where("text IS NOT NULL")
 
-    aligned = save(aligned_segments(counted_segments(texts, breaks).where("n > 1"), a_path, b_path), "align-segments")
-    frequent = F.floor(F.log2("n") * STEPS_AN_OCTAVE) >= frequent_from(aligned, frequent_segments, frequent_bytes)
+    if texts.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a file or two
+        texts = texts.repartition(shuffle_width(spark))
+
+    counted = save(counted_segments(texts, breaks).where("n > 1"), "align-counts")
+    fitting = step_of_count() >= frequent_from(counted.withColumn("size", F.length("segment")), frequent_segments, frequent_bytes)
+    aligned = save(aligned_segments(counted.where(fitting), a_path, b_path), "align-segments")
+    frequent = step_of_count() >= frequent_from(aligned, frequent_segments, frequent_bytes)  # the alignments fit as well
     # At most ``frequent_segments`` rows; ordered, so that the sums asked for below come in the same order.
-    first = aligned.where(frequent).select("segment", "ok", "n_a", "n_b", "n_groups", "groups", "links").toArrow().sort_by("segment")
+    order = [("n", "descending"), ("segment", "ascending")]
+    first = aligned.where(frequent).select("segment", "n", "ok", "n_a", "n_b", "n_groups", "groups", "links").toArrow().sort_by(order)
     held, token = spark.sparkContext.broadcast(first), uuid.uuid4().hex
 
-    found = other_segments(texts, held, token, breaks)
-    parts = found.join(aligned.where(~frequent & F.col("ok")).select("h", F.struct("a", "b").alias("tokens")), "h").groupBy("rid").agg(F.collect_list("tokens").alias("joined"))
-    both = save(composed_documents(texts.join(parts, "rid", "left").select("rid", "text", "joined"), held, token, a_path, b_path), "align-documents", ["kind"])
+    both = save(composed_documents(texts.select("rid", "text"), held, token, a_path, b_path), "align-documents", ["kind"])
     documents = both.where(F.col("kind") == DOCUMENT).drop("pair", "n", "kind")
 
     pairs = save(both.where(F.col("kind") == PAIR).groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "align-pairs")
@@ -573,7 +532,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent_segments: int = FR
     if pairs.count() <= BROADCAST_PAIRS:
         ranked = F.broadcast(ranked)
     summed = aligned.where(frequent).select("segment", F.explode("links").alias("pair")).join(ranked, "pair").groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    own = aligned.where(frequent).select("segment").join(summed, "segment", "left").na.fill(0).toArrow().sort_by("segment")
+    own = aligned.where(frequent).select("segment", "n").join(summed, "segment", "left").na.fill(0).toArrow().sort_by(order)
     sums = spark.sparkContext.broadcast(np.stack([own["n_best"].to_numpy(), own["count_sum"].to_numpy()], 1))
 
     linked = documents.select("rid", F.inline(F.arrays_zip("pairs", "times"))).join(ranked, F.col("pairs") == F.col("pair"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quarrylens.llm import importance, licenses, token_align
@@ -221,6 +222,32 @@ def test_alignment_of_nothing(spark):
     assert aligned(only_null) == {1: (0,) * 6 + ("",), 2: (0,) * 6 + ("",)}
 
 
+def test_alignment_composes_in_one_pass_that_shuffles_no_text(spark, both, monkeypatch):
+    plans, save = {}, token_align.save
+
+    def noted(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(df, name, *more)
+
+    monkeypatch.setattr(token_align, "save", noted)
+    texts = [f"the same words, word{k % 7} and seldom{k}" for k in range(64)]
+    out = token_align.align(table(spark, texts).repartition(16), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), frequent_segments=4)
+    assert aligned(out) == plain_alignment(list(enumerate(texts, 1)), both)
+    composing = plans["align-documents"]
+    assert composing.count("MapInArrow") == 1 and "Join" not in composing and "Exchange" not in composing
+
+
+def test_long_segments_are_aligned_a_few_at_a_time(monkeypatch):
+    t = token_align.tokenizers(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    sizes, tokens = [], t.tokens
+    monkeypatch.setattr(t, "tokens", lambda names: (sizes.append(sum(map(len, names))), tokens(names))[1], raising=False)
+    nothing = token_align.Table(pa.Table.from_batches([], schema=token_align.ALIGNED))
+    documents = [token_align.Composing() for _ in range(100)]
+    token_align.compose(documents, ((k, [f" {k}-" + "ab,cd" * 4000]) for k in range(100)), nothing, t)
+    assert all(d.ok and d.sums[0] > 4000 for d in documents)
+    assert sum(sizes) > 2_000_000 and max(sizes) < 1_000_000
+
+
 def test_segments_tokenise_as_the_whole(both):
     t = token_align.tokenizers(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     assert t.breaks == " \n\t"
