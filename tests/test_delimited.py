@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from quarrylens.queries import load_csv_line_breaks
 from quarrylens.sources import delimited
 from quarrylens.sources.delimited import INSIDE, OUTSIDE, state_after, text_cells, typed_csv
 
@@ -69,6 +70,22 @@ def test_plain_files_stay_with_the_splittable_reader(spark, tmp_path):
     assert sorted(map(tuple, text_cells(spark, path, ",").collect())) == [("1", "a,b"), ("2", '5" pipe')]
 
 
+@pytest.mark.parametrize("value", ["x", "two\nlines"])
+def test_an_empty_text_is_no_missing_one(spark, tmp_path, value):
+    (tmp_path / "h.csv").write_text(f'id,v,n,w\n1,"",5,""\n2,,"",\n3,"{value}",,z\n')
+    df = typed_csv(spark, str(tmp_path / "h.csv"))
+    assert [f.dataType.typeName() for f in df.schema] == ["integer", "string", "integer", "string"]
+    assert sorted(map(tuple, df.collect())) == [(1, "", 5, ""), (2, None, None, None), (3, value, None, "z")]
+
+
+def test_written_texts_come_back(spark, tmp_path, ranges_of):
+    pick = random.Random(3)
+    rows = [(k, "".join(pick.choice('a", \n\r\t\\\0') for _ in range(pick.randrange(6))) if k % 50 else None, pick.choice(["en", "", None])) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    ranges_of(3000)
+    assert sorted(map(tuple, load_csv_line_breaks(spark, str(tmp_path)).collect()), key=lambda r: r[0]) == rows
+
+
 def test_late_cells_keep_their_values(spark, tmp_path):
     many = 12_000
     late = ["2024-01-01 10:00:00", "2024-13-45", "maybe", "1e-3", "99999999999", "x", "true", "", "123456789012345678901", "007"]
