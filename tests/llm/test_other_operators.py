@@ -237,6 +237,35 @@ def test_copies_are_linked_by_cells_and_far_cells_do_not_meet(spark):
     assert found.where("n >= 99").count() >= 200 and dealt.count() < 300 * 30
 
 
+def test_vectors_without_structure_are_dealt_to_blocks_not_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "CELL_SAMPLE", 200)  # as in a large table, cells hold several vectors and all meet
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 64))
+    x[:300] = x[300:600] + rng.normal(size=(300, 64)) * 0.2
+    df = vectors(spark, [(i, v.tolist(), i % 2) for i, v in enumerate(x)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = (cover_tree.cosines(x, x) >= 0.93) & (np.arange(1200)[:, None] % 2 == np.arange(1200) % 2) & ~np.eye(1200, dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in cover_tree.threshold_links(df, 0.93, 100).collect()}
+    assert got == dict(enumerate(linked.sum(1).tolist())) and linked.sum() > 400
+    dealt, _ = cover_tree.dealt_in_cells(df.select("label", F.size("embedding").alias("dim"), F.lit(600).cast("long").alias("rows"), "vec_id", "embedding"), 0.93, 100)
+    assert dealt.count() <= 1200 * 8  # six blocks a label, not its 100 cells
+    assert dealt.groupBy("label", "first", "second").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_wide_nodes_of_few_points_are_compared_as_points():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x[:500] = x[0] + rng.normal(size=(500, 64)) * 0.15
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    walk, tree = cover_tree.Traversal(x, x, 0.93, True), cover_tree.cover_tree(x)
+    calls = []
+    level = walk.level
+    walk.level = lambda *a: calls.append(1) or level(*a)
+    walk.run(tree, tree)
+    dots = x @ x.T
+    assert (walk.result()[0] == (dots >= 0.93).sum(1) - 1).all() and len(calls) < 2000
+
+
 # ---------------------------------------------------------------- pseudonyms
 
 
