@@ -47,7 +47,7 @@ CELL_SAMPLE = 16_384  # vectors of large labels that cells are taken from
 LABEL_CELLS = 512  # cells of a label at most, so 512 x 512 flags say which of them meet
 PAIR_CHUNK = 1 << 20
 FEW_POINTS = 64
-PENDING_LINKS = 1 << 22  # links that wait for a forest
+PENDING_LINKS = 1 << 20  # links that wait for a forest
 RADIUS_STEPS = (SLACK, 0.0625, 0.125, 0.25, 0.5)  # nodes of about one radius are pruned together
 LINK_SCHEMA = "vec_id long, n long, root long"
 
